@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, tokens
+from . import mixing, packing, sharding, tokens
+
+SHARDS = [f"shard-{k:04d}" for k in range(sharding.SHARDS)]
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -29,9 +31,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(read(spark, sf_dir, "documents"), "doc_id", SHARDS).select("doc_id", "slot", "shard")
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_token_counts": op4_token_counts, "op10_packing": op10_packing}
+    return {
+        "op4_token_counts": op4_token_counts,
+        "op5_sharding": op5_sharding,
+        "op9_mixing": op9_mixing,
+        "op10_packing": op10_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_sharding": sharding.shard_sql(SHARDS), "op9_mixing": mixing.MIX_SQL}
