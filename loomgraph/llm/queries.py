@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, sharding, tokens
+from . import jpeg, mixing, packing, sharding, tokens, warc
 
 SHARDS = [f"shard-{k:04d}" for k in range(sharding.SHARDS)]
 
@@ -22,6 +22,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = tokens.count_tokens(read(spark, sf_dir, "documents"), vocabulary())
     return out.withColumn("over_limit", F.col("n_tokens") > 512)
@@ -35,14 +39,20 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"), "doc_id", SHARDS).select("doc_id", "slot", "shard")
 
 
+def op8_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.describe(jpeg.store(read(spark, sf_dir, "documents")))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": op1_warc,
         "op4_token_counts": op4_token_counts,
         "op5_sharding": op5_sharding,
+        "op8_jpeg": op8_jpeg,
         "op9_mixing": op9_mixing,
         "op10_packing": op10_packing,
     }
