@@ -1,0 +1,42 @@
+"""Connected components of a graph of links, in DataFrames only.
+
+Alternating rounds: *large star* hangs every larger neighbour of a node on the
+smallest node of its neighbourhood, *small star* does so with the smaller ones.
+Each round is an aggregation and a join on the node; hubs are pre-aggregated and
+their join may be split where a hub has very many links. Every round is written
+to the shared folder, so a lost executor costs no earlier round.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import materialise
+
+
+def components(links: DataFrame) -> DataFrame:
+    """links: a, b of one type, any direction, repeats and loops allowed.
+
+    Returns node, root for every node that has a link to another: root is the
+    smallest node that can be reached. Links with a null end are no links.
+    """
+    spark = links.sparkSession
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges = materialise(spark, edges, "links")
+    before = None
+    while True:
+        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("least")).withColumn("least", F.least("u", "least"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("least").alias("v"))
+        large = large.where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("least"))
+        small = large.join(low, "u")
+        small = small.select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(small.select("u", F.col("least").alias("v")))
+        edges = materialise(spark, small.where("u <> v").distinct(), "links")
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if tuple(now) == before:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+                edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+            )
+        before = tuple(now)
