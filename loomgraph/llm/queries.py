@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jpeg, mixing, packing, sharding, tokens, warc
+from . import jpeg, mixing, packing, sharding, simhash, suffix, tokens, warc
 
 SHARDS = [f"shard-{k:04d}" for k in range(sharding.SHARDS)]
 
@@ -26,6 +26,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(read(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = tokens.count_tokens(read(spark, sf_dir, "documents"), vocabulary())
     return out.withColumn("over_limit", F.col("n_tokens") > 512)
@@ -39,6 +43,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"), "doc_id", SHARDS).select("doc_id", "slot", "shard")
 
 
+def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(suffix.remove_repeats(read(spark, sf_dir, "documents")))
+
+
 def op8_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.describe(jpeg.store(read(spark, sf_dir, "documents")))
 
@@ -50,8 +58,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
+        "op2_simhash": op2_simhash,
         "op4_token_counts": op4_token_counts,
         "op5_sharding": op5_sharding,
+        "op6_suffix": op6_suffix,
         "op8_jpeg": op8_jpeg,
         "op9_mixing": op9_mixing,
         "op10_packing": op10_packing,
