@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jpeg, mixing, packing, sharding, simhash, suffix, tokens, warc
+from . import jpeg, mixing, packing, sharding, simhash, suffix, tokens, toxicity, warc
 
 SHARDS = [f"shard-{k:04d}" for k in range(sharding.SHARDS)]
 
@@ -47,6 +47,12 @@ def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest(suffix.remove_repeats(read(spark, sf_dir, "documents")))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    held_out = toxicity.fold(F.col("doc_id")) == toxicity.HELD_OUT
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.describe(jpeg.store(read(spark, sf_dir, "documents")))
 
@@ -62,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_counts": op4_token_counts,
         "op5_sharding": op5_sharding,
         "op6_suffix": op6_suffix,
+        "op7_toxicity": op7_toxicity,
         "op8_jpeg": op8_jpeg,
         "op9_mixing": op9_mixing,
         "op10_packing": op10_packing,
