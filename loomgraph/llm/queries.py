@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jpeg, mixing, packing, sharding, simhash, suffix, tokens, toxicity, warc
+from . import ann, jpeg, mixing, packing, sharding, simhash, suffix, tokens, toxicity, warc
 
 SHARDS = [f"shard-{k:04d}" for k in range(sharding.SHARDS)]
 
@@ -30,6 +30,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(read(spark, sf_dir, "documents"))
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = tokens.count_tokens(read(spark, sf_dir, "documents"), vocabulary())
     return out.withColumn("over_limit", F.col("n_tokens") > 512)
@@ -65,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
         "op2_simhash": op2_simhash,
+        "op3_nearest": op3_nearest,
         "op4_token_counts": op4_token_counts,
         "op5_sharding": op5_sharding,
         "op6_suffix": op6_suffix,
@@ -76,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_sharding": sharding.shard_sql(SHARDS), "op9_mixing": mixing.MIX_SQL}
+    return {"op3_nearest": ann.nearest_sql(), "op5_sharding": sharding.shard_sql(SHARDS), "op9_mixing": mixing.MIX_SQL}

@@ -402,6 +402,41 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     return both.mapInArrow(finish, schema)
 
 
+def strip_repeats(docs: DataFrame, text: str = "text", size: str | None = "n_chars", length: int = LENGTH, **limits: int) -> DataFrame:
+    """``docs`` with repeats cut from the text; what a cut leaves of a character goes too. Texts with nothing left go.
+
+    ``size``, if it is a column, is set to the characters of the new text.
+    """
+    spark = docs.sparkSession
+    _, spans = repeats(docs, docs.columns[0], text, length, **limits)
+    spans = materialise(spark, spans, "spans")
+    lists = spans.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("__spans"))
+    both = docs.withColumn("row__", F.monotonically_increasing_id()).join(lists.withColumnRenamed("row", "row__"), "row__", "left").drop("row__")
+
+    names = docs.columns
+
+    def cut(batches):
+        for b in batches:
+            new = []
+            for t, own in zip(b.column(text).to_pylist(), b.column("__spans").to_pylist(), strict=True):
+                if own and t:
+                    data, out, at = t.encode(), [], 0
+                    for lo, hi in sorted((s["lo"], s["hi"]) for s in own):
+                        if lo > at:
+                            out.append(data[at:lo])
+                        at = max(at, hi)
+                    t = b"".join([*out, data[at:]]).decode(errors="ignore")
+                new.append(t)
+            cols = [pa.array(new, pa.string()) if c == text else b.column(c) for c in names]
+            keep = [not own or bool(t) for t, own in zip(new, b.column("__spans").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep, pa.bool_()))
+
+    out = both.mapInArrow(cut, docs.schema)
+    if size in docs.columns:
+        out = out.withColumn(size, F.char_length(F.col(f"`{text}`")).cast(docs.schema[size].dataType))
+    return out
+
+
 def digest(removed: DataFrame, key: str = "doc_id") -> DataFrame:
     size = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["hi"] - s["lo"])
     return removed.select(key, "n_bytes", size.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
