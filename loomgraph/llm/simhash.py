@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .components import components
+from ..operators.components import components
 
 SHINGLE, DISTANCE, PARTS, SEED = 3, 3, 3, 42
 #: Hashes that are summed up together.
