@@ -162,7 +162,7 @@ def detect_communities(g: Graph, local: int = LOCAL, rounds: int = 10) -> tuple[
     sizes = own.groupBy("component").agg(F.count("*").alias("size"))
     placed = pairs.join(own.withColumnRenamed("id", "a"), "a").join(sizes, "component")
 
-    def cluster(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def cluster(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ids, flat = np.unique(np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()]), return_inverse=True)
         order = np.lexsort((flat[len(pdf) :], flat[: len(pdf)]))
         label = _local_moves(len(ids), flat[: len(pdf)][order], flat[len(pdf) :][order], total)

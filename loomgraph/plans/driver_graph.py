@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import Graph, graph_of
 from ..operators.build import assemble, dedup_edges, intern_nodes, resolve_edges
+from ..session import materialise
 
 #: (table, key, name), in the order of files.
 KINDS = (("region", "r_regionkey", "region"), ("nation", "n_nationkey", "nation"), ("customer", "c_custkey", "customer"), ("supplier", "s_suppkey", "supplier"), ("part", "p_partkey", "part"), ("orders", "o_orderkey", "order"))
@@ -65,8 +66,16 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_edges(own, ["file_ord", "row_ord"]).select("source", "target", "relation", "confidence")
 
 
+_stored: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    return assemble(raw_nodes(spark, sf_dir), raw_edges(spark, sf_dir))
+    """The assembled graph. It is built once for an application and stored in the shared folder; queries read it from there."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        g = assemble(raw_nodes(spark, sf_dir), raw_edges(spark, sf_dir))
+        _stored[key] = materialise(spark, g.nodes, "graph-nodes"), materialise(spark, g.edges, "graph-edges")
+    return graph_of(*_stored[key])
 
 
 def nation_communities(spark: SparkSession, sf_dir: str, n: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -105,19 +105,19 @@ def prune_stale(s, d):
 
 
 def trusted_edges(s, d):
-    return _edges(trust.trusted_edges(dg.edges(s, d)))
+    return _edges(trust.trusted_edges(dg.graph(s, d).edges))
 
 
 def untrusted_edges(s, d):
-    return _edges(trust.untrusted_edges(dg.edges(s, d)))
+    return _edges(trust.untrusted_edges(dg.graph(s, d).edges))
 
 
 def confidence_counts(s, d):
-    return trust.confidence_counts(dg.edges(s, d))
+    return trust.confidence_counts(dg.graph(s, d).edges)
 
 
 def edge_weights(s, d):
-    return trust.with_weight(dg.edges(s, d)).groupBy("confidence", "weight").agg(F.count("*").alias("n"))
+    return trust.with_weight(dg.graph(s, d).edges).groupBy("confidence", "weight").agg(F.count("*").alias("n"))
 
 
 def degree_centrality(s, d):
@@ -135,7 +135,7 @@ def report_hubs(s, d):
 
 
 def undirected_pairs(s, d):
-    return an.undirected_pairs(dg.edges(s, d))
+    return an.undirected_pairs(dg.graph(s, d).edges)
 
 
 def _orders(s, d):
@@ -197,15 +197,15 @@ def suggested_questions(s, d):
 
 
 def find_by_label(s, d):
-    return search.find_by_label(dg.nodes(s, d), NEEDLE.upper()).select("id", "label")
+    return search.find_by_label(dg.graph(s, d).nodes, NEEDLE.upper()).select("id", "label")
 
 
 def trigram_index(s, d):
-    return search.trigram_index(dg.nodes(s, d))
+    return search.trigram_index(dg.graph(s, d).nodes)
 
 
 def trigram_find(s, d):
-    n = dg.nodes(s, d)
+    n = dg.graph(s, d).nodes
     return search.find_indexed(n, search.trigram_index(n), NEEDLE.upper()).select("id", "label")
 
 
@@ -387,7 +387,7 @@ def url_validate(s, d):
 
 def url_extension(s, d):
     ends = F.element_at(F.array(*[F.lit(x) for x in ("", "/lib.PY?x=1", "/a.tar.gz#y", "/.hidden")]), (F.col("page_id") % 4 + 1).cast("int"))
-    return _pages(s, d).select("page_id", urls.url_extension(F.concat("url", ends)).alias("extension"))
+    return _pages(s, d).select("page_id", urls.url_extension(F.concat(F.regexp_replace("url", "[?#].*$", ""), ends)).alias("extension"))
 
 
 def _odd_label(s, d):
@@ -464,7 +464,7 @@ def wiki_pages(s, d):
 
 def canonical_order(s, d):
     """Ranks of edges in canonical order inside each relation."""
-    e = dg.edges(s, d)
+    e = dg.graph(s, d).edges
     return e.withColumn("rank", F.row_number().over(Window.partitionBy("relation", "source").orderBy("target")).cast("bigint"))
 
 
