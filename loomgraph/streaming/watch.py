@@ -14,7 +14,8 @@ from ..session import scratch_path
 
 def debounce(events: DataFrame, gap: str, time: str = "ts", key: str = "user_id", late: str | None = None) -> DataFrame:
     """Bursts of each key that ``gap`` of quiet ends: first and last event and their number. The same for batches and, with ``late``, for streams."""
-    df = events.withWatermark(time, late) if late else events
+    # streams need an instant to order events by
+    df = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if late else events
     burst = df.groupBy(key, F.session_window(time, gap).alias("w")).agg(F.count("*").alias("n_events"))
     return burst.select(key, F.col("w.start").alias("burst_start"), F.col("w.end").alias("burst_end"), "n_events")
 
