@@ -387,10 +387,8 @@ def store(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
 
 def describe(df: DataFrame, media: str = "media") -> DataFrame:
     """The other columns of ``df``, dimensions, thumbnail hashes, and digests of the stored form and of the payload read back."""
-    rest = [c for c in df.columns if c != media]
     added = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType())]
-    if clash := set(rest) & {n for n, _ in added}:
-        raise ValueError(f"rename these columns first: {sorted(clash)}")
+    rest = [c for c in df.columns if c not in {media, *(n for n, _ in added)}]  # those of the same name are replaced
     schema = T.StructType([*[df.schema[c] for c in rest], *[T.StructField(n, t) for n, t in added]])
 
     def facts(values: list[bytes]) -> list[tuple]:

@@ -12,7 +12,7 @@ hot key costs no more than any other.
 
 Defined cases: a null key has the slot of the empty text; equal keys share a
 shard; an empty table gives an empty table; existing columns named like the new
-ones must be renamed first (a ValueError says so), all others pass unchanged.
+ones are replaced, all others pass unchanged.
 """
 
 from __future__ import annotations
@@ -63,8 +63,7 @@ def table_text(table: list[int]) -> str:
 
 def shard(df: DataFrame, key: str, shards: list[str], size: int = TABLE_SIZE, slot: str = "slot", name: str = "shard") -> DataFrame:
     """``df`` with the slot of its key and the index of the shard that owns it."""
-    if clash := {slot, name} & set(df.columns):
-        raise ValueError(f"rename these columns first: {sorted(clash)}")
+    df = df.drop(slot, name)
     spark = df.sparkSession
     table = spark.range(size).select(
         F.col("id").alias("__slot"),

@@ -173,7 +173,9 @@ class WarcReader(DataSourceReader):
             names = sorted(x.base_name for x in fs.get_file_info(FileSelector(top)) if x.base_name.endswith((".warc", ".warc.gz")))
         return [Archive(x) for x in names]
 
-    def read(self, part: Archive) -> Iterator[tuple]:
+    def read(self, part: Archive | None) -> Iterator[tuple]:
+        if part is None:  # what Spark asks for where no partition is planned
+            return
         fs, top = file_system(self.path)
         with fs.open_input_file(f"{top}/{part.name}") as f:
             for headers, payload_of in records(f, part.name.endswith(".gz")):
