@@ -22,6 +22,9 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
+    # texts are long: smaller batches bound what a worker and the JVM hold at once
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     root = Path(__file__).resolve().parent
     target = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
     with zipfile.ZipFile(target, "w") as z:
