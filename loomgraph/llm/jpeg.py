@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .memory import tidy
 from .tokens import groups_of
 
 UNIT = 576
@@ -382,7 +383,7 @@ def store(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
                 own = [c.slice(lo, hi - lo) for c in b.columns[:-1]]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(sizes[lo:hi], pa.int64()), pa.array(data, pa.binary())], names=[*keep, "n_bytes", media])
 
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(tidy(run), schema)
 
 
 def describe(df: DataFrame, media: str = "media") -> DataFrame:
@@ -407,4 +408,4 @@ def describe(df: DataFrame, media: str = "media") -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=[*rest, *[n for n, _ in added]])
 
-    return df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{media}`")).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{media}`")).mapInArrow(tidy(run), schema)

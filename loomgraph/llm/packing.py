@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .memory import tidy
 from .tokens import TOGETHER, encode_spliced, groups_of, load, memo_of, safe_slices
 
 WIDTH = 1024
@@ -209,4 +210,4 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", wi
         if rows:
             yield out()
 
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(tidy(run), schema)

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .memory import tidy
 from ..operators.components import components
 
 SHINGLE, DISTANCE, PARTS, SEED = 3, 3, 3, 42
@@ -91,7 +92,7 @@ def with_fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text", s
                 fp = fingerprints(part.column(1).to_pylist(), shingle).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], names=[key, "fp"])
 
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(tidy(run), schema)
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -107,7 +108,7 @@ def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
             flat = gram.ravel().astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, 4096)), pa.array(np.concatenate([[n], flat]))], names=["k", "n"])
 
-    sums = fps.select("fp").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    sums = fps.select("fp").mapInArrow(tidy(run), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
     out = {r.k: r.n for r in sums}
     return out.get(-1, 0), np.array([out.get(k, 0) for k in range(4096)], np.float64).reshape(64, 64)
 
@@ -167,7 +168,7 @@ def histograms(fps: DataFrame, groups: list[list[int]]) -> list[list[np.ndarray]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), 2 * k + j, np.int32)), pa.array(v.astype(np.int32)), pa.array(s[v])], names=["half", "value", "n"])
 
     out = [[np.zeros(1 << len(x)) for x in halves(g)] for g in groups]
-    found = fps.select("fp").mapInArrow(run, "half int, value int, n long").groupBy("half", "value").agg(F.sum("n").alias("n"))
+    found = fps.select("fp").mapInArrow(tidy(run), "half int, value int, n long").groupBy("half", "value").agg(F.sum("n").alias("n"))
     for r in found.collect():
         out[r.half // 2][r.half % 2][r.value] = r.n
     return out
@@ -248,8 +249,8 @@ def links(fps: DataFrame, distance: int = DISTANCE, parts: int = PARTS) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array((np.int64(k) << 60) | extract(own.view(np.uint64), g)), pa.array(own)], names=["key", "fp"])
 
     slim = fps.select("fp")
-    p = slim.mapInArrow(probe, "key long, fp long").alias("p")
-    i = slim.mapInArrow(index, "key long, fp long").alias("i")
+    p = slim.mapInArrow(tidy(probe), "key long, fp long").alias("p")
+    i = slim.mapInArrow(tidy(index), "key long, fp long").alias("i")
     # thresholds differ between two fingerprints, so either may be the one whose probe finds the other
     near_enough = F.expr(f"p.key = i.key AND p.fp <> i.fp AND bit_count(p.fp ^ i.fp) <= {distance}")
     return p.join(i, near_enough).select(F.greatest("p.fp", "i.fp").alias("a"), F.least("p.fp", "i.fp").alias("b"))

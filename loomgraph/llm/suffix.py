@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialise
+from .memory import tidy
 
 LENGTH, GRAM = 200, 24
 #: Bytes of texts that are searched for anchors together, and windows of a long text taken at once.
@@ -71,7 +72,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, from the power 0 on."""
     if len(_powers.get("up", ())) < n:
-        n = max(n, 3 << 20)
+        n = max(n, (1 << 20) + (1 << 18))
         _powers["up"] = np.cumprod(np.full(n, _BASE, np.uint64)) * np.uint64(_UNBASE)
         _powers["down"] = np.cumprod(np.full(n, _UNBASE, np.uint64)) * np.uint64(_BASE)
     return _powers["up"], _powers["down"]
@@ -306,7 +307,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
                 names=["row", "run", "anchor", "fragment"],
             )
 
-    found = materialise(spark, texts.select("row", "bytes").mapInArrow(runs, "row long, run long, anchor long, fragment long"), "runs")
+    found = materialise(spark, texts.select("row", "bytes").mapInArrow(tidy(runs), "row long, run long, anchor long, fragment long"), "runs")
     several = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     found = materialise(spark, found.join(several, "anchor"), "repeated-anchors")
     kinds = found.groupBy("anchor", "fragment").agg(F.count("*").alias("n"), F.min(F.struct("row", "run")).alias("one"))
@@ -333,7 +334,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
 
     names = ["anchor", "kinds", "open", "row", "run", "data"]
     kinds_of = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
-    cuts = materialise(spark, with_text.mapInArrow(cut, "anchor long, kinds long, open boolean, row long, run long, data binary"), "fragments")
+    cuts = materialise(spark, with_text.mapInArrow(tidy(cut), "anchor long, kinds long, open boolean, row long, run long, data binary"), "fragments")
     total = kinds.where(f"kinds > 1 AND kinds <= {hot_from}").count()
     buckets = max(1, -(-total // BUCKET), spark.sparkContext.defaultParallelism)
 
@@ -355,7 +356,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
                 yield pa.RecordBatch.from_arrays([pa.array(row[k]), pa.array(at + first[keep]), pa.array(at + last[keep] + length)], names=["row", "lo", "hi"])
 
     near = cuts.where(f"kinds <= {hot_from}").repartition(buckets, "anchor").select("kinds", "row", "run", "open", "data")
-    near = near.mapInArrow(compare, "row long, lo long, hi long")
+    near = near.mapInArrow(tidy(compare), "row long, lo long, hi long")
 
     def spread(batches):
         for b in batches:
@@ -366,7 +367,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
                 _, _, g = windows_of(data, length, _BYTE2)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(row[lo + k]), pa.array((run[lo + k] >> 16) + place)], names=["h", "g", "row", "at"])
 
-    hot = cuts.where(f"kinds > {hot_from}").select("row", "run", "data").mapInArrow(spread, "h long, g long, row long, at long")
+    hot = cuts.where(f"kinds > {hot_from}").select("row", "run", "data").mapInArrow(tidy(spread), "h long, g long, row long, at long")
     twice = hot.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g")
     far = hot.join(twice, ["h", "g"]).select("row", F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
     return texts, whole.unionByName(near).unionByName(far)
@@ -399,7 +400,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                     kept.append(b"".join(t[a:z] for a, z in zip(ends, [*(lo for lo, _ in out), len(t)], strict=True)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(merged, kind), pa.array(kept, pa.binary())], names=[key, "n_bytes", "spans", "kept"])
 
-    return both.mapInArrow(finish, schema)
+    return both.mapInArrow(tidy(finish), schema)
 
 
 def strip_repeats(docs: DataFrame, text: str = "text", size: str | None = "n_chars", length: int = LENGTH, **limits: int) -> DataFrame:
@@ -431,7 +432,7 @@ def strip_repeats(docs: DataFrame, text: str = "text", size: str | None = "n_cha
             keep = [not own or bool(t) for t, own in zip(new, b.column("__spans").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep, pa.bool_()))
 
-    out = both.mapInArrow(cut, docs.schema)
+    out = both.mapInArrow(tidy(cut), docs.schema)
     if size in docs.columns:
         out = out.withColumn(size, F.char_length(F.col(f"`{text}`")).cast(docs.schema[size].dataType))
     return out

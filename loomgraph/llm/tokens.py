@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import tidy
+
 CHUNK = 1 << 16
 OVERLAP = 1 << 10
 #: Characters of texts that are looked up together.
@@ -183,7 +185,7 @@ class WordMemo:
     encoded by itself.
     """
 
-    SLOTS = 1 << 22
+    SLOTS = 1 << 21
     MARKS = b",.;:!?"
 
     def __init__(self, tok: JsonTokenizer):
@@ -217,7 +219,7 @@ class WordMemo:
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Numbers of known words, -1 for others."""
         out = np.full(len(h), -1, np.int32)
-        slot = (h >> np.uint64(42)).astype(np.int64)
+        slot = (h >> np.uint64(43)).astype(np.int64)
         todo = np.arange(len(h))
         while len(todo):
             word = self.slot_word[slot]
@@ -229,7 +231,7 @@ class WordMemo:
 
     def _put(self, h: np.ndarray, words: np.ndarray) -> None:
         """Distinct new hashes."""
-        slot = (h >> np.uint64(42)).astype(np.int64)
+        slot = (h >> np.uint64(43)).astype(np.int64)
         while len(h):
             free = self.slot_word[slot] < 0
             own = np.zeros(len(h), bool)
@@ -399,4 +401,4 @@ def count_tokens(
             n = pa.array(counts(path, texts, chunk, overlap), pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], size, n], names=[*keep, "n_bytes", "n_tokens"])
 
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(tidy(run), schema)
