@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import mixing, packing, queries, simhash, suffix, toxicity
+from loomgraph.llm import mixing, near, packing, queries, suffix, toxicity
 from loomgraph.session import materialise, ship
 
 
@@ -21,9 +21,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of linked SimHash fingerprints: that of the smallest id."""
+    """One document of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 or more: that of the smallest id."""
     ship(spark)
-    return simhash.keep_one(docs)
+    return near.keep_one(docs)
 
 
 def remove_long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

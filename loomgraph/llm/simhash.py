@@ -271,6 +271,14 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
     )
 
 
+def first_of(named: DataFrame, own: DataFrame, key: str) -> DataFrame:
+    """Of ``named``, which has __row, the smallest (key, row) of each component. own: __row, component_id."""
+    # keys that are null come last
+    place = named.select("__row", F.struct(F.col(f"`{key}`").isNull().alias("none"), F.col(f"`{key}`").alias("key"), "__row").alias("place"))
+    first = own.select("__row", "component_id").join(place, "__row").groupBy("component_id").agg(F.min("place").alias("place"))
+    return named.join(first.select(F.col("place.__row").alias("__row")), "__row", "left_semi").drop("__row")
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, parts: int = PARTS) -> DataFrame:
     """One row of each component: of its smallest key, and of rows that repeat that key the first.
 
@@ -278,7 +286,4 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     """
     named = docs.withColumn("__row", F.monotonically_increasing_id())
     own = groups(named.select("__row", F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text")), "__row", "__text", shingle, distance, parts)
-    # the smallest (key, row) of each component; keys that are null come last
-    place = named.select("__row", F.struct(F.col(f"`{key}`").isNull().alias("none"), F.col(f"`{key}`").alias("key"), "__row").alias("place"))
-    first = own.select("__row", "component_id").join(place, "__row").groupBy("component_id").agg(F.min("place").alias("place"))
-    return named.join(first.select(F.col("place.__row").alias("__row")), "__row", "left_semi").drop("__row")
+    return first_of(named, own, key)
