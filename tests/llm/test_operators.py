@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomgraph.llm import ann, jpeg, mixing, packing, queries, sharding, simhash, suffix, tokens, toxicity, warc
+from loomgraph.llm import ann, jpeg, mixing, packing, queries, sharding, simhash, suffix, tokens, warc
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, source string"
@@ -379,29 +379,6 @@ def test_stripping_keeps_columns(spark):
     assert suffix.strip_repeats(df.limit(0)).count() == 0
 
 
-# --- toxicity ---------------------------------------------------------------------------
-
-
-def test_held_out_accuracy(spark):
-    sf = "/root/testdata/sf0.1"
-    scored = queries.op7_toxicity(spark, sf).collect()
-    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
-    seen = [(labels[r.doc_id], r.predicted) for r in scored if r.held_out and r.doc_id in labels]
-    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in scored)
-    assert sum(a == b for a, b in seen) / len(seen) > 0.95
-    assert sum(b and not a for a, b in seen) / len(seen) < 0.01 and sum(a and b for a, b in seen) / sum(a for a, _ in seen) > 0.7
-
-
-def test_toxicity_on_odd_tables(spark):
-    labels = spark.createDataFrame([(5, 1), (5, 0), (None, 1), (7, None), (6, 0)], "doc_id long, toxic int")
-    df = frame(spark, ODD)
-    for own in (labels, labels.limit(0)):
-        rows = toxicity.score(df, own).collect()
-        assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows)
-        assert toxicity.filter_toxic(df, own).columns == df.columns
-    assert toxicity.score(df.limit(0), labels).count() == 0
-
-
 # --- JPEG -----------------------------------------------------------------------------
 
 
