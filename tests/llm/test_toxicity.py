@@ -19,7 +19,7 @@ def corpus(n=240):
     for k in range(n):
         toxic = k % 4 == 0
         ws = [rng.choice(STEMS) + rng.choice(["", "a", "ig", "ot"]) for _ in range(rng.randint(0, 60))]
-        ws += [f"rare{k}word", f"once{k}"]
+        ws += [f"rare{chr(97 + k % 26)}{chr(97 + k // 26)}word", f"{chr(97 + k // 26)}{chr(97 + k % 26)}"]
         for _ in range(4 if toxic else 0):
             ws.insert(rng.randint(0, len(ws)), rng.choice(["vileword", "vilewords", "nasty", "grim"]))
         out.append((k, " ".join(ws), int(toxic)))
