@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
+import threading
 import uuid
 import zipfile
 from pathlib import Path
@@ -11,6 +15,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_made = threading.local()
 
 
 def ship(spark: SparkSession) -> None:
@@ -35,26 +40,42 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
+    """This application's folder below the one that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset,
-    as in tests on one machine, a local folder is made and set.
+    The cluster names that in ``spark.checkpoint.dir``. Only a session on one
+    machine may leave it unset, as tests do: a local folder is made and set.
     """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = sc.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
+        atexit.register(shutil.rmtree, named.removeprefix("file://"), ignore_errors=True)
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
+    own = f"/loomgraph-{sc.applicationId}"
+    named = named.rstrip("/")
+    return named if named.endswith(own) else named + own
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _paths().append(path)
+    return path
+
+
+def _paths() -> list[str]:
+    """Paths that this thread has made and not given back."""
+    if not hasattr(_made, "paths"):
+        _made.paths = []
+    return _made.paths
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -64,7 +85,30 @@ def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that only tables written since were made from."""
+    for t in tables:
+        _delete(t.sparkSession, t._scratch)
+        if t._scratch in _paths():
+            _paths().remove(t._scratch)
+
+
+def sweep(spark: SparkSession, *needed: DataFrame) -> None:
+    """Delete what this thread has left in the shared folder, but for what ``needed`` reads.
+
+    For use between the steps of a job, each of which writes its result elsewhere.
+    """
+    files = [f for df in needed for f in df.inputFiles()]
+    keep = [p for p in _paths() if any(f"/{p.rsplit('/', 1)[1]}/" in f for f in files)]
+    for p in _paths():
+        if p not in keep:
+            _delete(spark, p)
+    _made.paths = keep
 
 
 def local_session(app: str = "loomgraph", cores: str | None = None) -> SparkSession:
