@@ -1,36 +1,46 @@
-"""Near copies in full: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked.
+"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked.
 
 A text's words are lower-cased (A to Z); each five words in a row are a shingle,
 a text is the set of its shingles' 64-bit hashes. Equal sets are one node.
 
-Search: two sets of similarity 4/5 or more share a shingle among the first
-n // 5 + 1 of either, in any order that is the same for all sets. The order is
-rare shingles first: frequent ones are known from a table of fixed size, which
-steers the cost only, never the result. So every linked pair meets at a shingle,
-and every pair is verified on the whole sets.
+*SimHash first.* Each set has a SimHash fingerprint; fingerprints within ``DISTANCE``
+bits are found by ``simhash.links``, and the pairs verified on the whole sets. That
+links most copies, but sets of similarity 0.8 differ in ten of 64 bits at the
+mean, which no probing reaches at a bearable cost.
 
-Sets that meet at a shingle are first compared with the smallest of them; then
-those in different components are compared with each other. A large group of
-near copies costs one comparison for each, and no linked pair is left out. Before
-whole sets are fetched, counts of their hashes in a few buckets bound from above
-what two sets can share.
+*What it can't reach.* Two sets of similarity 4/5 or more share a shingle among
+the first n // 5 + 1 of either, in any order that is the same for all sets. The
+order is rare shingles first: frequent ones are known from a table of fixed size,
+which steers the cost only, never the result. So every linked pair meets at a
+shingle. Sets that meet at a shingle are first compared with the smallest of them;
+then those that are still in different components are compared with each other. A
+large group of near copies costs one comparison for each, and no linked pair is
+left out. Before whole sets are made again, counts of their hashes in a few
+buckets bound from above what two sets can share.
+
+Sets are made from the texts where they are needed and never stored in full. Joins
+deal out frequent shingles and nodes with a salt.
 
 Defined cases: a text of fewer than five words is one shingle; null texts and
-those without words are equal; empty tables give empty tables.
+those without words are equal; empty tables give empty tables; other columns may
+have any names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import components
-from ..session import materialise
+from ..operators.skew import frequent as frequent_keys
+from ..operators.skew import salted_join
+from ..session import discard, materialise
 from .memory import tidy
-from .simhash import first_of
+from .rows import numbered
+from .simhash import DISTANCE, first_of, links
 
 SHINGLE = 5
 #: The least similarity as a fraction.
@@ -72,71 +82,76 @@ def shingles(text: bytes, memo: Hashes) -> np.ndarray:
     return np.unique(h)
 
 
-def shingle_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, node (the hash of the set, 0 of none), n (its size), bound (its counts by bucket, 255 and more as 255), items."""
-    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bound", T.BinaryType()), T.StructField("items", T.ArrayType(T.LongType()))])
-    slim = docs.select(F.col(f"`{key}`"), F.encode(F.coalesce(F.col(f"`{text}`"), F.lit("")), "UTF-8").alias("__bytes"))
+def _node(items: np.ndarray) -> int:
+    from xxhash import xxh64_intdigest
 
-    def run(batches):
-        from xxhash import xxh64_intdigest
+    return xxh64_intdigest(items.tobytes()) if len(items) else 0
 
-        memo = Hashes()
-        for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                sets = [shingles(t, memo) for t in part.column(1).to_pylist()]
-                size = np.array([len(s) for s in sets], np.int64)
-                node = np.array([xxh64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-                items = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-                bound = [np.minimum(np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node), pa.array(size), pa.array(bound, pa.binary()), items], names=[f.name for f in schema])
 
-    return slim.mapInArrow(tidy(run), schema)
+def _texts(named: DataFrame) -> DataFrame:
+    return named.select("__row", F.encode(F.coalesce(F.col("__text"), F.lit("")), "UTF-8").alias("__bytes"))
 
 
-def frequent(sets: DataFrame) -> np.ndarray:
+def frequent(named: DataFrame) -> np.ndarray:
     """For each cell the order of magnitude of its count where that stands out in a task, else 0."""
 
     def run(batches):
-        count = np.zeros(1 << CELLS, np.int64)
+        count, memo = np.zeros(1 << CELLS, np.int64), Hashes()
         for b in batches:
-            h = b.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            count += np.bincount((h >> np.uint64(64 - CELLS)).astype(np.int64), minlength=1 << CELLS)
+            for lo in range(0, b.num_rows, 512):
+                h = np.concatenate([np.zeros(0, np.uint64), *[shingles(t, memo) for t in b.column(1).slice(lo, 512).to_pylist()]])
+                count += np.bincount((h >> np.uint64(64 - CELLS)).astype(np.int64), minlength=1 << CELLS)
         cell = np.flatnonzero(count > 16 + 4 * count.mean())
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(count[cell])], names=["cell", "count"])
 
     out = np.zeros(1 << CELLS, np.uint8)
-    for r in sets.select("items").mapInArrow(tidy(run), "cell long, count long").groupBy("cell").agg(F.sum("count").alias("n")).collect():
+    for r in _texts(named).mapInArrow(tidy(run), "cell long, count long").groupBy("cell").agg(F.sum("count").alias("n")).collect():
         out[r.cell] = int(r.n).bit_length()
     return out
 
 
-def prefixes(sets: DataFrame, rank: np.ndarray) -> DataFrame:
-    """item, node, n: the first shingles of each set, rare ones first."""
+def fingerprint(items: np.ndarray) -> int:
+    """Bits that are set in over half of the hashes, unsigned."""
+    if not len(items):
+        return 0
+    ones = np.unpackbits(items.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(items)).tobytes(), "big")
+
+
+def sketches(named: DataFrame, rank: np.ndarray) -> DataFrame:
+    """__row, node (the hash of the set, 0 of none), fp, n (the set's size), bound (its counts by bucket, 255 and more as 255), prefix (its first shingles, rare ones first)."""
 
     def run(batches):
-        out: tuple[list, list, list] = ([], [], [])
+        memo = Hashes()
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                sets = [shingles(t, memo) for t in part.column(1).to_pylist()]
+                # a set is sorted, so equal ranks keep the order of hashes
+                first = [h[np.argsort(rank[(h >> np.uint64(64 - CELLS)).astype(np.int64)], kind="stable")[: len(h) - -(-OVER * len(h) // UNDER) + 1]] for h in sets]
+                bound = [np.minimum(np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes() for s in sets]
+                longs = [np.array([f(s) for s in sets], np.uint64).view(np.int64) for f in (_node, fingerprint)]
+                ends = np.concatenate([[0], np.cumsum([len(f) for f in first])])
+                prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, longs), pa.array([len(s) for s in sets], pa.int64()), pa.array(bound, pa.binary()), prefix], names=["__row", "node", "fp", "n", "bound", "prefix"])
 
-        def flush():
-            batch = pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["item", "node", "n"])
-            for x in out:
-                x.clear()
-            return batch
+    return _texts(named).mapInArrow(tidy(run), "__row long, node long, fp long, n long, bound binary, prefix array<long>")
 
+
+def shingle_sets(named: DataFrame) -> DataFrame:
+    """node, items."""
+
+    def run(batches):
+        memo = Hashes()
         for b in batches:
-            for k, items in enumerate(b.column(2)):
-                h = items.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                if not len(h):
-                    continue
-                most = len(h) - -(-OVER * len(h) // UNDER) + 1
-                own = h[np.argsort(rank[(h >> np.uint64(64 - CELLS)).astype(np.int64)], kind="stable")[:most]]  # h is sorted, so equal ranks keep the order of hashes
-                out[0].append(own.view(np.int64)), out[1].append(np.full(most, b.column(0)[k].as_py())), out[2].append(np.full(most, len(h)))
-                if len(out[0]) >= 256:
-                    yield flush()
-        if out[0]:
-            yield flush()
+            for lo in range(0, b.num_rows, 256):
+                sets = [shingles(t, memo) for t in b.column(1).slice(lo, 256).to_pylist()]
+                node = np.array([_node(s) for s in sets], np.uint64).view(np.int64)
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+                items = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(node), items], names=["node", "items"])
 
-    return sets.select("node", "n", "items").mapInArrow(tidy(run), "item long, node long, n long")
+    return _texts(named).mapInArrow(tidy(run), "node long, items array<long>")
 
 
 def _sizes_fit(a: Column, b: Column) -> Column:
@@ -158,47 +173,76 @@ def possible(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "row_a", "row_b", "n_a", "n_b", "bound_a", "bound_b").mapInArrow(tidy(run), "a long, b long, row_a long, row_b long")
 
 
-def verified(pairs: DataFrame, light: DataFrame, own: DataFrame) -> DataFrame:
-    """The pairs a, b whose sets are similar enough. light: node, row, n, bound of each node; own: __row, node, n, items."""
+def verified(pairs: DataFrame, light: DataFrame, named: DataFrame) -> DataFrame:
+    """The pairs a, b whose sets are similar enough. light: node, row, n, bound of each node; named: __row, __text."""
     spark = pairs.sparkSession
-    for x in "ab":
-        pairs = pairs.join(light.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("row", "n", "bound")]), x)
-    pairs = materialise(spark, possible(pairs), "possible")
-    rows = materialise(spark, pairs.select(F.col("row_a").alias("__row")).union(pairs.select("row_b")).distinct(), "rows")
-    sets = materialise(spark, own.join(rows, "__row", "left_semi").select("node", "n", "items"), "sets")
-    one = sets.select(F.col("node").alias("a"), F.col("n").alias("__n"), F.col("items").alias("__items"))
-    two = sets.select(F.col("node").alias("b"), F.col("n").alias("__m"), F.col("items").alias("__others"))
+    pairs = materialise(spark, pairs, "pairs")
+    total, hot = pairs.count(), {}
+    for x in "ab":  # a node that many others meet
+        hot[x] = frequent_keys(pairs.groupBy(x).agg(F.count("*").alias("count")), x, "count", total)
+    full = pairs
+    for x, y in ("ab", "ba"):
+        full = salted_join(full, light.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("row", "n", "bound")]), [x], hot[x], [y])
+    full = materialise(spark, possible(full), "possible")
+    rows = materialise(spark, full.select(F.col("row_a").alias("__row")).union(full.select("row_b")).distinct(), "rows")
+    sets = materialise(spark, shingle_sets(named.join(rows, "__row", "left_semi")), "sets")
+    one = sets.select(F.col("node").alias("a"), F.col("items").alias("__items"))
+    two = sets.select(F.col("node").alias("b"), F.col("items").alias("__others"))
     both = F.size(F.array_intersect("__items", "__others"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").where(both * (OVER + UNDER) >= (F.col("__n") + F.col("__m")) * OVER).select("a", "b")
-
-
-def groups(docs: DataFrame) -> DataFrame:
-    """docs: __row (long), __text. For every row __row and component_id, a node that all rows of the component have in common."""
-    spark = docs.sparkSession
-    own = materialise(spark, shingle_sets(docs, "__row", "__text"), "shingles")
-    light = materialise(spark, own.groupBy("node").agg(F.min("__row").alias("row"), F.first("n").alias("n"), F.first("bound").alias("bound")), "light")
-    at = Window.partitionBy("item")
-    met = prefixes(own, frequent(own)).select("item", "node", "n", F.min(F.struct("node", "n")).over(at).alias("hub"), F.max("node").over(at).alias("last"))
-    met = materialise(spark, met.where("hub.node < last").drop("last"), "met")
-    near = met.where("node <> hub.node").where(_sizes_fit(F.col("n"), F.col("hub.n")))
-    first = verified(near.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct(), light, own)
-    stars = components(first)
+    wide = salted_join(salted_join(full.select("a", "b"), one, ["a"], hot["a"], ["b"]), two, ["b"], hot["b"], ["a"])
+    out = materialise(spark, wide.where(both * (OVER + UNDER) >= (F.size("__items") + F.size("__others")) * OVER).select("a", "b"), "similar")
+    discard(pairs, full, rows, sets)
+    return out
+
+
+def by_fingerprint(light: DataFrame) -> DataFrame:
+    """Pairs a, b of nodes to verify: of equal fingerprints each with the smallest, of near fingerprints the smallest of either."""
+    spark = light.sparkSession
+    classes = materialise(spark, light.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("count")), "classes")
+    same = salted_join(light.select("fp", "node"), classes.select("fp", "least"), ["fp"], frequent_keys(classes, "fp", "count", light.count()), ["node"])
+    near = links(classes, DISTANCE).distinct()
+    for x in "ab":
+        near = near.join(classes.select(F.col("fp").alias(x), F.col("least").alias(f"node_{x}")), x)
+    near = near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    return same.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).unionByName(near)
+
+
+def groups(named: DataFrame) -> DataFrame:
+    """named: __row (long), __text, a table that gives the same rows again. For every row __row and component_id, a node that all rows of the component have in common."""
+    spark = named.sparkSession
+    own = materialise(spark, sketches(named, frequent(named)), "sketches")
+    light = own.groupBy("node").agg(F.min("__row").alias("row"), *[F.first(c).alias(c) for c in ("n", "fp", "bound")])
+    light = materialise(spark, light, "light")
+    found = verified(by_fingerprint(light), light, named)
+    # one row of each node
+    first = own.join(light.select(F.col("row").alias("__row")), "__row", "left_semi").select("node", "n", F.explode("prefix").alias("item"))
+    met = materialise(spark, first, "prefixes")
+    items = met.groupBy("item").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("count")).where("count > 1")
+    items = materialise(spark, items, "items")
+    often = frequent_keys(items, "item", "count", met.count())
+    shared = materialise(spark, salted_join(met, items.drop("count"), ["item"], often, ["node"]), "met")
+    discard(met, items)
+    near = shared.where("node <> hub.node").where(_sizes_fit(F.col("n"), F.col("hub.n")))
+    stars = verified(near.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct(), light, named)
+    linked = materialise(spark, components(found.unionByName(stars)), "linked")
     label = F.coalesce("root", "node")
-    apart = met.join(stars, "node", "left").select("item", "node", "n", F.col("hub.node").alias("hub"), label.alias("label"))
-    apart = apart.select("*", F.min("label").over(at).alias("low"), F.max("label").over(at).alias("high")).where("low < high").drop("low", "high")
-    apart = materialise(spark, apart, "apart")
-    x, y = apart.alias("x"), apart.alias("y")
+    apart = materialise(spark, shared.join(linked, "node", "left").select("item", "node", "n", F.col("hub.node").alias("hub"), label.alias("label")), "labelled")
+    mixed = apart.groupBy("item").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("item")
+    rest = materialise(spark, salted_join(apart, mixed, ["item"], often, ["node"], "left_semi"), "apart")
+    discard(shared, apart)
+    x, y = rest.alias("x"), rest.alias("y")
     # a pair with the smallest set at the shingle has been compared already
     others = x.join(y, F.expr("x.item = y.item AND x.node < y.node AND x.label <> y.label AND x.node <> x.hub")).where(_sizes_fit(F.col("x.n"), F.col("y.n")))
-    second = verified(others.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), light, own)
-    reached = components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second))
-    return own.select("__row", "node").join(reached, "node", "left").select("__row", label.alias("component_id"))
+    second = verified(others.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), light, named)
+    reached = materialise(spark, components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second)), "reached")
+    nodes = own.groupBy("node").agg(F.count("*").alias("count"))
+    return salted_join(own.select("__row", "node"), reached, ["node"], frequent_keys(nodes, "node", "count", own.count()), ["__row"], "left").select("__row", label.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component: of its smallest key, and of rows that repeat that key the first.
+    """One row of each component: of its smallest key, and of rows that repeat that key one.
 
     Rows without a key are kept where their component has no other.
     """
-    named = docs.withColumn("__row", F.monotonically_increasing_id())
-    return first_of(named, groups(named.select("__row", F.col(f"`{text}`").alias("__text"))), key)
+    named = numbered(docs)
+    return first_of(named, groups(named.select(F.col("row").alias("__row"), F.col(f"cols.`{text}`").alias("__text"))), key, docs.columns)

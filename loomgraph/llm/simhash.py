@@ -4,7 +4,8 @@ A text's words are lower-cased (A to Z) and taken in shingles, repeats included;
 a bit of its 64-bit fingerprint is 1 if it is set in over half the shingles'
 XXH64 hashes. Fingerprints that differ in at most ``distance`` bits are linked.
 
-Search: the 64 bits are dealt to ``parts`` partitions, correlated bits together.
+Search: the 64 bits are dealt to ``parts`` partitions, correlated bits together;
+their number follows from that of the fingerprints by expected cost.
 For thresholds t of at least -1 that sum to distance - parts + 1, two linked
 fingerprints differ in at most t[i] bits within some partition i; that holds for
 the thresholds of either of them alone. So every fingerprint chooses thresholds
@@ -21,11 +22,13 @@ than there are values within ``distance`` bits.
 Defined cases: a text of fewer words than a shingle is one shingle; a null text
 or one without words has the fingerprint 0, which links like any other; null ids
 don't count as smallest id, a component of null ids alone has the id null;
-repeated rows are rows of one component; empty tables give empty tables.
+repeated rows are rows of one component; empty tables give empty tables; other
+columns may have any names: ``groups`` drops them, ``keep_one`` keeps them.
 """
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 from itertools import accumulate, combinations
 
@@ -35,10 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .memory import tidy
 from ..operators.components import components
+from ..operators.skew import frequent, salted_join
+from .memory import tidy
+from .rows import numbered, unpacked
 
-SHINGLE, DISTANCE, PARTS, SEED = 3, 3, 3, 42
+SHINGLE, DISTANCE, SEED = 3, 3, 42
 #: Hashes that are summed up together.
 TOGETHER = 1 << 17
 #: What a probe and a candidate cost, relative to each other.
@@ -113,7 +118,7 @@ def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
     return out.get(-1, 0), np.array([out.get(k, 0) for k in range(4096)], np.float64).reshape(64, 64)
 
 
-def group_bits(n: int, gram: np.ndarray, parts: int = PARTS) -> list[list[int]]:
+def group_bits(n: int, gram: np.ndarray, parts: int) -> list[list[int]]:
     """Partitions of nearly equal width; each takes the bits most correlated with those it has. Bit 0 is the highest."""
     p = np.diag(gram) / max(n, 1)
     cov = gram / max(n, 1) - np.outer(p, p)
@@ -134,6 +139,23 @@ def group_bits(n: int, gram: np.ndarray, parts: int = PARTS) -> list[list[int]]:
     return out
 
 
+def choose_parts(n: int, distance: int) -> int:
+    """The number of partitions with the least expected cost of probes and candidates for n fingerprints of even bits.
+
+    More fingerprints ask for fewer, wider partitions, so candidates don't grow with their square.
+    """
+    costs = {}
+    for parts in range(2, max(2, distance + 1) + 1):
+        best = [0.0] + [math.inf] * (distance + 1)  # by thresholds spent, each as t + 1
+        for k in range(parts):
+            width = 64 // parts + (k < 64 % parts)
+            probes = [0, *accumulate(math.comb(width, t) for t in range(distance + 1))]
+            cost = [m * (PROBE + VERIFY * n / 2**width) for m in probes]
+            best = [min(best[total - t] + cost[t] for t in range(total + 1)) for total in range(distance + 2)]
+        costs[parts] = best[distance + 1]
+    return min(costs, key=lambda p: (costs[p], p))
+
+
 def extract(h: np.ndarray, bits: list[int]) -> np.ndarray:
     """The named bits of each fingerprint as one number, the first named highest."""
     out = np.zeros(len(h), np.int64)
@@ -153,7 +175,7 @@ def masks(width: int, most: int) -> np.ndarray:
 
 
 def histograms(fps: DataFrame, groups: list[list[int]]) -> list[list[np.ndarray]]:
-    """For each partition and half, how often each value occurs: at most 2 ** 11 values each, for three partitions."""
+    """For each partition and half, how often each value occurs: at most 2 ** 16 values each, as there are two partitions at least."""
 
     def run(batches):
         sums = [[np.zeros(1 << len(x), np.int64) for x in halves(g)] for g in groups]
@@ -217,9 +239,10 @@ def allocate(h: np.ndarray, groups: list[list[int]], near: list[list[np.ndarray]
     return out
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, parts: int = PARTS) -> DataFrame:
-    """Pairs a > b of distinct fingerprints that differ in at most ``distance`` bits. fps: fp, distinct."""
+def links(fps: DataFrame, distance: int = DISTANCE, parts: int | None = None) -> DataFrame:
+    """Pairs a > b of distinct fingerprints that differ in at most ``distance`` bits. fps: fp, distinct. parts: chosen by cost if None."""
     n, gram = bit_statistics(fps)
+    parts = parts or choose_parts(n, distance)
     groups = group_bits(n, gram, parts)
     near = expected(histograms(fps, groups), groups, n, distance)
 
@@ -256,34 +279,35 @@ def links(fps: DataFrame, distance: int = DISTANCE, parts: int = PARTS) -> DataF
     return p.join(i, near_enough).select(F.greatest("p.fp", "i.fp").alias("a"), F.least("p.fp", "i.fp").alias("b"))
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, parts: int = PARTS) -> DataFrame:
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, parts: int | None = None) -> DataFrame:
     """For every row its key, fingerprint and component: the smallest key that can be reached over links."""
     spark = docs.sparkSession
     own = materialise(spark, with_fingerprint(docs, key, text, shingle), "fingerprints")
-    classes = materialise(spark, own.groupBy("fp").agg(F.min(f"`{key}`").alias("least")), "classes")
-    reached = components(links(classes, distance, parts))
+    classes = materialise(spark, own.groupBy("fp").agg(F.min(f"`{key}`").alias("least"), F.count("*").alias("n")), "classes")
+    reached = materialise(spark, components(links(classes, distance, parts)), "reached")
     members = reached.join(classes, reached["node"] == classes["fp"])
-    roots = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = reached.join(roots, "root").select(F.col("node").alias("fp"), "component_id")
-    label = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return own.join(label, "fp").select(
+    roots = materialise(spark, members.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "roots")
+    linked = salted_join(reached, roots.drop("n"), ["root"], frequent(roots, "root", "n", reached.count()), ["node"])
+    label = classes.join(linked.select(F.col("node").alias("fp"), "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    hot = frequent(classes, "fp", "n", own.count())  # texts that are copied very often
+    return salted_join(own, label, ["fp"], hot, [F.col(f"`{key}`")]).select(
         f"`{key}`", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def first_of(named: DataFrame, own: DataFrame, key: str) -> DataFrame:
-    """Of ``named``, which has __row, the smallest (key, row) of each component. own: __row, component_id."""
+def first_of(named: DataFrame, own: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Of ``named`` (row, cols) the smallest (key, row) of each component, with its columns. own: __row, component_id."""
     # keys that are null come last
-    place = named.select("__row", F.struct(F.col(f"`{key}`").isNull().alias("none"), F.col(f"`{key}`").alias("key"), "__row").alias("place"))
-    first = own.select("__row", "component_id").join(place, "__row").groupBy("component_id").agg(F.min("place").alias("place"))
-    return named.join(first.select(F.col("place.__row").alias("__row")), "__row", "left_semi").drop("__row")
+    place = named.select("row", F.struct(F.col(f"cols.`{key}`").isNull().alias("none"), F.col(f"cols.`{key}`").alias("key"), "row").alias("place"))
+    first = own.select(F.col("__row").alias("row"), "component_id").join(place, "row").groupBy("component_id").agg(F.min("place").alias("place"))
+    return unpacked(named.join(first.select(F.col("place.row").alias("row")), "row", "left_semi"), columns)
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, parts: int = PARTS) -> DataFrame:
-    """One row of each component: of its smallest key, and of rows that repeat that key the first.
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, parts: int | None = None) -> DataFrame:
+    """One row of each component: of its smallest key, and of rows that repeat that key one.
 
     Rows without a key are kept where their component has no other.
     """
-    named = docs.withColumn("__row", F.monotonically_increasing_id())
-    own = groups(named.select("__row", F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text")), "__row", "__text", shingle, distance, parts)
-    return first_of(named, own, key)
+    named = numbered(docs)
+    own = groups(named.select(F.col("row").alias("__row"), F.col(f"cols.`{text}`").alias("__text")), "__row", "__text", shingle, distance, parts)
+    return first_of(named, own, key, docs.columns)

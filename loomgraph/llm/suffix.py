@@ -1,4 +1,4 @@
-"""Exact removal of long repeats with sparse suffix arrays in a logarithmic family.
+"""Exact removal of long repeats with sparse suffix arrays in a logarithmic index family.
 
 A byte goes when it is covered by a string of ``length`` bytes that also starts
 anywhere else, in the same text or another.
@@ -7,43 +7,55 @@ anywhere else, in the same text or another.
 smallest hash is the window's anchor (the leftmost of equals). Equal windows have
 equal anchors at equal places, so only windows of one anchor can be equal. A
 *run* is a stretch of windows with one anchor; a run with the bytes of its
-windows is a *fragment*. About one position in ninety is an anchor.
-
-*Groups.* Runs are summed up by anchor. An anchor that occurs once repeats
-nothing. Runs whose whole fragments are equal repeat altogether, which hashes
-of the fragments show. Only where fragments of one anchor differ their bytes are
-compared: one fragment of each kind goes to the bucket of its anchor.
-
-*Suffix arrays.* A bucket takes its fragments in batches. A batch gets a suffix
-array of the suffixes that start at anchors, is merge-scanned against the
-existing levels (neighbours in merged order, as long as they share the anchor;
-what they share to the right is the running minimum of the common prefixes, what
-they share to the left is compared backwards), and becomes a level; levels of
-equal size merge, so there are logarithmically many.
-
-A group of more than ``PAIRS`` fragments is compared by fingerprints of its
-windows instead of by pairs, in linear time; one of more than ``HOT`` isn't
-brought to one task at all: its windows are summed up by fingerprint over the
-cluster. No group, match or text is left out at any size.
-
-Rows are told apart by their place in the input, so the input must give the same
-rows in the same order when it is read again, as tables do.
-
-Defined cases: null texts are empty; repeated rows are repeats of each other;
-texts under ``length`` bytes lose nothing; empty tables give empty tables;
-columns of the input that clash with the operator's must be renamed by the caller.
+windows is a *fragment*. About one position in ninety is an anchor, a sparse
+suffix.
+
+*The family.* ``Index`` keeps texts and levels of suffixes in a folder. A new batch
+becomes a level of its own; before, it is merged with the levels that are there
+(by anchor, which is how suffixes begin) and scanned for windows that repeat. Levels
+whose sizes are within a factor of two of each other merge, so there are
+logarithmically many. A manifest, written last, names what is valid, so a batch
+that was cut short leaves no trace and can be added again.
+
+*Scan.* Suffixes are summed up by anchor. An anchor that occurs once repeats
+nothing. Runs whose whole fragments are equal (by 128 bits: the anchor's hash and
+the fragment's) repeat altogether. Only where fragments of one anchor differ are
+their bytes compared: one fragment of each kind goes to the bucket of its anchor.
+
+*Buckets.* A bucket takes its fragments in batches. A batch gets a suffix array of
+the suffixes that start at anchors, is merge-scanned against the bucket's levels
+(neighbours in merged order, as long as they share the anchor; what they share to
+the right is the running minimum of the common prefixes, what they share to the
+left is compared backwards), and becomes a level itself. Fragments of an anchor
+with more than ``pairs`` kinds would meet too many neighbours: they get a dense
+suffix array, sorted by ``length`` bytes by prefix doubling, whose equal
+neighbours are the repeats. Both compare bytes. An anchor with more than
+``hot_from`` kinds isn't brought to one task at all: its windows are summed up over
+the cluster by 128 bits of hash. No group, match or text is left out at any size.
+
+Joins deal out frequent anchors with a salt. Rows are numbered once, in the
+index's own copy of the texts, and only that copy is read afterwards.
+
+Defined cases: null texts are empty (``strip_repeats`` leaves them null); repeated rows are repeats of each other;
+texts under ``length`` bytes lose nothing; empty tables give empty tables; columns
+of the input may have any names.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialise
+from ..operators.skew import frequent, salted_join
+from ..session import discard, materialise, scratch_path
 from .memory import tidy
+from .rows import number, packed
 
 LENGTH, GRAM = 200, 24
 #: Bytes of texts that are searched for anchors together, and windows of a long text taken at once.
@@ -56,40 +68,11 @@ HOT = 20_000
 BUCKET, BATCH = 16_384, 4_096
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9)]
-_RNG = np.random.default_rng(5)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE2 = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_UNBASE = pow(_BASE, -1, 2**64)
-_powers: dict[str, np.ndarray] = {}
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * _C[3]
     return h ^ (h >> np.uint64(29))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, from the power 0 on."""
-    if len(_powers.get("up", ())) < n:
-        n = max(n, (1 << 20) + (1 << 18))
-        _powers["up"] = np.cumprod(np.full(n, _BASE, np.uint64)) * np.uint64(_UNBASE)
-        _powers["down"] = np.cumprod(np.full(n, _UNBASE, np.uint64)) * np.uint64(_BASE)
-    return _powers["up"], _powers["down"]
-
-
-class StringHash:
-    """Hashes of any substrings of a buffer, from prefix sums."""
-
-    def __init__(self, a: np.ndarray, table: np.ndarray = _BYTE):
-        up, self.down = _power(len(a) + 1)
-        self.sums = np.zeros(len(a) + 1, np.uint64)
-        np.cumsum(table[a] * up[: len(a)], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[end] - self.sums[start]) * self.down[start])
-
-
 def find_runs(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """Runs of all texts: text, first window, windows, place of the anchor in the first window, anchor hash, fragment hash."""
     out: list[tuple] = []
@@ -111,10 +94,11 @@ def find_runs(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...
 
 
 def _runs(pieces: list[tuple[int, int, bytes]], length: int) -> tuple:
+    from xxhash import xxh3_64_intdigest
+
     sizes = np.array([len(p) for *_, p in pieces])
     first = np.cumsum(sizes) - sizes
     buf = b"".join(p for *_, p in pieces) + bytes(GRAM + 8)
-    a = np.frombuffer(buf, np.uint8)
     n = int(sizes.sum())
     w = np.ndarray((n + GRAM,), "<u8", buf, 0, (1,)).copy()
     h = _mix(w[:n] * _C[0] ^ (w[8 : n + 8] * _C[1] + (w[16 : n + 16] * _C[2] >> np.uint64(7))))
@@ -138,8 +122,8 @@ def _runs(pieces: list[tuple[int, int, bytes]], length: int) -> tuple:
     start = np.flatnonzero(new)
     piece = np.searchsorted(first, start, side="right") - 1
     stop = np.minimum(np.append(start[1:], n), (first + windows)[piece])
-    hashes = StringHash(a[:n])
-    fragment = hashes.of(start, stop - 1 + length)
+    view = memoryview(buf)
+    fragment = np.array([xxh3_64_intdigest(view[i:j]) for i, j in zip(start.tolist(), (stop - 1 + length).tolist(), strict=True)], np.uint64)
     text = np.array([k for k, *_ in pieces])[piece]
     base = np.array([at for _, at, _ in pieces])[piece]
     return text, base + start - first[piece], stop - start, anchor[start] - start, h[anchor[start]], fragment
@@ -249,15 +233,35 @@ class Family:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
 
-def windows_of(fragments: list[bytes], length: int, table: np.ndarray = _BYTE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window of each fragment: the fragment, the place, and a fingerprint."""
+def _places(fragments: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window of each fragment: the fragment, the place in it, and the place in all of them joined."""
     sizes = np.array([len(f) for f in fragments])
-    a = np.frombuffer(b"".join(fragments), np.uint8)
     count = sizes - length + 1
     row = np.repeat(np.arange(len(sizes)), count)
     place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    start = place + (np.cumsum(sizes) - sizes)[row]
-    return row, place, StringHash(a, table).of(start, start + length)
+    return row, place, place + (np.cumsum(sizes) - sizes)[row]
+
+
+def dense_ranks(fragments: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window: the fragment, the place, and its rank in the suffix array that is sorted by ``length`` bytes.
+
+    Prefix doubling: ranks by 8 bytes, then by pairs of ranks, each sort doubling the bytes; equal ranks are equal bytes.
+    """
+    row, place, start = _places(fragments, length)
+    buf = b"".join(fragments) + bytes(8)
+    n = len(buf) - 8
+    words = np.ndarray((n,), ">u8", buf, 0, (1,))
+    width = min(8, length)
+    if width < 8:
+        words = words >> np.uint64(8 * (8 - width))
+    rank = np.unique(words, return_inverse=True)[1]
+    while width < length:
+        step = min(width, length - width)
+        ahead = np.zeros_like(rank)
+        ahead[: n - step] = rank[step:]
+        rank = np.unique(rank * np.int64(rank.max() + 1) + ahead, return_inverse=True)[1]
+        width += step
+    return row, place, rank[start]
 
 
 def _stretches(row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -286,38 +290,38 @@ def compare_bucket(batches, length: int, pairs: int = PAIRS, batch: int = BATCH)
         x = np.concatenate(places)[ids]
         yield ids, x - hi, x - lo
     if wide:
-        row, place, h = windows_of(wide, length)
-        _, back, n = np.unique(h, return_inverse=True, return_counts=True)
-        twice = n[back] > 1
+        row, place, rank = dense_ranks(wide, length)
+        twice = np.bincount(rank)[rank] > 1
         r, first, last = _stretches(row[twice], place[twice])
         yield np.array(wide_ids)[r], first, last
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, pairs: int = PAIRS, hot_from: int = HOT, batch: int = BATCH) -> tuple[DataFrame, DataFrame]:
-    """Numbered texts (row, key, bytes) and the spans of them that are repeated (row, lo, hi), which may overlap."""
-    spark = docs.sparkSession
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`"), F.encode(F.coalesce(F.col(f"`{text}`"), F.lit("")), "UTF-8").alias("bytes"))
+def scan_levels(new: DataFrame, levels: list[DataFrame], texts: DataFrame, length: int, pairs: int = PAIRS, hot_from: int = HOT, batch: int = BATCH) -> DataFrame:
+    """Spans (row, lo, hi), which may overlap, of windows that repeat among the new suffixes or between them and the levels.
 
-    def runs(batches):
-        for b in batches:
-            own = b.column(0).to_numpy(zero_copy_only=False)
-            k, start, n, x, anchor, fragment = find_runs(b.column(1).to_pylist(), length)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(own[k]), pa.array(start << 16 | n << 8 | x), pa.array(anchor.view(np.int64)), pa.array(fragment.view(np.int64))],
-                names=["row", "run", "anchor", "fragment"],
-            )
-
-    found = materialise(spark, texts.select("row", "bytes").mapInArrow(tidy(runs), "row long, run long, anchor long, fragment long"), "runs")
-    several = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    found = materialise(spark, found.join(several, "anchor"), "repeated-anchors")
-    kinds = found.groupBy("anchor", "fragment").agg(F.count("*").alias("n"), F.min(F.struct("row", "run")).alias("one"))
-    groups = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    kinds = materialise(spark, kinds.join(groups, "anchor"), "fragments-by-anchor")
+    new, levels: row, run, anchor, fragment. texts: row, bytes of all batches.
+    """
+    spark = new.sparkSession
+    by = ["row", "run"]
+    found = new
+    if levels:
+        begin = materialise(spark, new.select("anchor").distinct(), "new-anchors")
+        for level in levels:
+            found = found.unionByName(level.join(begin, "anchor", "left_semi").select(*new.columns))
+    total = found.count()
+    counts = materialise(spark, found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "anchor-counts")
+    keys = frequent(counts, "anchor", "n", total)
+    again = materialise(spark, salted_join(found, counts.select("anchor"), ["anchor"], keys, by, "left_semi"), "repeated-anchors")
+    kinds = materialise(spark, again.groupBy("anchor", "fragment").agg(F.count("*").alias("n"), F.min(F.struct(*by)).alias("one")), "kinds")
+    groups = materialise(spark, kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds-by-anchor")
     # whole fragments that repeat
-    whole = found.join(kinds.where("n > 1").select("anchor", "fragment"), ["anchor", "fragment"])
+    twice = kinds.where("n > 1").select("anchor", "fragment")
+    whole = salted_join(again, twice, ["anchor", "fragment"], keys, by, "left_semi")
     whole = whole.select("row", F.shiftright("run", 16).alias("lo"), (F.shiftright("run", 16) + F.shiftright("run", 8).bitwiseAND(F.lit(255)) + (length - 1)).alias("hi"))
+    whole = materialise(spark, whole, "whole")
     # one fragment of each kind where kinds differ
-    asked = kinds.where("kinds > 1").select("one.row", F.struct("one.run", "anchor", "kinds", F.col("n").alias("n")).alias("ask"))
+    different = salted_join(kinds, groups, ["anchor"], frequent(groups, "anchor", "kinds", kinds.count()), ["fragment"])
+    asked = different.select("one.row", F.struct("one.run", "anchor", "kinds", F.col("n").alias("n")).alias("ask"))
     asked = asked.groupBy("row").agg(F.collect_list("ask").alias("asks"))
     with_text = texts.select("row", "bytes").join(asked, "row")
 
@@ -335,8 +339,9 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     names = ["anchor", "kinds", "open", "row", "run", "data"]
     kinds_of = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
     cuts = materialise(spark, with_text.mapInArrow(tidy(cut), "anchor long, kinds long, open boolean, row long, run long, data binary"), "fragments")
-    total = kinds.where(f"kinds > 1 AND kinds <= {hot_from}").count()
-    buckets = max(1, -(-total // BUCKET), spark.sparkContext.defaultParallelism)
+    discard(again, kinds, counts)
+    many = groups.where(f"kinds <= {hot_from}").agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
+    buckets = max(1, -(-many // BUCKET), spark.sparkContext.defaultParallelism)
 
     def compare(batches):
         meta: list[tuple] = []
@@ -359,77 +364,182 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     near = near.mapInArrow(tidy(compare), "row long, lo long, hi long")
 
     def spread(batches):
+        from xxhash import xxh3_128_digest
+
         for b in batches:
             run, row = b.column(1).to_numpy(zero_copy_only=False), b.column(0).to_numpy(zero_copy_only=False)
             for lo in range(0, b.num_rows, 512):
                 data = b.column(2).slice(lo, 512).to_pylist()
-                k, place, h = windows_of(data, length)
-                _, _, g = windows_of(data, length, _BYTE2)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(row[lo + k]), pa.array((run[lo + k] >> 16) + place)], names=["h", "g", "row", "at"])
-
-    hot = cuts.where(f"kinds > {hot_from}").select("row", "run", "data").mapInArrow(tidy(spread), "h long, g long, row long, at long")
-    twice = hot.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g")
-    far = hot.join(twice, ["h", "g"]).select("row", F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
-    return texts, whole.unionByName(near).unionByName(far)
+                k, place, start = _places(data, length)
+                view = memoryview(b"".join(data))
+                h = [xxh3_128_digest(view[i : i + length]) for i in start.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), pa.array(row[lo + k]), pa.array((run[lo + k] >> 16) + place)], names=["h", "row", "at"])
+
+    hot = cuts.where(f"kinds > {hot_from}").select("row", "run", "data").mapInArrow(tidy(spread), "h binary, row long, at long")
+    repeated = hot.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # a kind is one row here, so a window occurs at most once for each kind of its anchor
+    far = hot.join(repeated, "h", "left_semi").select("row", F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
+    out = materialise(spark, near.unionByName(far).unionByName(whole), "spans")
+    discard(cuts, whole, groups)
+    return out
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, **limits: int) -> DataFrame:
-    """key, n_bytes, spans (array of first byte and end) and kept (the remaining bytes) of every row."""
-    texts, spans = repeats(docs, key, text, length, **limits)
-    spans = materialise(docs.sparkSession, spans, "spans")
-    lists = spans.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    both = texts.join(lists, "row", "left").drop("row")
+class Index:
+    """A family of levels in a folder: the numbered texts, the suffixes of each level, and the spans found so far."""
+
+    def __init__(self, spark: SparkSession, path: str, length: int = LENGTH, **limits: int):
+        self.spark, self.path, self.length, self.limits = spark, path, length, limits
+        self.state = self._read() or {"length": length, "texts": [], "levels": [], "spans": []}
+        if self.state["length"] != length:
+            raise ValueError("the index was built for another length")
+
+    def _place(self, name: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _read(self) -> dict | None:
+        p, fs = self._place("manifest.json")
+        return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.path}/manifest.json").collect())) if fs.exists(p) else None
+
+    def _commit(self, state: dict) -> None:
+        """The manifest is replaced by renaming, so there is always a whole one, or it and its successor."""
+        p, fs = self._place("manifest.json")
+        q, _ = self._place(f"manifest-{uuid.uuid4().hex}")
+        out = fs.create(q, True)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        fs.delete(p, False)
+        if not fs.rename(q, p):
+            raise OSError(f"{self.path}/manifest.json can't be written")
+        self.state = state
+
+    def _write(self, df: DataFrame, name: str) -> str:
+        name = f"{name}-{uuid.uuid4().hex[:12]}"
+        df.write.parquet(f"{self.path}/{name}")
+        return name
+
+    def _tables(self, names: list[str]) -> list[DataFrame]:
+        return [self.spark.read.parquet(f"{self.path}/{n}") for n in names]
+
+    def add(self, docs: DataFrame, text: str = "text") -> None:
+        """A batch of texts. All batches must have the same columns."""
+        state = json.loads(json.dumps(self.state))
+        data = docs.select(number(len(state["texts"])).alias("row"), packed(docs, text), F.encode(F.col(f"`{text}`"), "UTF-8").alias("bytes"))
+        state["texts"].append(self._write(data, "texts"))
+        length = self.length
+        (own,) = self._tables(state["texts"][-1:])
+
+        def runs(batches):
+            for b in batches:
+                rows = b.column(0).to_numpy(zero_copy_only=False)
+                k, start, n, x, anchor, fragment = find_runs([t or b"" for t in b.column(1).to_pylist()], length)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rows[k]), pa.array(start << 16 | n << 8 | x), pa.array(anchor.view(np.int64)), pa.array(fragment.view(np.int64))],
+                    names=["row", "run", "anchor", "fragment"],
+                )
+
+        name = self._write(own.select("row", "bytes").mapInArrow(tidy(runs), "row long, run long, anchor long, fragment long"), "level")
+        (new,) = self._tables([name])
+        texts = self.texts(state)
+        spans = scan_levels(new, self._tables([x["name"] for x in state["levels"]]), texts, length, **self.limits)
+        state["spans"].append(self._write(spans, "spans"))
+        discard(spans)
+        state["levels"].append({"name": name, "suffixes": new.count()})
+        stale = []
+        while len(state["levels"]) > 1 and state["levels"][-2]["suffixes"] <= 2 * state["levels"][-1]["suffixes"]:
+            both = [state["levels"].pop(), state["levels"].pop()]
+            a, b = self._tables([x["name"] for x in both])
+            state["levels"].append({"name": self._write(a.unionByName(b), "level"), "suffixes": sum(x["suffixes"] for x in both)})
+            stale += [x["name"] for x in both]
+        self._commit(state)
+        for x in stale:
+            p, fs = self._place(x)
+            fs.delete(p, True)
+
+    def texts(self, state: dict | None = None) -> DataFrame:
+        """row, cols (the other columns) and bytes of all batches."""
+        first, *rest = self._tables((state or self.state)["texts"])
+        for x in rest:
+            first = first.unionByName(x)
+        return first
+
+    def found(self) -> DataFrame:
+        """The spans of each row with any: row, spans."""
+        first, *rest = self._tables(self.state["spans"])
+        for x in rest:
+            first = first.unionByName(x)
+        return first.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+
+
+def removed(index: Index, key: str = "doc_id") -> DataFrame:
+    """key, n_bytes, spans (array of first byte and end) and kept (the remaining bytes) of every text of the index."""
+    texts = index.texts()
+    both = texts.join(index.found(), "row", "left").select(F.col(f"cols.`{key}`"), "bytes", "spans")
     span = T.ArrayType(T.StructType([T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())]))
-    schema = T.StructType([docs.schema[key], T.StructField("n_bytes", T.LongType()), T.StructField("spans", span), T.StructField("kept", T.BinaryType())])
+    schema = T.StructType([texts.schema["cols"].dataType[key], T.StructField("n_bytes", T.LongType()), T.StructField("spans", span), T.StructField("kept", T.BinaryType())])
 
     def finish(batches):
         kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                texts, lists, merged, kept = part.column(1).to_pylist(), part.column(2).to_pylist(), [], []
+                texts, lists, merged, kept = [t or b"" for t in part.column(1).to_pylist()], part.column(2).to_pylist(), [], []
                 for t, own in zip(texts, lists, strict=True):
-                    out: list[list[int]] = []
-                    for lo, hi in sorted((s["lo"], s["hi"]) for s in own or ()):
-                        if out and lo <= out[-1][1]:
-                            out[-1][1] = max(out[-1][1], hi)
-                        else:
-                            out.append([lo, hi])
+                    out = joined(own)
                     merged.append([{"lo": lo, "hi": hi} for lo, hi in out])
-                    ends = [0, *(hi for _, hi in out)]
-                    kept.append(b"".join(t[a:z] for a, z in zip(ends, [*(lo for lo, _ in out), len(t)], strict=True)))
+                    kept.append(outside(t, out))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(merged, kind), pa.array(kept, pa.binary())], names=[key, "n_bytes", "spans", "kept"])
 
     return both.mapInArrow(tidy(finish), schema)
 
 
+def joined(spans: list[dict] | None) -> list[tuple[int, int]]:
+    """Spans that overlap or touch as one, in order."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted((s["lo"], s["hi"]) for s in spans or ()):
+        if out and lo <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], hi)
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def outside(data: bytes, spans: list[tuple[int, int]]) -> bytes:
+    ends = [0, *(hi for _, hi in spans)]
+    return b"".join(data[a:z] for a, z in zip(ends, [*(lo for lo, _ in spans), len(data)], strict=True))
+
+
+def _one_batch(docs: DataFrame, text: str, length: int, limits: dict) -> Index:
+    index = Index(docs.sparkSession, scratch_path(docs.sparkSession, "suffix-index"), length, **limits)
+    index.add(docs, text)
+    return index
+
+
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, **limits: int) -> DataFrame:
+    """``removed`` of an index that holds just these texts."""
+    return removed(_one_batch(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")), text, length, limits), key)
+
+
 def strip_repeats(docs: DataFrame, text: str = "text", size: str | None = "n_chars", length: int = LENGTH, **limits: int) -> DataFrame:
     """``docs`` with repeats cut from the text; what a cut leaves of a character goes too. Texts with nothing left go.
 
     ``size``, if it is a column, is set to the characters of the new text.
     """
-    spark = docs.sparkSession
-    _, spans = repeats(docs, docs.columns[0], text, length, **limits)
-    spans = materialise(spark, spans, "spans")
-    lists = spans.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("__spans"))
-    both = docs.withColumn("row__", F.monotonically_increasing_id()).join(lists.withColumnRenamed("row", "row__"), "row__", "left").drop("row__")
-
+    index = _one_batch(docs, text, length, limits)
     names = docs.columns
+    both = index.texts().join(index.found(), "row", "left")
+    both = both.select(*[F.decode("bytes", "UTF-8").alias(c) if c == text else F.col(f"cols.`{c}`").alias(c) for c in names], F.col("spans").alias("__"))
+    at = names.index(text)
 
     def cut(batches):
         for b in batches:
-            new = []
-            for t, own in zip(b.column(text).to_pylist(), b.column("__spans").to_pylist(), strict=True):
+            new, keep = [], []
+            for t, own in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
                 if own and t:
-                    data, out, at = t.encode(), [], 0
-                    for lo, hi in sorted((s["lo"], s["hi"]) for s in own):
-                        if lo > at:
-                            out.append(data[at:lo])
-                        at = max(at, hi)
-                    t = b"".join([*out, data[at:]]).decode(errors="ignore")
+                    t = outside(t.encode(), joined(own)).decode(errors="ignore")
                 new.append(t)
-            cols = [pa.array(new, pa.string()) if c == text else b.column(c) for c in names]
-            keep = [not own or bool(t) for t, own in zip(new, b.column("__spans").to_pylist(), strict=True)]
+                keep.append(not own or bool(t))
+            cols = [pa.array(new, pa.string()) if k == at else b.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep, pa.bool_()))
 
     out = both.mapInArrow(tidy(cut), docs.schema)
@@ -438,6 +548,6 @@ def strip_repeats(docs: DataFrame, text: str = "text", size: str | None = "n_cha
     return out
 
 
-def digest(removed: DataFrame, key: str = "doc_id") -> DataFrame:
+def digest(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     size = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["hi"] - s["lo"])
-    return removed.select(key, "n_bytes", size.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return rows.select(F.col(f"`{key}`"), "n_bytes", size.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -15,7 +15,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomgraph.llm import ann, jpeg, mixing, packing, queries, sharding, simhash, suffix, tokens, warc
+from loomgraph.llm import ann, jpeg, mixing, near, packing, queries, sharding, simhash, suffix, tokens, warc
+from loomgraph.llm import rows as rows_of
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, source string"
@@ -24,7 +25,7 @@ DOCS = "doc_id long, text string, source string"
 def frame(spark, rows):
     """With columns whose names operators might use themselves."""
     df = spark.createDataFrame(rows, DOCS)
-    return df.withColumns({c: F.lit(7) for c in ("n_bytes", "size", "row", "fp", "slot", "length", "score", "spans", "media")})
+    return df.withColumns({c: F.lit(7) for c in ("n_bytes", "size", "row", "fp", "slot", "length", "score", "spans", "media", "bytes", "cols", "__row", "__spans", "__size", "__source", "__text", "row__", "__key")})
 
 
 ODD = [(1, None, None), (2, "", "a"), (3, "  ", "a"), (None, "hello there world", "b"), (5, "hello there world", "b"), (5, "hello there world", "b"), (6, "x " * 5000, None), (7, "é<|endoftext|> \n\n it's 12,5.", "")]
@@ -361,6 +362,56 @@ def test_repeats(spark, limits):
     assert collections.Counter(map(tuple, got)) == want
 
 
+def test_batches_one_by_one_equal_one_run(spark, tmp_path):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefgh é.") for _ in range(n))
+    shared = [word(rng.randint(210, 500)) for _ in range(6)]
+    rows = [(k, "".join(rng.choice([word(rng.randint(0, 200)), rng.choice(shared), rng.choice(shared)[rng.randint(0, 99) :]]) for _ in range(3)), "s") for k in range(42)]
+    path = f"file://{tmp_path}/index"
+    for at in range(0, 42, 6):
+        index = suffix.Index(spark, path)  # what is stored is all that is kept between batches
+        index.add(frame(spark, rows[at : at + 6]))
+    levels = index.state["levels"]
+    assert len(levels) <= math.log2(7) + 1 and all(a["suffixes"] > 2 * b["suffixes"] for a, b in zip(levels, levels[1:]))
+    assert sorted(x.name for x in (tmp_path / "index").glob("level-*")) == sorted(x["name"] for x in levels)
+    got = suffix.digest(suffix.removed(suffix.Index(spark, path))).collect()
+    want = collections.Counter((k, *x) for (k, _, _), x in zip(rows, brute_repeats([t.encode() for _, t, _ in rows])))
+    assert collections.Counter(map(tuple, got)) == want
+    with pytest.raises(ValueError):
+        suffix.Index(spark, path, 100)
+
+
+def test_splits_may_change_between_stages(spark, sf, tmp_path, monkeypatch):
+    """What the loss of executors does to a scan."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(7)
+    docs.write.parquet(f"{tmp_path}/docs")
+    rows = docs.collect()
+    before = suffix.materialise
+    count = iter(range(10**6))
+
+    def shaken(*args):
+        out = before(*args)
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", 1 + next(count) % 3)
+        return out
+
+    for module in (suffix, simhash, near, rows_of):
+        monkeypatch.setattr(module, "materialise", shaken)
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", 1024)
+        read = spark.read.parquet(f"{tmp_path}/docs")
+        got = suffix.digest(suffix.remove_repeats(read)).collect()
+        want = collections.Counter((r.doc_id, *x) for r, x in zip(rows, brute_repeats([(r.text or "").encode() for r in rows])))
+        assert collections.Counter(map(tuple, got)) == want
+        kept = {r.doc_id for r in simhash.keep_one(read).collect()}
+        groups = collections.defaultdict(set)
+        for r in simhash.groups(docs).collect():
+            groups[r.component_id].add(r.doc_id)
+        assert kept == {min(x) for x in groups.values()}
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_levels_merge_geometrically():
     rng = np.random.default_rng(1)
     family = suffix.Family()
