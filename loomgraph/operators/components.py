@@ -3,8 +3,9 @@
 Alternating rounds: *large star* hangs every larger neighbour of a node on the
 smallest node of its neighbourhood, *small star* does so with the smaller ones.
 Each round is an aggregation and a join on the node; hubs are pre-aggregated and
-their join may be split where a hub has very many links. Every round is written
-to the shared folder, so a lost executor costs no earlier round.
+their links dealt to several parts of the join. Every round is written to the
+shared folder, so a lost executor costs no earlier round; the one before it is
+deleted then.
 """
 
 from __future__ import annotations
@@ -12,7 +13,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import discard, materialise
+from .skew import frequent, salted_join
+
+#: Links below which a job that looks for hubs costs more than the hubs.
+FEW = 20_000
+
+
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """edges (u, v) with the smallest v of each u."""
+    by = edges.groupBy("u").agg(F.min("v").alias("least"), F.count("*").alias("n"))
+    hubs = frequent(by, "u", "n", total) if total > FEW else []
+    return salted_join(edges, by.select("u", "least"), ["u"], hubs, ["v"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,19 +36,20 @@ def components(links: DataFrame) -> DataFrame:
     spark = links.sparkSession
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = materialise(spark, edges, "links")
-    before = None
+    count = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    now = count(edges)
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("least")).withColumn("least", F.least("u", "least"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("least").alias("v"))
+        large = _with_least(both, 2 * now[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v"))
         large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("least"))
-        small = large.join(low, "u")
+        if now[0] > FEW:  # it is read twice
+            large = materialise(spark, large, "links")
+        small = _with_least(large, now[0])
         small = small.select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(small.select("u", F.col("least").alias("v")))
-        edges = materialise(spark, small.where("u <> v").distinct(), "links")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
+        after = materialise(spark, small.where("u <> v").distinct(), "links")
+        discard(edges, *([large] if now[0] > FEW else []))
+        edges, before, now = after, now, count(after)
+        if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
                 edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
-        before = tuple(now)
