@@ -177,8 +177,9 @@ class WordMemo:
     between two spaces, without a final punctuation mark behind a letter or a
     digit, which the pattern splits off anyway. Words are found, hashed and
     looked up with array operations; only new words go to the library, together.
-    A word is known by its 64-bit hash, its length and its first eight bytes.
-    When the table is full it is emptied.
+    A word is found by a 64-bit hash and known by all its bytes, which every hit is
+    compared with; a word of more than ``LONGEST`` bytes goes to the library each time
+    it occurs. When the table is full it is emptied.
 
     A text whose spaces aren't all stable, or with an added token, goes to the
     library whole. The first word of a text has no space before it and is
@@ -186,6 +187,7 @@ class WordMemo:
     """
 
     SLOTS = 1 << 21
+    LONGEST = 64
     MARKS = b",.;:!?"
 
     def __init__(self, tok: JsonTokenizer):
@@ -210,9 +212,10 @@ class WordMemo:
     def clear(self) -> None:
         self.slot_hash = np.zeros(self.SLOTS, np.uint64)
         self.slot_word = np.full(self.SLOTS, -1, np.int32)
-        self.n = self.n_ids = 0
+        self.n = self.n_ids = self.n_chunks = 0
         cap = self.SLOTS // 2
-        self.head, self.size = np.zeros(cap, np.uint64), np.zeros(cap, np.int32)
+        self.where, self.size = np.zeros(cap, np.int32), np.zeros(cap, np.int32)
+        self.chunks = np.zeros(1 << 16, np.uint64)  # the words' bytes, eight at a time
         self.at, self.count = np.zeros(cap, np.int64), np.zeros(cap, np.int32)  # count -1: unsafe
         self.ids = np.zeros(1 << 16, np.uint32)
 
@@ -241,8 +244,10 @@ class WordMemo:
             self.slot_word[slot[own]], self.slot_hash[slot[own]] = words[own], h[own]
             h, words, slot = h[~own], words[~own], (slot[~own] + 1) & (self.SLOTS - 1)
 
-    def _learn(self, buf: bytes, h, head, start, size) -> None:
-        texts = [buf[a : a + n].decode() for a, n in zip(start.tolist(), size.tolist(), strict=True)]
+    def _learn(self, buf: bytes, h: np.ndarray | None, start: np.ndarray, size: np.ndarray) -> None:
+        """Words of distinct new hashes; without hashes, words that are numbered from ``n`` on until the next call only."""
+        raw = [buf[a : a + n] for a, n in zip(start.tolist(), size.tolist(), strict=True)]
+        texts = [x.decode() for x in raw]
         added = self.tok.added
         safe = [bool(t) and not t[0].isspace() and not t[-1].isspace() and not any(x in t for x in added) for t in texts]
         found = self.tok.ids([" " + t for t, ok in zip(texts, safe, strict=True) if ok])
@@ -252,12 +257,34 @@ class WordMemo:
         flat = np.array([i for x in found for i in x], np.uint32)
         while self.n_ids + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
+        while n + k > len(self.at):
+            self.at, self.count = (np.concatenate([x, np.zeros(len(x), x.dtype)]) for x in (self.at, self.count))
         self.ids[self.n_ids : self.n_ids + len(flat)] = flat
         kept = np.maximum(size_of, 0)
         self.at[n : n + k] = self.n_ids + np.cumsum(kept) - kept
-        self.count[n : n + k], self.head[n : n + k], self.size[n : n + k] = size_of, head, size
+        self.count[n : n + k] = size_of
+        if h is None:
+            return
+        own = np.frombuffer(b"".join(x.ljust(-(-len(x) // 8) * 8, b"\0") for x in raw), "<u8")
+        while self.n_chunks + len(own) > len(self.chunks):
+            self.chunks = np.concatenate([self.chunks, np.zeros(len(self.chunks), np.uint64)])
+        self.chunks[self.n_chunks : self.n_chunks + len(own)] = own
+        wide = (size + 7) >> 3
+        self.where[n : n + k], self.size[n : n + k] = self.n_chunks + np.cumsum(wide) - wide, size
         self._put(h, np.arange(n, n + k, dtype=np.int32))
-        self.n, self.n_ids = n + k, self.n_ids + len(flat)
+        self.n, self.n_ids, self.n_chunks = n + k, self.n_ids + len(flat), self.n_chunks + len(own)
+
+    def _same(self, word: np.ndarray, eight: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether each word's bytes are those that stand at ``start``."""
+        same = self.size[word] == size
+        for k in range(0, self.LONGEST, 8):
+            todo = np.flatnonzero(same & (size > k))
+            if not len(todo):
+                break
+            here = eight[start[todo] + k].copy().view("<u8").ravel()
+            spare = np.uint64(8) * (8 - np.minimum(size[todo] - k, 8)).astype(np.uint64)
+            same[todo] = here & (~np.uint64(0) >> spare) == self.chunks[self.where[word[todo]] + (k >> 3)]
+        return same
 
     def _powers(self, n: int) -> None:
         if len(self.power) < n:
@@ -293,23 +320,28 @@ class WordMemo:
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
         eight = np.lib.stride_tricks.as_strided(a, (len(a) - 7, 8), (1, 1))
-        head = eight[start].copy().view("<u8").ravel()
-        head = head & (~np.uint64(0) >> (np.uint64(8) * (8 - np.minimum(size, 8)).astype(np.uint64)))
-        word = self._find(h)
-        if (word < 0).any():
-            new, at = np.unique(h[word < 0], return_index=True)
+        brief = size <= self.LONGEST
+        word = np.full(len(h), -1, np.int32)
+        word[brief] = self._find(h[brief])
+        if (brief & (word < 0)).any():
+            pos = np.flatnonzero(brief & (word < 0))
+            new, at = np.unique(h[pos], return_index=True)
             if self.n + len(new) > self.SLOTS // 2:
                 self.clear()
-                new, at = np.unique(h, return_index=True)
+                pos = np.flatnonzero(brief)
+                new, at = np.unique(h[pos], return_index=True)
                 if len(new) > self.SLOTS // 2:
                     raise ValueError("too many words in one group of texts")
-                pos = np.arange(len(h))[at]
-            else:
-                pos = np.flatnonzero(word < 0)[at]
-            self._learn(buf, new, head[pos], start[pos], size[pos])
-            word = self._find(h)
+            self._learn(buf, new, start[pos[at]], size[pos[at]])
+            word[brief] = self._find(h[brief])
+        bad = ~brief
+        bad[brief] = ~self._same(word[brief], eight, start[brief], size[brief])
+        if not brief.all():
+            self._learn(buf, None, start[~brief], size[~brief])
+            word[~brief] = self.n + np.arange(int((~brief).sum()))
+            bad[~brief] = False
         # a word of the same hash but other bytes, or one that isn't safe, or a mark behind no letter: care
-        bad = (self.head[word] != head) | (self.size[word] != size) | (self.count[word] < 0)
+        bad |= self.count[word] < 0
         wide = (mark > 0) & (a[np.maximum(end - 2, 0)] >= 128)
         for k in np.flatnonzero(wide & ~bad):
             bad[k] = not buf[max(start[k], end[k] - 5) : end[k] - 1].decode(errors="ignore")[-1:].isalnum()

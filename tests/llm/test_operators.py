@@ -55,6 +55,28 @@ def test_remembered_words_give_the_librarys_ids(many):
         assert memo.counts(texts).tolist() == [len(x) for x in want]
 
 
+def thue_morse(n, a, b):
+    out = [0]
+    while len(out) < n:
+        out += [1 - x for x in out]
+    return "".join((a, b)[x] for x in out[:n])
+
+
+def test_words_that_hashes_confuse_and_long_words():
+    tok, memo = tokens.load(VOCABULARY), tokens.memo_of(VOCABULARY)
+    pairs = [(thue_morse(n, a, b), thue_morse(n, b, a)) for n in (32, 64, 128, 1024, 2048) for a, b in ("ab", "xq", "0a")]
+    pairs += [("abcdefgh" + "x" * k + "y", "abcdefgh" + "x" * k + "z") for k in (0, 7, 8, 54, 55, 56, 57, 500)]
+    pairs += [("é" * 31 + "a", "é" * 31 + "b"), ("w" * 64, "w" * 65), ("q" * 70_000, "q" * 70_001)]
+    texts = [f"start abcdefgh{x} end, {x}. {x}" for pair in pairs for x in pair] + ["one " + "u" * 80 + "<|endoftext|> two"]
+    for _ in range(2):
+        assert [x.tolist() for x in memo.encode(texts)] == tok.ids(texts)
+        assert memo.counts(texts).tolist() == [len(x) for x in tok.ids(texts)]
+    # a hash that confuses everything
+    other = tokens.WordMemo(tok)
+    other.of_byte = np.ones(256, np.uint64)
+    assert [x.tolist() for x in other.encode(texts)] == tok.ids(texts)
+
+
 def test_token_counts(spark):
     got = tokens.count_tokens(frame(spark, ODD), VOCABULARY, chunk=500, overlap=20).collect()
     tok = tokens.load(VOCABULARY)
