@@ -14,24 +14,28 @@ the sum of min(passes * words, L * weight) is the budget, found in closed form
 from the sources sorted by passes * words / weight.
 
 Cumulative words inside a source need no single task for it: they are summed by
-ranges of the shuffled order first, and only inside a range row by row.
+ranges of the shuffled order first, as many as the rows ask for, and only inside
+a range row by row. Only sizes and positions are sorted for that; texts are joined
+to what is taken at the end.
 
 Defined cases: a null text has no words and is taken 0 times; a null source is a
-source, the last; rows that repeat are documents of their own and interchangeable;
-a source without words has the target 0; an empty table gives an empty table.
+source, the last; a null id stands where its text's hash puts it; rows that repeat
+are documents of their own and interchangeable; a source without words has the
+target 0; an empty table gives an empty table; other columns may have any names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .rows import numbered
 
 WEIGHTS = (5, 2, 1)
 PASSES = 3
-#: Ranges of a source's shuffled order, as hexadecimal digits of the hash: 256 ranges.
-RANGE_DIGITS = 2
+#: Rows of a range of the shuffled order, at most sixteen times as many at the mean.
+RANGE = 1 << 14
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -57,58 +61,58 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int
     )
 
 
-def _sized(docs: DataFrame, key: str, text: str, source: str, seed: int) -> DataFrame:
-    """``docs`` and, under names of their own, the size, the shuffled position, its range, and the source as two keys without nulls."""
-    words = F.regexp_count(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(WORD)).cast("bigint")
-    position = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))))
-    return docs.select(
-        "*",
-        words.alias("__size"),
-        position.alias("__shuffled"),
-        F.substring(position, 1, RANGE_DIGITS).alias("__range"),
-        F.coalesce(F.col(f"`{source}`"), F.lit("")).alias("__source"),
-        F.col(f"`{source}`").isNull().alias("__none"),
-    )
+def _facts(key: str, text: str, source: str, seed: int) -> list[Column]:
+    """A row's size, its shuffled position, and its source as two columns without nulls."""
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    name = F.coalesce(F.col(f"`{key}`").cast("string"), F.md5(t))
+    return [
+        F.regexp_count(t, F.lit(WORD)).cast("bigint").alias("size"),
+        F.md5(F.concat_ws(":", F.lit(str(seed)), name)).alias("shuffled"),
+        F.coalesce(F.col(f"`{source}`"), F.lit("")).alias("source"),
+        F.col(f"`{source}`").isNull().alias("none"),
+    ]
+
+
+def range_digits(rows: int) -> int:
+    """Hexadecimal digits of the position that name a range of about ``RANGE`` rows, or up to sixteen times as many."""
+    digits = 0
+    while 16 ** (digits + 1) * RANGE <= rows:
+        digits += 1
+    return digits + 1
 
 
 def _ranges(sized: DataFrame, weights: tuple[int, ...], passes: int) -> DataFrame:
     """Words before each range of each source, and the source's size and target."""
-    by = ["__source", "__none"]
-    ranges = sized.groupBy(*by, "__range").agg(F.sum("__size").alias("range_size"))
+    by = ["source", "none"]
+    ranges = sized.groupBy(*by, "range").agg(F.sum("size").alias("range_size"))
     sums = ranges.groupBy(*by).agg(F.sum("range_size").alias("source_size"))
-    share = targets(sums.select(F.when(~F.col("__none"), F.col("__source")).alias("source"), "source_size"), weights, passes)
-    share = share.select(F.coalesce("source", F.lit("")).alias("__source"), F.col("source").isNull().alias("__none"), "source_size", "target")
-    inside = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    share = targets(sums.select(F.when(~F.col("none"), F.col("source")).alias("source"), "source_size"), weights, passes)
+    share = share.select(F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNull().alias("none"), "source_size", "target")
+    inside = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("before", F.coalesce(F.sum("range_size").over(inside), F.lit(0)))
-    return ranges.join(share, by).select(*by, "__range", F.col("before").alias("__before"), F.col("source_size").alias("__all"), F.col("target").alias("__target"))
+    return ranges.join(share, by).select(*by, "range", "before", "source_size", "target")
 
 
-def _placed(sized: DataFrame, ranges: DataFrame, key: str, passes: int) -> DataFrame:
-    """Adds to each row the words of its source up to its end and what the mix takes of it.
+def _placed(slim: DataFrame, order: list[str], weights: tuple[int, ...], passes: int) -> DataFrame:
+    """slim: size, shuffled, source, none and ``order``, written. Adds the words of its source up to the row's end and what the mix takes of it.
 
     The join and the window need the rows dealt by the same columns: one shuffle.
     """
-    by = ["__source", "__none", "__range"]
-    rows = Window.partitionBy(*by).orderBy("__shuffled", f"`{key}`", "__size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = sized.join(ranges, by).withColumn("__end", F.col("__before") + F.sum("__size").over(rows))
-    budget, start = F.floor(F.col("__target") + 0.5), F.col("__end") - F.col("__size")
-    taken = sum(F.greatest(F.lit(0), F.least(F.col("__size"), budget - k * F.col("__all") - start)) for k in range(passes))
-    return out.withColumn("__taken", taken.cast("bigint"))
+    by = ["source", "none", "range"]
+    sized = slim.withColumn("range", F.substring("shuffled", 1, range_digits(slim.count())))
+    rows = Window.partitionBy(*by).orderBy("shuffled", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = sized.join(_ranges(sized, weights, passes), by).withColumn("end", F.col("before") + F.sum("size").over(rows))
+    budget, start = F.floor(F.col("target") + 0.5), F.col("end") - F.col("size")
+    taken = sum(F.greatest(F.lit(0), F.least(F.col("size"), budget - k * F.col("source_size") - start)) for k in range(passes))
+    return out.withColumn("taken", taken.cast("bigint"))
 
 
 def schedule(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES) -> DataFrame:
     """A row for each document: size, source_size, target, taken and the finish time of its first copy, sorted by that."""
-    slim = _sized(docs, key, text, source, seed).select(f"`{key}`", "__size", "__shuffled", "__range", "__source", "__none")
-    slim = materialise(docs.sparkSession, slim, "mix-sizes")
-    out = _placed(slim, _ranges(slim, weights, passes), key, passes)
-    return out.select(
-        f"`{key}`",
-        F.col("__size").alias("size"),
-        F.col("__all").alias("source_size"),
-        F.col("__target").alias("target"),
-        F.col("__taken").alias("taken"),
-        F.when(F.col("__target") > 0, F.col("__end") / F.col("__target")).alias("finish"),
-    ).orderBy("finish", f"`{key}`", "size")
+    slim = materialise(docs.sparkSession, docs.select(F.col(f"`{key}`").alias("id"), *_facts(key, text, source, seed)), "mix-sizes")
+    out = _placed(slim, ["id", "size"], weights, passes)
+    finish = F.when(F.col("target") > 0, F.col("end") / F.col("target")).alias("finish")
+    return out.select(F.col("id").alias(key), "size", "source_size", "target", "taken", finish).orderBy("finish", f"`{key}`", "size")
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES) -> DataFrame:
@@ -116,21 +120,22 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
     The copy that its source's budget ends in keeps its first words.
     """
-    sized = _sized(docs, key, text, source, seed)
-    slim = materialise(docs.sparkSession, sized.select("__size", "__range", "__source", "__none"), "mix-sizes")
-    got = _placed(sized, _ranges(slim, weights, passes), key, passes).where("__taken > 0")
-    got = got.withColumn("__copy", F.explode(F.expr("sequence(1L, CAST(ceil(__taken / __size) AS BIGINT))")))
-    got = got.withColumn("__words", F.least("__size", F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")))
-    got = got.withColumn("__finish", (F.col("__end") + (F.col("__copy") - 1) * F.col("__all")) / F.col("__target"))
-    part = F.array_join(F.slice(F.regexp_extract_all(F.col(f"`{text}`"), F.lit(WORD), 0), F.lit(1), F.col("__words").cast("int")), " ")
-    cut = F.when(F.col("__words") < F.col("__size"), part).otherwise(F.col(f"`{text}`"))
-    return got.orderBy("__finish", f"`{key}`", "__size").select(*[cut.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    named = numbered(docs, F.col(f"`{key}`").alias("id"), *_facts(key, text, source, seed))
+    placed = _placed(named.drop("cols"), ["id", "size"], weights, passes).where("taken > 0").select("row", "end", "source_size", "target", "taken")
+    got = named.select("row", "id", "size", "cols").join(placed, "row")
+    got = got.withColumn("copy", F.explode(F.expr("sequence(1L, CAST(ceil(taken / size) AS BIGINT))")))
+    got = got.withColumn("words", F.least("size", F.col("taken") - (F.col("copy") - 1) * F.col("size")))
+    got = got.withColumn("finish", (F.col("end") + (F.col("copy") - 1) * F.col("source_size")) / F.col("target"))
+    whole = F.col(f"cols.`{text}`")
+    part = F.array_join(F.slice(F.regexp_extract_all(whole, F.lit(WORD), 0), F.lit(1), F.col("words").cast("int")), " ")
+    cut = F.when(F.col("words") < F.col("size"), part).otherwise(whole)
+    return got.orderBy("finish", "id", "size").select(*[cut.alias(c) if c == text else F.col(f"cols.`{c}`").alias(c) for c in docs.columns])
 
 
 MIX_SQL = r"""
 WITH d AS (
     SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-        md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS shuffled FROM documents),
+        md5('7:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS shuffled FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 k AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM s),
 w AS (SELECT *, CAST([5, 2, 1][(k - 1) % 3 + 1] AS DOUBLE) AS weight, CAST(source_size * 3 AS DOUBLE) AS most FROM k),

@@ -12,8 +12,10 @@ For windows that are padded, padding is width - (c[j] - c[i]), so the minimum is
 that of f[i] + c[i] over a sliding range of i, which a monotone queue gives in
 constant time. Lengths that are powers of two are looked up one by one.
 
-One narrow stage without a shuffle: every partition packs its own documents, in
-blocks of bounded size, so order is kept and memory doesn't grow with the input.
+One narrow stage: every partition packs its own documents, in blocks of bounded
+size, so order is kept and memory doesn't grow with the input. A table's order is
+that of its partitions; where rows are to be packed in another, ``order`` names it,
+and they are range-sorted first. Sequence ids rise with that order.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are
 documents of their own; a document longer than a block spans several blocks and
@@ -30,7 +32,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -181,12 +184,27 @@ class Packer:
         self.clear()
 
 
-def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", width: int = WIDTH, end_id: int = 0) -> DataFrame:
+def file_order(docs: DataFrame) -> list[Column] | None:
+    """The order in which a job wrote the files of this table, and of rows inside them; None if it isn't read from files."""
+    part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("bigint")
+    try:
+        own = [part, F.col("_metadata.file_path"), F.col("_metadata.row_index")]
+        docs.select(*own).schema  # noqa: B018
+    except AnalysisException:
+        return None
+    return own
+
+
+def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", width: int = WIDTH, end_id: int = 0, order: list[Column] | None = None) -> DataFrame:
     """One row for each piece: where it lies in its document and in its sequence."""
     kept = docs.schema[key]
     names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     schema = T.StructType([T.StructField(key, kept.dataType), *[T.StructField(c, T.LongType()) for c in names[1:]]])
-    slim = docs.select(F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
+    slim = docs.select(F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    if order:
+        places = [f"p{k}" for k in range(len(order))]
+        slim = docs.select(F.col(f"`{key}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), *[c.alias(p) for c, p in zip(order, places, strict=True)])
+        slim = slim.repartitionByRange(*places).sortWithinPartitions(*places).select(F.col("id").alias(key), "text")
 
     def run(batches):
         packer = Packer(path, width, end_id, TaskContext.get().partitionId() << 40)

@@ -6,7 +6,7 @@ first slot of its order that is still free, until the table is full. So shards
 own equal numbers of slots, and when a shard goes, few other slots change hands.
 
 The table has a fixed size, chosen by the caller and independent of the data,
-and is made on the driver. On the data, placement is a hash, a remainder and a
+and is made on the driver and spread out by one split of a constant. On the data, placement is a hash, a remainder and a
 join with the broadcast table: DataFrame functions only, one narrow stage, so a
 hot key costs no more than any other.
 
@@ -56,28 +56,24 @@ def slot_of(key: Column, size: int = TABLE_SIZE) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint"), F.lit(size))
 
 
-def table_text(table: list[int]) -> str:
-    """The table as text of four hexadecimal digits a slot."""
-    return "".join(f"{k:04x}" for k in table)
-
-
 def shard(df: DataFrame, key: str, shards: list[str], size: int = TABLE_SIZE, slot: str = "slot", name: str = "shard") -> DataFrame:
-    """``df`` with the slot of its key and the index of the shard that owns it."""
-    df = df.drop(slot, name)
-    spark = df.sparkSession
-    table = spark.range(size).select(
-        F.col("id").alias("__slot"),
-        F.conv(F.substring(F.lit(table_text(fill_table(shards, size))), (F.col("id") * 4 + 1).cast("int"), F.lit(4)), 16, 10).cast("int").alias(name),
-    )
-    placed = df.withColumn(slot, slot_of(F.col(f"`{key}`"), size))
+    """``df`` with the slot of its key and the name of the shard that owns it."""
+    rest = [c for c in df.columns if c not in (slot, name)]
     # a row for each slot: the size of what is broadcast is fixed by the parameter
-    return placed.join(F.broadcast(table), F.col(slot) == F.col("__slot")).drop("__slot")
+    listed = F.split(F.lit(" ".join(f"{k:x}" for k in fill_table(shards, size))), " ")
+    owner = F.element_at(F.array(*[F.lit(s) for s in shards]), F.conv("digits", 16, 10).cast("int") + 1)
+    table = df.sparkSession.range(1).select(F.posexplode(listed).alias("at", "digits")).select(F.col("at").cast("bigint").alias("at"), owner.alias("owner"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("cols"), slot_of(F.col(f"`{key}`"), size).alias("at"))
+    placed = rows.join(F.broadcast(table), "at")
+    return placed.select(*[F.col(f"cols.`{c}`").alias(c) for c in rest], F.col("at").alias(slot), F.col("owner").alias(name))
 
 
 def shard_sql(shards: list[str], size: int = TABLE_SIZE, key: str = "doc_id", table: str = "documents") -> str:
     """The same placement as SQL for DuckDB."""
-    text = table_text(fill_table(shards, size))
+    names = ", ".join("'" + s.replace("'", "''") + "'" for s in shards)
+    listed = " ".join(f"{k:x}" for k in fill_table(shards, size))
     return f"""
     WITH placed AS (
-        SELECT {key}, CAST(('0x' || substr(md5(coalesce(CAST({key} AS VARCHAR), '')), 1, 8)) AS BIGINT) % {size} AS slot FROM {table})
-    SELECT {key}, slot, CAST(('0x' || substr('{text}', CAST(slot * 4 + 1 AS BIGINT), 4)) AS INTEGER) AS shard FROM placed"""
+        SELECT {key}, CAST(('0x' || substr(md5(coalesce(CAST({key} AS VARCHAR), '')), 1, 8)) AS BIGINT) % {size} AS slot FROM {table}),
+    owners AS (SELECT [{names}] AS shards, string_split('{listed}', ' ') AS digits)
+    SELECT {key}, slot, shards[CAST(('0x' || digits[slot + 1]) AS INTEGER) + 1] AS shard FROM placed, owners"""
