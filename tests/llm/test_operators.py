@@ -141,6 +141,22 @@ def test_packing(spark, sf):
     assert packing.pack(frame(spark, ODD).limit(0), VOCABULARY).count() == 0
 
 
+def test_packing_keeps_the_order_of_files(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(k, "word " * rng.randint(1, 900), "s") for k in range(400)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, DOCS).repartition(9)
+    df.orderBy("doc_id").write.parquet(f"{tmp_path}/sorted")
+    spark.conf.set("spark.sql.files.openCostInBytes", 1024)
+    read = spark.read.parquet(f"{tmp_path}/sorted")
+    got = packing.pack(read, VOCABULARY, order=packing.file_order(read)).collect()
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    check_pieces(got, [(k, t) for k, t, _ in rows])
+    ids = [r.doc_id for r in sorted(got, key=lambda r: (r.sequence_id, r.offset))]
+    assert ids == sorted(ids)
+    assert packing.file_order(spark.range(3)) is None
+
+
 def test_a_document_longer_than_a_block():
     packer = packing.Packer(VOCABULARY, 1024, 0, 0)
     ids = np.arange(packing.BLOCK * 2 + 100, dtype=np.uint32) % 50_000
@@ -529,18 +545,33 @@ def test_same_as_sql(spark, sf, name):
     compare(spark, sf, queries.queries()[name], queries.oracle_sql()[name])
 
 
-def test_pipeline(spark, sf):
+def test_pipeline(spark, sf, tmp_path):
     import corpus_pipeline
 
     docs = queries.read(spark, sf, "documents")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    seen = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns, name
-        out.write.mode("overwrite").parquet(f"/tmp/loomgraph-test/{name}")
-        docs = spark.read.parquet(f"/tmp/loomgraph-test/{name}")
-        assert docs.count() > 0
-    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
-    assert pieces.count() > 0
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        seen[name] = docs.collect()
+        assert all(r.n_chars == len(r.text) for r in seen[name])
+    scored = {r.doc_id: r.predicted for r in queries.op7_toxicity(spark, sf).collect()}
+    assert {r.doc_id for r in seen["toxicity"]} == {k for k, p in scored.items() if not p}
+    assert {r.doc_id for r in seen["simhash"]} == {r.doc_id for r in near.keep_one(spark.read.parquet(f"{tmp_path}/toxicity")).collect()}
+    rows = [(r.doc_id, r.text) for r in seen["simhash"]]
+    want = {k: x[0] - x[1] for (k, _), x in zip(rows, brute_repeats([t.encode() for _, t in rows]))}
+    assert all(len(r.text.encode()) <= want[r.doc_id] and (r.text == texts[r.doc_id] or want[r.doc_id] < len(texts[r.doc_id].encode())) for r in seen["suffix_array"])
+    taken = {r.doc_id: r.taken for r in mixing.schedule(spark.read.parquet(f"{tmp_path}/suffix_array")).collect()}
+    words = collections.Counter()
+    for r in seen["mixing"]:
+        words[r.doc_id] += len(r.text.encode().split())
+    assert words == {k: n for k, n in taken.items() if n}
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    tok = tokens.load(VOCABULARY)
+    assert sum(r.length for r in pieces) == sum(len(tok.ids([r.text])[0]) + 1 for r in seen["mixing"])
     empty = queries.read(spark, sf, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
