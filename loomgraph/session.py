@@ -10,6 +10,7 @@ import tempfile
 import threading
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,17 +63,11 @@ def scratch(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    _paths().append(path)
+    if getattr(_made, "open", False):
+        _made.paths.append(path)
     return path
 
 
-def _paths() -> list[str]:
-    """Paths that this thread has made and not given back."""
-    if not hasattr(_made, "paths"):
-        _made.paths = []
-    return _made.paths
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
@@ -94,21 +89,26 @@ def discard(*tables: DataFrame) -> None:
     """Delete materialised tables that only tables written since were made from."""
     for t in tables:
         _delete(t.sparkSession, t._scratch)
-        if t._scratch in _paths():
-            _paths().remove(t._scratch)
-
-
-def sweep(spark: SparkSession, *needed: DataFrame) -> None:
-    """Delete what this thread has left in the shared folder, but for what ``needed`` reads.
-
-    For use between the steps of a job, each of which writes its result elsewhere.
-    """
-    files = [f for df in needed for f in df.inputFiles()]
-    keep = [p for p in _paths() if any(f"/{p.rsplit('/', 1)[1]}/" in f for f in files)]
-    for p in _paths():
-        if p not in keep:
+        if t._scratch in getattr(_made, "paths", ()):
+            _made.paths.remove(t._scratch)
+
+
+@contextmanager
+def step(spark: SparkSession, *needed: DataFrame):
+    """A step of a job whose steps each write their results: at its beginning, what earlier steps of
+    this thread left in the shared folder is deleted, but for what ``needed`` reads."""
+    files = [f for df in needed for f in df.inputFiles()] if getattr(_made, "paths", None) else []
+    keep = []
+    for p in getattr(_made, "paths", ()):
+        if any(f"/{p.rsplit('/', 1)[1]}/" in f for f in files):
+            keep.append(p)
+        else:
             _delete(spark, p)
-    _made.paths = keep
+    _made.paths, _made.open = keep, True
+    try:
+        yield
+    finally:
+        _made.open = False
 
 
 def local_session(app: str = "loomgraph", cores: str | None = None) -> SparkSession:

@@ -15,13 +15,15 @@ def here(df):
 
 
 def test_tables_are_discarded_and_swept(spark):
-    a, b, c = (session.materialise(spark, spark.range(k), f"t{k}") for k in (1, 2, 3))
+    other = session.materialise(spark, spark.range(5), "other")  # of no step
+    with session.step(spark):
+        a, b, c = (session.materialise(spark, spark.range(k), f"t{k}") for k in (1, 2, 3))
     session.discard(a)
     assert not here(a) and here(b)
-    session.sweep(spark, b.where("id > 0"))
-    assert here(b) and not here(c) and b.count() == 2
-    session.sweep(spark)
-    assert not here(b)
+    with session.step(spark, b.where("id > 0")):
+        assert here(b) and not here(c) and b.count() == 2
+    with session.step(spark, spark.range(1)):
+        assert not here(b) and here(other)
 
 
 def test_a_cluster_must_name_its_shared_folder():
