@@ -15,8 +15,9 @@ which steers the cost only, never the result. So every linked pair meets at a
 shingle. Sets that meet at a shingle are first compared with the smallest of them;
 then those that are still in different components are compared with each other. A
 large group of near copies costs one comparison for each, and no linked pair is
-left out. Before whole sets are made again, counts of their hashes in a few
-buckets bound from above what two sets can share.
+left out. Before whole sets are made again, bitmaps of their hashes, four bits for
+each, bound from above what two sets can share: a bit that only one has stands for
+a shingle, at least, that the other lacks.
 
 Sets are made from the texts where they are needed and never stored in full. Joins
 deal out frequent shingles and nodes with a salt.
@@ -49,8 +50,8 @@ OVER, UNDER = 4, 5
 CELLS = 18
 #: Words that a worker remembers before it starts afresh.
 MEMO = 150_000
-#: Buckets of the counts that bound what two sets share.
-BUCKETS = 128
+#: Bits of a bitmap for each shingle, and at least.
+BITS, FEWEST = 4, 64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -118,8 +119,35 @@ def fingerprint(items: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(items)).tobytes(), "big")
 
 
+def bitmap(items: np.ndarray) -> bytes:
+    """A bit for each place that the leading bits of a hash name; as many places as a power of two, by the set's size."""
+    width = max(FEWEST, 1 << (BITS * len(items) - 1).bit_length()) if len(items) else FEWEST
+    flags = np.zeros(width, bool)
+    flags[(items >> np.uint64(65 - width.bit_length())).astype(np.int64)] = True
+    return np.packbits(flags).tobytes()
+
+
+def _folded(maps: np.ndarray, width: int) -> np.ndarray:
+    """Rows of bitmaps with neighbouring places put together until ``width`` bytes are left."""
+    while maps.shape[1] > width:
+        maps = np.packbits(np.unpackbits(maps, axis=1).reshape(len(maps), -1, 2).any(axis=2), axis=1)
+    return maps
+
+
+def most_shared(a: list[bytes], b: list[bytes], n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """For each two sets of bitmaps and sizes an upper bound of what they share."""
+    out = np.zeros(len(a), np.int64)
+    shapes = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)]).reshape(-1, 2)
+    for la, lb in np.unique(shapes, axis=0).tolist():
+        own = np.flatnonzero((shapes == (la, lb)).all(axis=1))
+        x, y = (_folded(np.frombuffer(b"".join(s[k] for k in own.tolist()), np.uint8).reshape(len(own), -1), min(la, lb)) for s in (a, b))
+        lacks = [np.bitwise_count(p & ~q).sum(axis=1, dtype=np.int64) for p, q in ((x, y), (y, x))]
+        out[own] = np.minimum(n_a[own] - lacks[0], n_b[own] - lacks[1])
+    return out
+
+
 def sketches(named: DataFrame, rank: np.ndarray) -> DataFrame:
-    """__row, node (the hash of the set, 0 of none), fp, n (the set's size), bound (its counts by bucket, 255 and more as 255), prefix (its first shingles, rare ones first)."""
+    """__row, node (the hash of the set, 0 of none), fp, n (the set's size), bits (its bitmap), prefix (its first shingles, rare ones first)."""
 
     def run(batches):
         memo = Hashes()
@@ -129,13 +157,13 @@ def sketches(named: DataFrame, rank: np.ndarray) -> DataFrame:
                 sets = [shingles(t, memo) for t in part.column(1).to_pylist()]
                 # a set is sorted, so equal ranks keep the order of hashes
                 first = [h[np.argsort(rank[(h >> np.uint64(64 - CELLS)).astype(np.int64)], kind="stable")[: len(h) - -(-OVER * len(h) // UNDER) + 1]] for h in sets]
-                bound = [np.minimum(np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes() for s in sets]
+                bits = [bitmap(s) for s in sets]
                 longs = [np.array([f(s) for s in sets], np.uint64).view(np.int64) for f in (_node, fingerprint)]
                 ends = np.concatenate([[0], np.cumsum([len(f) for f in first])])
                 prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, longs), pa.array([len(s) for s in sets], pa.int64()), pa.array(bound, pa.binary()), prefix], names=["__row", "node", "fp", "n", "bound", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, longs), pa.array([len(s) for s in sets], pa.int64()), pa.array(bits, pa.binary()), prefix], names=["__row", "node", "fp", "n", "bits", "prefix"])
 
-    return _texts(named).mapInArrow(tidy(run), "__row long, node long, fp long, n long, bound binary, prefix array<long>")
+    return _texts(named).mapInArrow(tidy(run), "__row long, node long, fp long, n long, bits binary, prefix array<long>")
 
 
 def shingle_sets(named: DataFrame) -> DataFrame:
@@ -159,22 +187,20 @@ def _sizes_fit(a: Column, b: Column) -> Column:
 
 
 def possible(pairs: DataFrame) -> DataFrame:
-    """a, b and both rows, without pairs whose counts rule out that they share enough; a full count rules out nothing."""
+    """a, b and both rows, without pairs whose bitmaps rule out that they share enough."""
 
     def run(batches):
         for b in batches:
             if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, BUCKETS) for k in (6, 7))
-                most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-                n = b.column(4).to_numpy() + b.column(5).to_numpy()
-                fits = (most * (OVER + UNDER) >= n * OVER) | (x.max(axis=1) == 255) | (y.max(axis=1) == 255)
-                yield b.select([0, 1, 2, 3]).filter(pa.array(fits))
+                n_a, n_b = b.column(4).to_numpy(), b.column(5).to_numpy()
+                most = most_shared(b.column(6).to_pylist(), b.column(7).to_pylist(), n_a, n_b)
+                yield b.select([0, 1, 2, 3]).filter(pa.array(most * (OVER + UNDER) >= (n_a + n_b) * OVER))
 
-    return pairs.select("a", "b", "row_a", "row_b", "n_a", "n_b", "bound_a", "bound_b").mapInArrow(tidy(run), "a long, b long, row_a long, row_b long")
+    return pairs.select("a", "b", "row_a", "row_b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(tidy(run), "a long, b long, row_a long, row_b long")
 
 
 def verified(pairs: DataFrame, light: DataFrame, named: DataFrame) -> DataFrame:
-    """The pairs a, b whose sets are similar enough. light: node, row, n, bound of each node; named: __row, __text."""
+    """The pairs a, b whose sets are similar enough. light: node, row, n, bits of each node; named: __row, __text."""
     spark = pairs.sparkSession
     pairs = materialise(spark, pairs, "pairs")
     total, hot = pairs.count(), {}
@@ -182,7 +208,9 @@ def verified(pairs: DataFrame, light: DataFrame, named: DataFrame) -> DataFrame:
         hot[x] = frequent_keys(pairs.groupBy(x).agg(F.count("*").alias("count")), x, "count", total)
     full = pairs
     for x, y in ("ab", "ba"):
-        full = salted_join(full, light.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("row", "n", "bound")]), [x], hot[x], [y])
+        full = salted_join(full, light.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("row", "n", "bits")]), [x], hot[x], [y])
+        if x == "b":
+            full = full.where(_sizes_fit(F.col("n_a"), F.col("n_b")))
     full = materialise(spark, possible(full), "possible")
     rows = materialise(spark, full.select(F.col("row_a").alias("__row")).union(full.select("row_b")).distinct(), "rows")
     sets = materialise(spark, shingle_sets(named.join(rows, "__row", "left_semi")), "sets")
@@ -211,22 +239,22 @@ def groups(named: DataFrame) -> DataFrame:
     """named: __row (long), __text, a table that gives the same rows again. For every row __row and component_id, a node that all rows of the component have in common."""
     spark = named.sparkSession
     own = materialise(spark, sketches(named, frequent(named)), "sketches")
-    light = own.groupBy("node").agg(F.min("__row").alias("row"), *[F.first(c).alias(c) for c in ("n", "fp", "bound")])
+    light = own.groupBy("node").agg(F.min("__row").alias("row"), *[F.first(c).alias(c) for c in ("n", "fp", "bits")])
     light = materialise(spark, light, "light")
     found = verified(by_fingerprint(light), light, named)
     # one row of each node
-    first = own.join(light.select(F.col("row").alias("__row")), "__row", "left_semi").select("node", "n", F.explode("prefix").alias("item"))
+    first = own.join(light.select(F.col("row").alias("__row")), "__row", "left_semi").select("node", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("item"))
     met = materialise(spark, first, "prefixes")
-    items = met.groupBy("item").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("count")).where("count > 1")
+    items = met.groupBy("item").agg(F.min("node").alias("hub"), F.count("*").alias("count")).where("count > 1")
     items = materialise(spark, items, "items")
     often = frequent_keys(items, "item", "count", met.count())
     shared = materialise(spark, salted_join(met, items.drop("count"), ["item"], often, ["node"]), "met")
     discard(met, items)
-    near = shared.where("node <> hub.node").where(_sizes_fit(F.col("n"), F.col("hub.n")))
-    stars = verified(near.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct(), light, named)
+    near = shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    stars = verified(near, light, named)
     linked = materialise(spark, components(found.unionByName(stars)), "linked")
     label = F.coalesce("root", "node")
-    apart = materialise(spark, shared.join(linked, "node", "left").select("item", "node", "n", F.col("hub.node").alias("hub"), label.alias("label")), "labelled")
+    apart = materialise(spark, shared.join(linked, "node", "left").select("item", "node", "n", "hub", label.alias("label")), "labelled")
     mixed = apart.groupBy("item").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("item")
     rest = materialise(spark, salted_join(apart, mixed, ["item"], often, ["node"], "left_semi"), "apart")
     discard(shared, apart)
