@@ -2,7 +2,8 @@
 
 Reading parses the markers, Huffman-decodes the scans and rebuilds the DC-only
 luminance thumbnail, one pixel for each block of 8 by 8; AC coefficients are
-skipped over, never transformed. Stretches between restart markers don't depend
+skipped over, never transformed. Components may come in one scan or in several: the
+scan that holds the first component, the luminance, is decoded. Stretches between restart markers don't depend
 on each other, so all stretches of all images of a batch that share their tables
 are decoded side by side with array operations.
 
@@ -14,8 +15,10 @@ thumbnail of such an image is the stored payload itself.
 Defined cases: a null text is empty; a payload has at least 576 bytes because it
 is padded with 255; payloads above what one image holds continue in further
 images, one behind the other in the same value; equal texts give equal values;
-null or damaged media raise a ValueError that names the cause; empty tables and
-further columns pass unchanged.
+null, damaged or other than baseline media give a row whose features are null and
+whose ``error`` names the cause; fill bytes before markers and bytes behind the last
+image are passed over; empty tables and further columns, whatever their names,
+pass unchanged.
 """
 
 from __future__ import annotations
@@ -170,7 +173,7 @@ def encode_many(payloads: list[bytes]) -> list[bytes]:
 
 @dataclass
 class Frame:
-    """An image's geometry, its tables and where its scan lies."""
+    """An image's geometry, and of the scan with its first component the tables and where it lies."""
 
     width: int = 0
     height: int = 0
@@ -182,8 +185,11 @@ class Frame:
     stops: list[int] = field(default_factory=list)  # markers behind the stretches
 
     def key(self) -> tuple:
-        own = tuple((self.tables[0, d], self.tables[1, a], *self.parts[i][1:3]) for i, d, a in self.use)
-        return own
+        """Which of the scan's parts is the first component; tables and sampling of each."""
+        return self.first(), tuple((self.tables[0, d], self.tables[1, a], *self.parts[i][1:3]) for i, d, a in self.use)
+
+    def first(self) -> int:
+        return [i for i, *_ in self.use].index(0)
 
     def mcus(self) -> tuple[int, int]:
         h, v = max(p[1] for p in self.parts), max(p[2] for p in self.parts)
@@ -205,11 +211,13 @@ def parse(data: bytes) -> list[Frame]:
     real = ff[(code < 0xD0) | (code > 0xD7)]  # all but restart markers
     frames, at = [], 0
     try:
-        while at < len(data):
-            if data[at : at + 2] != b"\xff\xd8":
-                raise ValueError("not a JPEG: no start of image")
-            at, frame, quant = at + 2, Frame(), {}
+        while data[at : at + 2] == b"\xff\xd8":
+            at, frame, quant, tables, interval = at + 2, Frame(), {}, {}, 0
             while True:
+                if data[at] != 0xFF:
+                    raise ValueError("damaged JPEG: no marker where one must be")
+                while data[at + 1] == 0xFF:  # fill bytes
+                    at += 1
                 marker = data[at + 1]
                 if marker == 0xD9:
                     at += 2
@@ -224,27 +232,38 @@ def parse(data: bytes) -> list[Frame]:
                         quant[body[k] & 15] = struct.unpack_from(">H" if wide else ">B", body, k + 1)[0]
                         k += 1 + 64 * (1 + wide)
                 elif marker == 0xC0:
-                    _, frame.height, frame.width, n = struct.unpack_from(">BHHB", body)
+                    bits, frame.height, frame.width, n = struct.unpack_from(">BHHB", body)
+                    if bits != 8 or not frame.height or not frame.width:
+                        raise ValueError("only baseline JPEG of 8 bits and known size is decoded")
                     frame.parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, quant[body[8 + 3 * i]]) for i in range(n)]
+                    if not all(p[1] and p[2] for p in frame.parts):
+                        raise ValueError("damaged JPEG: no sampling")
                 elif 0xC1 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
                     raise ValueError("only baseline JPEG is decoded")
                 elif marker == 0xC4:
                     k = 0
                     while k < len(body):
                         counts = tuple(body[k + 1 : k + 17])
-                        frame.tables[body[k] >> 4, body[k] & 15] = counts, tuple(body[k + 17 : k + 17 + sum(counts)])
+                        tables[body[k] >> 4, body[k] & 15] = counts, tuple(body[k + 17 : k + 17 + sum(counts)])
                         k += 17 + sum(counts)
                 elif marker == 0xDD:
-                    frame.interval = struct.unpack(">H", body)[0]
+                    interval = struct.unpack(">H", body)[0]
                 elif marker == 0xDA:
                     ids = [p[0] for p in frame.parts]
-                    frame.use = [(ids.index(body[1 + 2 * i]), body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])]
-                    frame.start = at
+                    use = [(ids.index(body[1 + 2 * i]), body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])]
                     stop = int(real[np.searchsorted(real, at)])
-                    lo, hi = np.searchsorted(ff, [at, stop])
-                    frame.stops = [*ff[lo:hi].tolist(), stop]
+                    if not frame.use and any(i == 0 for i, *_ in use):
+                        lo, hi = np.searchsorted(ff, [at, stop])
+                        frame.use, frame.start, frame.stops = use, at, [*ff[lo:hi].tolist(), stop]
+                        # what later scans may define anew
+                        frame.tables, frame.interval = dict(tables), interval
+                        frame.key()
                     at = stop
-                    frames.append(frame)
+            if not frame.use:
+                raise ValueError("damaged JPEG: no scan of the first component")
+            frames.append(frame)
+            while data[at : at + 3] == b"\xff\xff\xff" or data[at : at + 3] == b"\xff\xff\xd8":
+                at += 1
     except (IndexError, struct.error, KeyError) as x:
         raise ValueError(f"damaged JPEG: {x}") from None
     return frames
@@ -288,7 +307,7 @@ def decode_many(values: list[bytes]) -> list[list[tuple[Frame, np.ndarray]]]:
             each = f.interval or rows * cols
             n = -(-rows * cols // each)
             values_of = dc[at : at + n, :each].reshape(-1, dc.shape[2])[: rows * cols]
-            _, h, v, q = f.parts[f.use[0][0]]
+            _, h, v, q = f.parts[0]
             if len(f.use) == 1:
                 h = v = 1
             grid = values_of.reshape(rows, cols, v, h).transpose(0, 2, 1, 3).reshape(rows * v, cols * h)
@@ -298,12 +317,13 @@ def decode_many(values: list[bytes]) -> list[list[tuple[Frame, np.ndarray]]]:
 
 
 def _decode(plain: np.ndarray, bit: np.ndarray, count: np.ndarray, key: tuple) -> np.ndarray:
-    """DC values of the first part: stretch, MCU, block in the MCU."""
+    """DC values of the first component: stretch, MCU, block in the MCU."""
+    first, key = key
     single = len(key) == 1
     shape = [(1, 1) if single else (h, v) for *_, h, v in key]
     tables = [(lookup(*d), lookup(*a)) for d, a, *_ in key]
     most = int(count.max())
-    out = np.zeros((len(bit), most, shape[0][0] * shape[0][1]), np.int32)
+    out = np.zeros((len(bit), most, shape[first][0] * shape[first][1]), np.int32)
     eight = np.lib.stride_tricks.as_strided(plain, (len(plain) - 7, 8), (1, 1))
     limit = len(plain) - 8
 
@@ -326,7 +346,7 @@ def _decode(plain: np.ndarray, bit: np.ndarray, count: np.ndarray, key: tuple) -
                 diff = np.where((raw << 1) >> s != 0, raw, raw - (np.int64(1) << s) + 1)
                 p = p + n + s
                 last[c][live] += diff
-                if c == 0:
+                if c == first:
                     out[live, m, b] = last[c][live]
                 p = _skip_ac(word, p, ac_table)
         bit[live] = p
@@ -386,26 +406,46 @@ def store(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
     return slim.mapInArrow(tidy(run), schema)
 
 
+def _decoded(values: list[bytes | None]) -> list[list | ValueError]:
+    """``decode_many``, with the error in the place of each value that can't be decoded."""
+    sound: list = [None if v is not None else ValueError("no media") for v in values]
+    todo = [k for k, v in enumerate(values) if v is not None]
+    try:
+        for k, own in zip(todo, decode_many([values[k] for k in todo]) if todo else [], strict=True):
+            sound[k] = own
+    except ValueError:  # one of them: each by itself
+        for k in todo:
+            try:
+                sound[k] = decode_many([values[k]])[0]
+            except ValueError as x:
+                sound[k] = x
+    return sound
+
+
 def describe(df: DataFrame, media: str = "media") -> DataFrame:
-    """The other columns of ``df``, dimensions, thumbnail hashes, and digests of the stored form and of the payload read back."""
-    added = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType())]
+    """The other columns of ``df``, dimensions, thumbnail hashes, digests of the stored form and of the payload read back, and error."""
+    added = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()), ("error", T.StringType())]
     rest = [c for c in df.columns if c not in {media, *(n for n, _ in added)}]  # those of the same name are replaced
     schema = T.StructType([*[df.schema[c] for c in rest], *[T.StructField(n, t) for n, t in added]])
 
-    def facts(values: list[bytes]) -> list[tuple]:
+    def facts(values: list[bytes | None]) -> list[tuple]:
         out = []
-        for lo, hi in groups_of([len(v) for v in values], TOGETHER):
-            for v, own in zip(values[lo:hi], decode_many(values[lo:hi]), strict=True):
+        for lo, hi in groups_of([len(v or b"") for v in values], TOGETHER):
+            for v, own in zip(values[lo:hi], _decoded(values[lo:hi]), strict=True):
+                stored = (None, None) if v is None else (len(v), hashlib.sha256(v).hexdigest())
+                if isinstance(own, ValueError):
+                    out.append((None, None, None, *stored, None, str(own)))
+                    continue
                 payload = b"".join(p.tobytes() for _, p in own)
                 said = ";".join(f"{f.width}x{f.height}:{a:016x}:{d:016x}" for f, (a, d) in ((f, hashes(p)) for f, p in own))
-                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(v), hashlib.sha256(v).hexdigest(), said))
+                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *stored, said, None))
         return out
 
     def run(batches):
         for b in batches:
             rows = facts(b.column(b.num_columns - 1).to_pylist())
             cols = list(zip(*rows, strict=True)) or [()] * len(added)
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=[*rest, *[n for n, _ in added]])
 
     return df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{media}`")).mapInArrow(tidy(run), schema)

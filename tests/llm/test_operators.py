@@ -485,45 +485,112 @@ def test_large_payloads():
     assert [len(own) for own in back] == [1, 2] and [b"".join(p.tobytes() for _, p in own) for own in back] == data
 
 
-def test_foreign_jpeg():
-    """Two components, subsampled, with AC coefficients and without restart markers, written bit by bit."""
-    dc = {s: (c, n) for s, c, n in jpeg.canonical(jpeg.DC_COUNTS, jpeg.DC_SYMBOLS)}
-    ac_counts, ac_symbols = (0, 2, 2) + (0,) * 13, (0x00, 0x01, 0xF0, 0x12)
-    ac = {s: (c, n) for s, c, n in jpeg.canonical(ac_counts, ac_symbols)}
-    bits = ""
-    put = lambda code, n: f"{code:0{n}b}" if n else ""
-
-    def block(diff, pairs):
+AC_COUNTS, AC_SYMBOLS = (0, 2, 2) + (0,) * 13, (0x00, 0x01, 0xF0, 0x12)
+
+
+class Bits:
+    """Entropy-coded blocks, written bit by bit."""
+
+    def __init__(self):
+        self.bits, self.last = "", [0, 0, 0]
+
+    def block(self, part, value, pairs=()):
+        dc = {s: (c, n) for s, c, n in jpeg.canonical(jpeg.DC_COUNTS, jpeg.DC_SYMBOLS)}
+        ac = {s: (c, n) for s, c, n in jpeg.canonical(AC_COUNTS, AC_SYMBOLS)}
+        put = lambda code, n: f"{code:0{n}b}" if n else ""
+        diff, self.last[part] = int(value) - self.last[part], int(value)
         s = abs(diff).bit_length()
-        out = put(*dc[s]) + put(diff if diff >= 0 else diff + (1 << s) - 1, s)
-        for run, value in pairs:
-            t = abs(value).bit_length()
-            out += put(*ac[run << 4 | t]) + put(value if value >= 0 else value + (1 << t) - 1, t)
-        return out + put(*ac[0])
-
-    want = np.zeros((2, 4), int)
-    last = [0, 0]
-    rng = random.Random(5)
+        self.bits += put(*dc[s]) + put(diff if diff >= 0 else diff + (1 << s) - 1, s)
+        for run, v in pairs:
+            t = abs(v).bit_length()
+            self.bits += put(*ac[run << 4 | t]) + put(v if v >= 0 else v + (1 << t) - 1, t)
+        self.bits += put(*ac[0])
+
+    def scan(self):
+        bits = self.bits + "1" * (-len(self.bits) % 8)
+        return bytes(int(bits[k : k + 8], 2) for k in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0")
+
+
+def jpeg_tables(sof, quantiser=8):
+    seg = jpeg._segment
+    data = b"\xff\xd8" + seg(0xDB, b"\0" + bytes([quantiser]) * 64) + seg(0xC0, sof)
+    return data + seg(0xC4, b"\0" + bytes(jpeg.DC_COUNTS) + bytes(range(9))) + seg(0xC4, b"\x10" + bytes(AC_COUNTS) + bytes(AC_SYMBOLS))
+
+
+def test_foreign_jpeg():
+    """Two components, subsampled, with AC coefficients and without restart markers."""
+    want, out, rng = np.zeros((2, 4), int), Bits(), random.Random(5)
     for m in range(2):
         for v in range(2):
             for h in range(2):
-                value = rng.randint(-100, 100)
-                bits += block(value - last[0], [(0, 1), (1, 2)] if h else [])
-                last[0] = value
-                want[v, 2 * m + h] = value
-        value = rng.randint(-50, 50)
-        bits += block(value - last[1], [])
-        last[1] = value
-    bits += "1" * (-len(bits) % 8)
-    scan = bytes(int(bits[k : k + 8], 2) for k in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0")
-    seg = jpeg._segment
-    data = b"\xff\xd8" + seg(0xDB, b"\0" + b"\x08" * 64) + seg(0xC0, bytes([8, 0, 16, 0, 32, 2, 1, 0x22, 0, 2, 0x11, 0]))
-    data += seg(0xC4, b"\0" + bytes(jpeg.DC_COUNTS) + bytes(range(9))) + seg(0xC4, b"\x10" + bytes(ac_counts) + bytes(ac_symbols))
-    data += seg(0xDA, bytes([2, 1, 0, 2, 0, 0, 63, 0])) + scan + b"\xff\xd9"
-    (frame_, pixels), = jpeg.decode_many([data])[0]
-    assert (frame_.width, frame_.height) == (32, 16) and (pixels == want + 128).all()
-    with pytest.raises(ValueError):
-        jpeg.decode_many([b"not an image"])
+                want[v, 2 * m + h] = rng.randint(-100, 100)
+                out.block(0, want[v, 2 * m + h], [(0, 1), (1, 2)] if h else [])
+        out.block(1, rng.randint(-50, 50))
+    sos = jpeg._segment(0xDA, bytes([2, 1, 0, 2, 0, 0, 63, 0]))
+    data = jpeg_tables(bytes([8, 0, 16, 0, 32, 2, 1, 0x22, 0, 2, 0x11, 0])) + sos + out.scan() + b"\xff\xd9"
+    # bytes behind the image, fill bytes before markers, a second image
+    for own, n in ((data, 1), (data + b"junk", 1), (data + b"\0\xff\xd8", 1), (data.replace(b"\xff\xda", b"\xff\xff\xff\xda").replace(b"\xff\xc4", b"\xff\xff\xc4"), 1), (data[:-2] + b"\xff\xff\xff\xd9", 1), (data + b"\xff" + data, 2)):
+        frames = jpeg.decode_many([own])[0]
+        assert len(frames) == n
+        for frame_, pixels in frames:
+            assert (frame_.width, frame_.height) == (32, 16) and (pixels == want + 128).all()
+    for bad in (b"not an image", data[:40], data.replace(b"\xff\xc0", b"\xff\xc2"), b""):
+        with pytest.raises(ValueError):
+            jpeg.decode_many([bad])
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0), (1, 0, 2)])
+def test_components_in_scans_of_their_own(order):
+    """The luminance thumbnail, whatever the order of the scans; tables may change between them."""
+    rng, seg = random.Random(2), jpeg._segment
+    sof = bytes([8, 0, 16, 0, 24, 3, 1, 0x11, 0, 2, 0x11, 0, 3, 0x11, 0])
+    data, values = jpeg_tables(sof), {}
+    for k, part in enumerate(order):
+        out = Bits()
+        values[part] = [rng.randint(-100, 100) for _ in range(6)]
+        for v in values[part]:
+            out.block(0, v)
+        if k == 2:  # the same codes again
+            data += seg(0xC4, b"\0" + bytes(jpeg.DC_COUNTS) + bytes(range(9)))
+        data += seg(0xDA, bytes([1, part + 1, 0, 0, 63, 0])) + out.scan()
+    (frame_, pixels), = jpeg.decode_many([data + b"\xff\xd9"])[0]
+    assert (pixels == np.array(values[0]).reshape(2, 3) + 128).all()
+
+
+def brute_hashes(p):
+    """Means of fields, value by value."""
+    rows, cols = len(p), len(p[0])
+
+    def field(i, j, n, m):
+        ys = [y for y in range(rows) if i * rows // n <= y < ((i + 1) * rows // n if i + 1 < n else rows)]
+        xs = [x for x in range(cols) if j * cols // m <= x < ((j + 1) * cols // m if j + 1 < m else cols)]
+        return sum(int(p[y][x]) for y in ys for x in xs) / (len(ys) * len(xs))
+
+    f = [field(i, j, 8, 8) for i in range(8) for j in range(8)]
+    mean = sum(f) / 64
+    g = [[field(i, j, 8, 9) for j in range(9)] for i in range(8)]
+    bits = lambda own: int("".join("01"[bool(x)] for x in own), 2)
+    return bits(x > mean for x in f), bits(g[i][j + 1] > g[i][j] for i in range(8) for j in range(8))
+
+
+def test_features_equal_a_plain_version(spark):
+    rng = random.Random(8)
+    rows = [(k, "".join(rng.choice("abc xyz~é") for _ in range(rng.randint(1, 4000))), "s") for k in range(12)]
+    got = {r.doc_id: r.feature for r in jpeg.describe(jpeg.store(frame(spark, rows))).collect()}
+    for k, t, _ in rows:
+        payload = jpeg.padded(t.encode())
+        p = [payload[i : i + 24] for i in range(0, len(payload), 24)]
+        a, d = brute_hashes(p)
+        assert got[k] == f"{24 * 8}x{len(p) * 8}:{a:016x}:{d:016x}"
+
+
+def test_null_and_damaged_media_give_rows(spark):
+    good = jpeg.encode_many([jpeg.padded(b"hello")])[0]
+    df = spark.createDataFrame([(1, None), (2, b""), (3, good), (4, good[:-20]), (5, b"x" * 50)], "k long, media binary").withColumn("error", F.lit(1)).withColumn("feature", F.lit(2))
+    got = {r.k: r for r in jpeg.describe(df).collect()}
+    assert got[3].error is None and got[3].feature and got[3].payload_sha256 == hashlib.sha256(jpeg.padded(b"hello")).hexdigest()
+    assert all(got[k].error and got[k].feature is None and got[k].payload_bytes is None for k in (1, 2, 4, 5))
+    assert got[1].media_bytes is None and got[5].media_bytes == 50
 
 
 def test_media(spark):
