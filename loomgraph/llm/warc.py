@@ -10,14 +10,21 @@ columns are pushed down: a task inflates a member only up to the end of its
 headers, tests them, and jumps to the next member when the record isn't wanted
 or its payload isn't asked for (option ``payload`` = false).
 
-Options: ``path``; for reading ``payload``; for writing ``roll`` (bytes).
+Archives from elsewhere may be plain, may hold several records in a member, and
+records of any type: each but a revisit has its payload. Reading goes through a
+buffer, so small records that lie side by side share a request.
+
+Options: ``path``; for reading ``payload`` and ``damaged``: ``fail`` (the default)
+raises an error that names the archive and the place, ``skip`` gives the records
+before the damage and goes on with the next archive; for writing ``roll`` (bytes).
 Paths are URIs that pyarrow's file systems know: file, hdfs, s3, gs.
 
 Defined cases for ``archive_pages``: a null html is an empty payload; a null url
 has no target header; a null id is written as ``null`` and read back as null;
 rows that repeat an id and a payload are alike, all response or all revisit;
 control characters in a url are percent-encoded; an empty table gives archives
-without records.
+without records; other columns may have any names. ``payload_bytes`` is the length
+of a payload, read or not; of a revisit what its HTTP headers say, else null.
 """
 
 from __future__ import annotations
@@ -37,7 +44,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, IsNotNull, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from ..session import scratch_path
+from ..operators.skew import frequent, salted_join
+from ..session import discard, materialise, scratch_path
 
 ROLL = 64 << 20
 MANIFEST = "_archives.json"
@@ -148,6 +156,7 @@ class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
         self.payload = options.get("payload", "true").lower() != "false"
+        self.skip = options.get("damaged", "fail").lower() == "skip"
         self.wanted: list[tuple[str, str, tuple]] = []
 
     def pushFilters(self, filters: list) -> Iterator:
@@ -178,18 +187,31 @@ class WarcReader(DataSourceReader):
             return
         fs, top = file_system(self.path)
         with fs.open_input_file(f"{top}/{part.name}") as f:
-            for headers, payload_of in records(f, part.name.endswith(".gz")):
-                own = {c: headers.get(h.lower()) for c, h in HEADERS.items()}
-                if own["payload_digest"]:
-                    own["payload_digest"] = own["payload_digest"].removeprefix("sha1:")
-                if not all(own[c] in values if how == "in" else own[c] is not None for c, how, values in self.wanted):
-                    continue
-                block = payload_of(self.payload and own["record_type"] != "revisit")
-                head, _, body = block.partition(b"\r\n\r\n")
-                size = next((int(x.split(b":", 1)[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
-                if "application/http" not in headers.get("content-type", ""):
-                    size, body = int(headers.get("content-length", 0)), block
-                yield (*own.values(), size, body if self.payload and own["record_type"] == "response" else None)
+            try:
+                yield from self.rows(records(f, part.name.endswith(".gz")))
+            except (ValueError, zlib.error) as x:
+                if not self.skip:
+                    raise ValueError(f"{self.path}/{part.name} is damaged near byte {f.tell()}: {x}") from None
+
+    def rows(self, found: Iterator) -> Iterator[tuple]:
+        for headers, size, block_of in found:
+            own = {c: headers.get(h.lower()) for c, h in HEADERS.items()}
+            if own["payload_digest"]:
+                own["payload_digest"] = own["payload_digest"].removeprefix("sha1:")
+            if not all(own[c] in values if how == "in" else own[c] is not None for c, how, values in self.wanted):
+                continue
+            again = own["record_type"] == "revisit"
+            whole = self.payload and not again
+            if "application/http" in headers.get("content-type", ""):
+                head, gap, body = block_of(whole).partition(b"\r\n\r\n")
+                size -= len(head) + len(gap)
+                if again:
+                    said = (x.split(b":", 1)[1].strip() for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:"))
+                    size = next((int(x) for x in said if x.isdigit()), None)
+            else:
+                body = block_of(True) if whole else b""
+                size = None if again else size
+            yield (*own.values(), size, body if whole else None)
 
 
 def _headers(text: bytes) -> dict[str, str]:
@@ -197,66 +219,161 @@ def _headers(text: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
 
 
-#: Bytes of a block that hold the HTTP headers when the payload isn't wanted.
-PEEK = 4096
+class Stream:
+    """Bytes that come piece by piece; ``have`` are those read and not yet passed."""
+
+    def __init__(self):
+        self.have = bytearray()
+
+    def more(self) -> bool:
+        """Read on; False at the end."""
+        raise NotImplementedError
+
+    def need(self, n: int) -> bool:
+        while len(self.have) < n:
+            if not self.more():
+                return False
+        return True
+
+    def find(self, mark: bytes, most: int) -> int:
+        """Where the mark begins in the next ``most`` bytes, -1 if it doesn't."""
+        at = 0
+        while True:
+            k = self.have.find(mark, at, most)
+            if k >= 0 or len(self.have) >= most:
+                return k
+            at = max(0, len(self.have) - len(mark) + 1)
+            if not self.more():
+                return -1
+
+    def skip(self, n: int) -> None:
+        while n > len(self.have):
+            n -= len(self.have)
+            self.have.clear()
+            if not self.more():
+                return
+        del self.have[:n]
+
+
+#: Bytes of a request behind a jump, and of those that follow it.
+READ, READ_ON = 64 << 10, 1 << 20
+#: Bytes that are inflated at a time.
+SLICE = 4 << 10
+
+
+class Plain(Stream):
+    """A file. ``at`` is where ``have`` begins in it."""
+
+    def __init__(self, f):
+        super().__init__()
+        self.f, self.at, self.end, self.ask = f, 0, f.size(), READ
+
+    def more(self) -> bool:
+        got = self.f.read(self.ask) if self.at + len(self.have) < self.end else b""
+        self.ask = READ_ON
+        self.have += got
+        return bool(got)
+
+    def skip(self, n: int) -> None:
+        if n <= len(self.have):
+            del self.have[:n]
+        else:
+            self.f.seek(min(self.end, self.at + n))
+            self.have.clear()
+            self.ask = READ
+        self.at = min(self.end, self.at + n)
+
+    def slice(self) -> bytes:
+        self.need(1)
+        out = bytes(self.have[:SLICE])
+        self.skip(len(out))
+        return out
+
+    def back(self, out: bytes) -> None:
+        """Give back the end of a slice."""
+        self.have[:0] = out
+        self.at -= len(out)
+
+
+class Member(Stream):
+    """What a gzip member holds."""
+
+    def __init__(self, plain: Plain):
+        super().__init__()
+        self.plain, self.z, self.last = plain, zlib.decompressobj(31), b""
+
+    def more(self) -> bool:
+        n = len(self.have)
+        while not self.z.eof and len(self.have) == n:
+            raw = self.z.unconsumed_tail
+            if not raw:
+                raw = self.last = self.plain.slice()
+                if not raw:
+                    raise ValueError("it ends within a record")
+            self.have += self.z.decompress(raw, 64 << 10)
+        return len(self.have) > n
+
+    def leave(self, to: int | None) -> None:
+        """Put the file where the next member begins."""
+        if to is None:
+            while not self.z.eof:
+                self.have.clear()
+                if not self.more():
+                    break
+            self.plain.back(self.z.unused_data)
+        elif to >= self.plain.at:
+            self.plain.skip(to - self.plain.at)
+        else:
+            self.plain.back(self.last[to - self.plain.at :])
+
+
+def _in_stream(s: Stream) -> Iterator:
+    while True:
+        while s.need(2) and s.have[:2] == b"\r\n":
+            s.skip(2)
+        if not s.need(1):
+            return
+        top = s.find(b"\r\n\r\n", 1 << 20)
+        if top < 0 or s.have[:5] != b"WARC/":
+            raise ValueError("no WARC record where one must be")
+        headers = _headers(bytes(s.have[:top]))
+        size = int(headers.get("content-length", ""))
+        s.skip(top + 4)
+
+        def block(whole: bool, size=size) -> bytes:
+            if whole:
+                if not s.need(size):
+                    raise ValueError("it ends within a record")
+                return bytes(s.have[:size])
+            k = s.find(b"\r\n\r\n", size)
+            return bytes(s.have[: k + 4 if k >= 0 else size])
 
+        yield headers, size, block
+        s.skip(size)
 
-def records(f, packed: bool):
-    """Headers of each record, and a function that gives its block, or only its beginning.
+
+def records(f, packed: bool) -> Iterator:
+    """Headers of each record, its block's size, and a function that gives the block, or only its beginning up to a blank line.
 
     The function must be called before the next record is asked for; if it
-    isn't, the block is neither read nor inflated.
+    isn't, the block is skipped, in a member that names its length without inflating it.
     """
-    end, at = f.size(), 0
-    while at < end:
-        f.seek(at)
-        if not packed:
-            head = b""
-            while b"\r\n\r\n" not in head and len(head) < end - at:
-                head += f.read(min(8192, end - at - len(head)))
-            top = head.index(b"\r\n\r\n") + 4
-            h = _headers(head[:top])
-            size, start = int(h["content-length"]), at + top
-            at = start + size + 4
-
-            def block(whole: bool, start=start, size=size) -> bytes:
-                f.seek(start)
-                return f.read(size if whole else min(size, PEEK))
-
-            yield h, block
-            continue
-        first = f.read(64 << 10)
-        jump = struct.unpack("<Q", first[16:24])[0] if first[3] == 4 and first[12:14] == b"LG" else None
-        z, raw = zlib.decompressobj(31), first
-
-        def inflate(least: bytes | int, have: bytearray, z=z) -> None:
-            """Until ``have`` holds the mark, or so many bytes; a little at a time."""
-            nonlocal raw
-            while not z.eof and (least not in have if isinstance(least, bytes) else len(have) < least):
-                raw = raw or f.read(256 << 10)
-                if not raw:
-                    raise ValueError("an archive ends within a record")
-                have += z.decompress(raw, 16 << 10)
-                raw = z.unconsumed_tail
-
-        have = bytearray()
-        inflate(b"\r\n\r\n", have)
-        top = have.index(b"\r\n\r\n") + 4
-        h = _headers(bytes(have[:top]))
-        size = int(h["content-length"])
-
-        def block(whole: bool, have=have, top=top, size=size) -> bytes:
-            inflate(top + (size if whole else min(size, PEEK)), have)
-            return bytes(have[top : top + size])
-
-        yield h, block
-        if jump:
-            at += jump
-        else:  # no length in the member's header: inflate to its end
-            while not z.eof:
-                have.clear()
-                inflate(1, have)
-            at = f.tell() - len(z.unused_data)
+    plain = Plain(f)
+    if not packed:
+        yield from _in_stream(plain)
+        return
+    while plain.need(1):
+        start = plain.at
+        if plain.need(24) and plain.have[:3] != b"\x1f\x8b\x08":
+            raise ValueError("no gzip member where one must be")
+        own = plain.have[3] == 4 and plain.have[12:14] == b"LG" if len(plain.have) >= 24 else False
+        to = start + struct.unpack("<Q", plain.have[16:24])[0] if own else None
+        member_ = Member(plain)
+        for found in _in_stream(member_):
+            yield found
+            if to is not None:  # a record of its own
+                break
+        member_.leave(to)
 
 
 class WarcDataSource(DataSource):
@@ -290,15 +407,17 @@ def _unurn(column: str) -> F.Column:
 def archive_pages(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", least: int = 0) -> None:
     """Write a record for each row; of equal payloads of at least ``least`` bytes one is stored, the others revisit it.
 
-    The digests of all rows are summed up first (a hot payload is one row for
-    each task); the join with that summary may be split by Spark where a digest
-    is frequent, because only the summary's side has to be whole.
+    The digests of all rows are summed up first (a hot payload is one row for each
+    task); rows of a frequent digest are dealt out to join that summary.
     """
-    register(pages.sparkSession)
+    spark = pages.sparkSession
+    register(spark)
     rows = pages.select(F.col(f"`{key}`").alias("id"), F.col(f"`{url}`").alias("url"), F.encode(F.coalesce(F.col(f"`{html}`"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload"))
-    stored = rows.where(F.length("payload") >= least).groupBy("sha").agg(F.max("id").alias("stored"))
-    known = rows.join(stored, "sha", "left").withColumn("revisit", (F.length("payload") >= least) & ~F.col("id").eqNullSafe(F.col("stored")))
+    stored = rows.where(F.length("payload") >= least).groupBy("sha").agg(F.max("id").alias("stored"), F.count("*").alias("n"))
+    stored = materialise(spark, stored, "digests")
+    hot = frequent(stored, "sha", "n", stored.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    known = salted_join(rows, stored.drop("n"), ["sha"], hot, ["id"], "left").withColumn("revisit", (F.length("payload") >= least) & ~F.col("id").eqNullSafe(F.col("stored")))
     out = known.select(
         F.when(F.col("revisit"), "revisit").otherwise("response").alias("record_type"),
         _urn(F.col("id")).alias("record_id"),
@@ -308,6 +427,7 @@ def archive_pages(pages: DataFrame, path: str, key: str = "page_id", url: str =
         "payload",
     )
     out.write.format("warc").mode("append").option("path", path).save()
+    discard(stored)
 
 
 def _base32(hexa: F.Column) -> F.Column:
@@ -316,9 +436,9 @@ def _base32(hexa: F.Column) -> F.Column:
     return F.translate(F.array_join(groups, ""), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, payload: bool = True, damaged: str = "fail") -> DataFrame:
     register(spark)
-    return spark.read.format("warc").option("path", path).option("payload", str(payload)).load()
+    return spark.read.format("warc").option("path", path).option("payload", str(payload)).option("damaged", damaged).load()
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least: int = 0) -> DataFrame:

@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import io
 import math
 import random
 import zlib
@@ -272,15 +273,69 @@ def test_filters_skip_payloads(spark, tmp_path):
     assert all(r.payload is None for r in slim) and max(r.payload_bytes for r in slim) == 300_000
 
 
+class Counted:
+    """A file that counts what is read."""
+
+    def __init__(self, data):
+        self.f, self.bytes, self.requests = io.BytesIO(data), 0, 0
+
+    def size(self):
+        return len(self.f.getbuffer())
+
+    def seek(self, at):
+        self.f.seek(at)
+
+    def read(self, n):
+        out = self.f.read(n)
+        self.bytes, self.requests = self.bytes + len(out), self.requests + 1
+        return out
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_small_records_share_requests_and_large_ones_are_skipped(packed):
+    rng = random.Random(1)
+    bodies = [rng.randbytes(rng.choice([10, 900, 1300, 3000])) for _ in range(2000)]
+    wrap = warc.member if packed else bytes
+    own = Counted(b"".join(wrap(warc.record("response", f"<urn:page:{k}>", "http://x", b, "AA", None)) for k, b in enumerate(bodies)))
+    assert [x(True).partition(b"\r\n\r\n")[2] for _, _, x in warc.records(own, packed)] == bodies
+    assert own.bytes <= own.size() and own.requests < 12
+    own = Counted(own.f.getvalue())
+    assert sum(1 for _ in warc.records(own, packed)) == 2000 and own.bytes <= own.size()
+    large = Counted(b"".join(wrap(warc.record("response", f"<urn:page:{k}>", "http://x", rng.randbytes(3_000_000), "AA", None)) for k in range(5)))
+    assert [h["warc-record-id"] for h, _, _ in warc.records(large, packed)] == [f"<urn:page:{k}>" for k in range(5)]
+    assert large.bytes < 0.2 * large.size()
+
+
 def test_archives_of_others(tmp_path):
     import gzip
 
     data = warc.record("response", "<urn:page:1>", "http://x", b"hello", "AA", None)
-    for name, raw in (("a.warc", data * 2), ("b.warc.gz", gzip.compress(data) * 3)):
+    bare = data.replace(b"Content-Length: 5\r\n", b"").replace(b"Content-Length: %d" % len(data.split(b"\r\n\r\n", 1)[1][:-4]), b"Content-Length: %d" % (len(data.split(b"\r\n\r\n", 1)[1]) - 4 - 19))
+    other = b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Type: text/plain\r\nContent-Length: 9\r\n\r\n\r\n\r\nplain\r\n\r\n"
+    long = b"HTTP/1.1 200 OK\r\nX: " + b"y" * 50_000 + b"\r\n\r\nhello"
+    long = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n" % len(long) + long + b"\r\n\r\n"
+    files = {"a.warc": data * 2 + bare + other, "b.warc.gz": gzip.compress(data) * 3, "c.warc.gz": gzip.compress(data + other + data) + gzip.compress(long), "d.warc": long + data[:-4]}
+    for name, raw in files.items():
         (tmp_path / name).write_bytes(raw)
     (tmp_path / "torn.txt").write_bytes(b"?")
     reader = warc.WarcReader({"path": str(tmp_path)})
-    assert [r[6] for p in reader.partitions() for r in reader.read(p)] == [b"hello"] * 5
+    rows = [r for p in reader.partitions() for r in reader.read(p)]
+    plain = b"\r\n\r\nplain"
+    assert [r[6] for r in rows] == [b"hello", b"hello", b"hello", plain] + [b"hello"] * 3 + [b"hello", plain, b"hello", b"hello"] + [b"hello", b"hello"]
+    assert all(r[5] == len(r[6]) for r in rows)
+    slim = warc.WarcReader({"path": str(tmp_path), "payload": "false"})
+    assert [(r[5], r[6]) for p in slim.partitions() for r in slim.read(p)] == [(r[5], None) for r in rows]
+
+
+def test_damaged_archives(tmp_path):
+    data = warc.member(warc.record("response", "<urn:page:1>", "http://x", b"hello" * 9000, "AA", None))
+    for name, raw in (("a", data * 2 + data[:200]), ("b", data + b"junk" * 50), ("c", data[:60] + b"\0" * 40 + data[100:])):
+        (tmp_path / f"{name}.warc.gz").write_bytes(raw)
+        reader = warc.WarcReader({"path": str(tmp_path)})
+        with pytest.raises(ValueError, match=f"{name}.warc.gz is damaged"):
+            list(reader.read(warc.Archive(f"{name}.warc.gz")))
+    reader = warc.WarcReader({"path": str(tmp_path), "damaged": "skip"})
+    assert [len(list(reader.read(p))) for p in reader.partitions()] == [2, 1, 0]
 
 
 # --- SimHash ----------------------------------------------------------------------
