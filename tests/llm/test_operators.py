@@ -10,6 +10,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -403,22 +404,50 @@ def test_nearest(spark, sf):
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
     v = spark.read.parquet(f"{sf}/embeddings.parquet")
     bad = spark.createDataFrame([(100, None), (200_000, [0.0] * 64), (300_000, [float("nan")] * 64), (None, [1.0] * 64), (400_000, []), (500_000, [None] * 64), (600_001, [1.0, 2.0])], "vec_id long, embedding array<float>")
-    got = sorted(map(tuple, ann.nearest(v.select("vec_id", "embedding").where("vec_id <> 100").unionByName(bad)).collect()))
-    want = sorted((q, r, k, s) for q, r, k, s in con.sql(ann.nearest_sql().replace("FROM embeddings", "FROM (SELECT * FROM embeddings WHERE vec_id <> 100)")).fetchall())
-    assert got == want
+    v = v.select("vec_id", "embedding").where("vec_id <> 100").unionByName(bad)
+    v = v.unionByName(v.where("vec_id % 100 = 0 OR vec_id % 7 = 0"))  # ids that repeat
+    con.register("given", v.toPandas())
+    want = sorted(con.sql(ann.nearest_sql().replace("FROM embeddings", "FROM given")).fetchall())
+    for bytes_ in (ann.GROUP_BYTES, 40 * 64 * 8):  # one group, and groups of about 40 vectors
+        got = sorted(map(tuple, ann.nearest(v, group_bytes=bytes_).collect()))
+        assert got == want
     assert ann.nearest(v.limit(0)).count() == 0
 
 
+def test_recall_over_many_groups(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((20_000, 40))
+    x[:8000] = x[rng.integers(0, 40, 8000)] + 0.2 * x[:8000]  # clusters
+    x = np.round(x, 3)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(20_000), "embedding": list(x)}))
+    got = collections.defaultdict(set)
+    for r in ann.nearest(df, every=200, group_bytes=900 * 40 * 8).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, 20_000, 200):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argsort(d)[:10].tolist()))
+    assert len(got) == 100 and hits >= 0.99 * 1000
+
+
 def test_bounds_hold_and_ties_go_to_smaller_ids():
     rng = np.random.default_rng(0)
-    x = rng.standard_normal((3000, 48)) + 2
+    x = rng.standard_normal((3000, 100)) + 2
+    x[:600] = x[:600] * 0.05 + x[7]  # a cluster
     x[500:1500] = x[500]
-    rows, reranked = ann.search_block(np.arange(3000), x, np.array([500, 7]), x[[500, 7]], x.mean(axis=0), 10)
-    assert [r[1] for r in rows[:10]] == list(range(501, 511)) and all(r[2] == 0 for r in rows[:10])
+    centre = x.mean(axis=0)
+    codes, size, ideal = ann.encode(x, centre, ann.rotation(100))
+    at = np.arange(3000)
+    rows, _ = ann.search_block(at, at, x, codes, size, ideal, [(500, 500, x[500])], centre, 10)
+    assert [r[2] for r in rows] == list(range(501, 511)) and all(r[3] == 0 for r in rows)
+    rows, reranked = ann.search_block(at, at, x, codes, size, ideal, [(7, 7, x[7])], centre, 10)
     d = np.sqrt(((x - x[7]) ** 2).sum(axis=1))
+    middle, error = ann.estimates(codes, size, ideal, (x[7] - centre) @ ann.rotation(100).T)
+    assert (np.abs(d**2 - middle) <= error).mean() > 0.995
     d[7] = np.inf
-    assert {r[1] for r in rows[10:]} == set(np.lexsort((np.arange(3000), d))[:10].tolist())
-    assert reranked < 2 * 3000
+    assert {r[2] for r in rows} == set(np.lexsort((at, d))[:10].tolist())
+    assert reranked < 1600  # the cluster; codes rule out most of what lies elsewhere
 
 
 # --- suffix arrays --------------------------------------------------------------------
