@@ -59,7 +59,7 @@ from .rows import number, packed
 
 LENGTH, GRAM = 200, 24
 #: Bytes of texts that are searched for anchors together, and windows of a long text taken at once.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
 #: Groups up to this size are compared by pairs in suffix order.
 PAIRS = 64
 #: Groups up to this size are compared inside one task.
