@@ -31,7 +31,7 @@ def ship(spark: SparkSession) -> None:
     # texts are long: smaller batches bound what a worker and the JVM hold at once
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
     root = Path(__file__).resolve().parent
     target = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
     with zipfile.ZipFile(target, "w") as z:
