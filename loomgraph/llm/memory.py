@@ -6,9 +6,12 @@ import ctypes
 import functools
 import gc
 
+import pyarrow as pa
+
 
 def release() -> None:
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library

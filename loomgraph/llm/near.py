@@ -48,7 +48,7 @@ OVER, UNDER = 4, 5
 #: Keys of a set, and minima in a key.
 BANDS, ROWS = 24, 5
 #: Words that a worker remembers before it starts afresh.
-MEMO = 150_000
+MEMO = 50_000
 #: Bits of a bitmap for each shingle, and at least.
 BITS, FEWEST = 4, 64
 _FAMILY = np.random.default_rng(29).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

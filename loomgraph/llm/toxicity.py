@@ -60,7 +60,7 @@ BEGINNING = 5
 WINDOW = 4
 FOLDS, HELD_OUT, CALIBRATE = 5, 0, 1
 #: Words that a worker remembers before it starts afresh.
-MEMO = 100_000
+MEMO = 50_000
 
 _WORD = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
 
