@@ -11,12 +11,14 @@ mean, which no probing reaches at a bearable cost.
 *What it can't reach.* Each set has ``BANDS`` keys, of ``ROWS`` minima each over hash
 functions of its own. Sets of similarity s share a key with probability 1 - (1 -
 s ** ROWS) ** BANDS, which leaves out one pair of similarity 0.8 in fourteen
-thousand, and fewer above. Sets that share a key are first compared with the smallest of
-them; then those that are still in different components are compared with each
-other, so a large group of near copies costs a comparison for each key and set.
-Before whole sets are made again, bitmaps of their hashes, four bits for each,
-bound from above what two sets can share: a bit that only one has stands for a
-shingle, at least, that the other lacks. What passes is compared in full.
+thousand, and fewer above. Sets that share a key are first compared with that of them
+which shares most keys with any, as the text that others were copied from does; then those that aren't in its component are compared with all that share a key with
+them and are in another, so a large group of near copies costs a comparison for each
+key and set. Before whole sets are made again, bitmaps of their hashes bound from
+above what two sets can share: a bit that only one has stands for a shingle, at
+least, that the other lacks. Small maps of fixed size rule out most pairs as they
+are joined, maps of four bits for each shingle nearly all others. What passes is
+compared in full.
 
 Sets are made from the texts where they are needed and never stored in full. Joins
 deal out frequent keys and nodes with a salt.
@@ -47,6 +49,8 @@ SHINGLE = 5
 OVER, UNDER = 4, 5
 #: Keys of a set, and minima in a key.
 BANDS, ROWS = 24, 5
+#: 64-bit words of a small map; a power of two.
+WORDS = 16
 #: Words that a worker remembers before it starts afresh.
 MEMO = 50_000
 #: Bits of a bitmap for each shingle, and at least.
@@ -129,7 +133,7 @@ def most_shared(a: list[bytes], b: list[bytes], n_a: np.ndarray, n_b: np.ndarray
 
 
 def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """The keys of each set that isn't empty, a row each."""
+    """The keys of each set, a row each; without meaning for empty sets."""
     least = np.full((len(sets), BANDS * ROWS), ~np.uint64(0))
     for k, items in enumerate(sets):
         for lo in range(0, len(items), 4096):
@@ -140,8 +144,29 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))).view(np.int64)
 
 
+def small_maps(sets: list[np.ndarray]) -> np.ndarray:
+    """A bit for each place that the leading bits of a hash name, as words, a row each."""
+    flags = np.zeros((len(sets), 64 * WORDS), bool)
+    for k, items in enumerate(sets):
+        flags[k, (items >> np.uint64(64 - 5 - WORDS.bit_length())).astype(np.int64)] = True
+    return np.packbits(flags, axis=1).view(np.int64)
+
+
+def words() -> list[Column]:
+    """The small map as columns of its own, which compiled code reads without tests of an array's bounds."""
+    return [F.coalesce(F.get("small", F.lit(k)), F.lit(0)).alias(f"s{k}") for k in range(WORDS)]
+
+
+def may_share(x: str, y: str) -> Column:
+    """Whether the small maps of two rows let them share enough. x, y: aliases of rows with n and the map's ``words``."""
+    words = [(F.col(f"{x}.s{k}"), F.col(f"{y}.s{k}")) for k in range(WORDS)]
+    lacks = [sum((F.bit_count(a.bitwiseAND(F.bitwise_not(b))) for a, b in pairs), F.lit(0)) for pairs in (words, [(b, a) for a, b in words])]
+    most = F.least(F.col(f"{x}.n") - lacks[0], F.col(f"{y}.n") - lacks[1])
+    return most * (OVER + UNDER) >= (F.col(f"{x}.n") + F.col(f"{y}.n")) * OVER
+
+
 def sketches(named: DataFrame) -> DataFrame:
-    """__row, node (the hash of the set, 0 of none), fp, n (the set's size), bits (its bitmap), keys."""
+    """__row, node (the hash of the set, 0 of none), fp, n (the set's size), bits (its bitmap), keys, small (its small map)."""
 
     def run(batches):
         memo = Hashes()
@@ -150,10 +175,10 @@ def sketches(named: DataFrame) -> DataFrame:
                 part = b.slice(lo, 512)
                 sets = [shingles(t, memo) for t in part.column(1).to_pylist()]
                 longs = [np.array([f(s) for s in sets], np.uint64).view(np.int64) for f in (_node, fingerprint)]
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(band_keys(sets).ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, longs), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary()), keys], names=["__row", "node", "fp", "n", "bits", "keys"])
+                keys, small = (pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel())) for x in (band_keys(sets), small_maps(sets)))
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, longs), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary()), keys, small], names=["__row", "node", "fp", "n", "bits", "keys", "small"])
 
-    return _texts(named).mapInArrow(tidy(run), "__row long, node long, fp long, n long, bits binary, keys array<long>")
+    return _texts(named).mapInArrow(tidy(run), "__row long, node long, fp long, n long, bits binary, keys array<long>, small array<long>")
 
 
 def shingle_sets(named: DataFrame) -> DataFrame:
@@ -229,29 +254,35 @@ def groups(named: DataFrame) -> DataFrame:
     """named: __row (long), __text, a table that gives the same rows again. For every row __row and component_id, a node that all rows of the component have in common."""
     spark = named.sparkSession
     own = materialise(spark, sketches(named), "sketches")
-    light = own.groupBy("node").agg(F.min("__row").alias("row"), *[F.first(c).alias(c) for c in ("n", "fp", "bits")])
+    light = own.groupBy("node").agg(F.min("__row").alias("row"), *[F.first(c).alias(c) for c in ("n", "fp", "bits", "small")])
     light = materialise(spark, light, "light")
     found = verified(by_fingerprint(light), light, named)
     # one row of each node
     first = own.join(light.select(F.col("row").alias("__row")), "__row", "left_semi").select("node", F.col("n").cast("int").alias("n"), F.explode("keys").alias("item")).where("n > 0")
     met = materialise(spark, first, "keys")
-    items = met.groupBy("item").agg(F.min("node").alias("hub"), F.count("*").alias("count")).where("count > 1")
+    items = met.groupBy("item").agg(F.count("*").alias("count")).where("count > 1")
     items = materialise(spark, items, "items")
     often = frequent_keys(items, "item", "count", met.count())
-    shared = materialise(spark, salted_join(met, items.drop("count"), ["item"], often, ["node"]), "met")
-    discard(met, items)
+    several = materialise(spark, salted_join(met, items, ["item"], often, ["node"]), "several")
+    degrees = several.groupBy("node").agg(F.sum("count").alias("degree"))
+    several = materialise(spark, several.drop("count").join(degrees, "node"), "met")
+    hubs = several.groupBy("item").agg(F.max(F.struct("degree", "node")).alias("top")).select("item", F.col("top.node").alias("hub"))
+    shared = materialise(spark, salted_join(several.drop("degree"), hubs, ["item"], often, ["node"]), "met")
+    discard(met, items, several)
     near = shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     stars = verified(near, light, named)
     linked = materialise(spark, components(found.unionByName(stars)), "linked")
     label = F.coalesce("root", "node")
     apart = materialise(spark, shared.join(linked, "node", "left").select("item", "node", "n", "hub", label.alias("label")), "labelled")
-    mixed = apart.groupBy("item").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("item")
-    rest = materialise(spark, salted_join(apart, mixed, ["item"], often, ["node"], "left_semi"), "apart")
-    discard(shared, apart)
-    x, y = rest.alias("x"), rest.alias("y")
-    # a pair with the smallest set at the shingle has been compared already
-    others = x.join(y, F.expr("x.item = y.item AND x.node < y.node AND x.label <> y.label AND x.node <> x.hub")).where(_sizes_fit(F.col("x.n"), F.col("y.n")))
-    second = verified(others.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), light, named)
+    # what isn't in the hub's component, and all it shares a key with
+    hubs = apart.where("node = hub").select("item", F.col("label").alias("hub_label"))
+    full = materialise(spark, salted_join(apart.drop("hub"), hubs, ["item"], often, ["node"]), "full")
+    mixed = full.groupBy("item").agg(F.count_if(F.col("label") != F.col("hub_label")).alias("others")).where("others > 0").select("item")
+    rest = materialise(spark, salted_join(full, mixed, ["item"], often, ["node"], "left_semi").join(light.select("node", *words()), "node"), "apart")
+    discard(shared, apart, full)
+    x, y = rest.where("label <> hub_label").alias("x"), rest.alias("y")
+    others = x.join(y, F.expr("x.item = y.item AND x.label <> y.label AND (y.label = y.hub_label OR x.node < y.node)") & _sizes_fit(F.col("x.n"), F.col("y.n")) & may_share("x", "y"))
+    second = verified(others.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct(), light, named)
     reached = materialise(spark, components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second)), "reached")
     nodes = own.groupBy("node").agg(F.count("*").alias("count"))
     return salted_join(own.select("__row", "node"), reached, ["node"], frequent_keys(nodes, "node", "count", own.count()), ["__row"], "left").select("__row", label.alias("component_id"))

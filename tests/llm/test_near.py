@@ -5,6 +5,8 @@ from __future__ import annotations
 import collections
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from loomgraph.llm import near
 
@@ -57,3 +59,31 @@ def test_keep_near_copies(spark):
     assert collections.Counter(r.doc_id for r in near.keep_one(again).collect()) == collections.Counter([*want, None])
     none = near.keep_one(df.limit(0))
     assert none.count() == 0 and none.columns == df.columns
+
+
+def test_bitmaps_bound_what_is_shared(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    sets = []
+    for n in (1, 5, 60, 300, 900, 3000):
+        base = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+        for share in (0.0, 0.1, 0.2, 0.5):
+            own = base.copy()
+            k = rng.random(len(own)) < share
+            own[k] = rng.integers(0, 2**63, int(k.sum()), dtype=np.uint64)
+            sets.append(np.unique(own))
+    maps = near.small_maps(sets)
+    rows = [(i, len(s), maps[i].tolist()) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "k long, n long, small array<long>").select("k", "n", *near.words())
+    passed = {tuple(r) for r in df.alias("x").join(df.alias("y"), near.may_share("x", "y")).select("x.k", "y.k").collect()}
+    ruled_out = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            shared = len(np.intersect1d(a, b))
+            most = near.most_shared([near.bitmap(a)], [near.bitmap(b)], np.array([len(a)]), np.array([len(b)]))[0]
+            assert most >= shared
+            if 9 * shared >= 4 * (len(a) + len(b)):
+                assert (i, j) in passed
+            ruled_out += (i, j) not in passed
+    assert ruled_out > 400
