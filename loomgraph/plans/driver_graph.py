@@ -12,6 +12,9 @@ from ..session import materialise
 #: (table, key, name), in the order of files.
 KINDS = (("region", "r_regionkey", "region"), ("nation", "n_nationkey", "nation"), ("customer", "c_custkey", "customer"), ("supplier", "s_suppkey", "supplier"), ("part", "p_partkey", "part"), ("orders", "o_orderkey", "order"))
 
+#: The relations of the projection.
+RELATIONS = ("in_region", "in_nation", "placed_by", "contains", "supplied_by")
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -49,11 +49,11 @@ V = G + _version("o", 7, ("ours:1", "ours:2", "both:1")) + _version("t", 5, ("th
 m3n AS (SELECT label, coalesce(min(CASE WHEN side = 0 THEN source_file END), min(source_file)) AS source_file
     FROM (SELECT *, 0 AS side FROM o_n UNION ALL SELECT *, 1 FROM t_n) u GROUP BY label
     HAVING label NOT IN (SELECT label FROM nodes) OR count(DISTINCT side) = 2)"""
-_ARCS = "arcs AS (SELECT DISTINCT sl AS producer, tl AS consumer, relation FROM named WHERE relation IN ('in_nation', 'placed_by', 'in_region'))"
+_ARCS = "arcs AS (SELECT DISTINCT sl AS producer, tl AS consumer, relation FROM named WHERE relation IN ('in_region', 'in_nation', 'placed_by', 'contains', 'supplied_by'))"
 
 
 def _arcs_of(v: str) -> str:
-    return f"{v}_a AS (SELECT DISTINCT sl AS producer, tl AS consumer, relation FROM {v}_e WHERE relation IN ('in_nation', 'placed_by', 'in_region'))"
+    return f"{v}_a AS (SELECT DISTINCT sl AS producer, tl AS consumer, relation FROM {v}_e WHERE relation IN ('in_region', 'in_nation', 'placed_by', 'contains', 'supplied_by'))"
 
 
 A = V + f", {_ARCS}, {_arcs_of('o')}, {_arcs_of('t')}"
@@ -99,13 +99,17 @@ for _k in (1, 2):
     won{_k} AS (SELECT id, label FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, label) AS k FROM votes{_k}) WHERE k = 1),
     lab{_k} AS (SELECT p.id, coalesce(w.label, p.label) AS label FROM lab{_k - 1} p LEFT JOIN won{_k} w USING (id))"""
 
-_STAR = G + """, comp AS (SELECT n.id, least(n.id, coalesce(m.least, n.id)) AS component FROM nodes n LEFT JOIN (
-    SELECT id, min(least) AS least FROM (SELECT source AS id, min(least(source, target)) OVER (PARTITION BY target) AS least FROM edges WHERE relation = 'placed_by'
-        UNION ALL SELECT target, min(least(source, target)) OVER (PARTITION BY target) FROM edges WHERE relation = 'placed_by') GROUP BY id) m ON m.id = n.id)"""
+# the smallest id within so many steps; the projection's diameter is smaller
+_COMPONENTS = G + """, ends AS MATERIALIZED (SELECT source AS id, target AS peer FROM edges UNION SELECT target, source FROM edges),
+    c0 AS MATERIALIZED (SELECT id, id AS label FROM nodes)"""
+for _k in range(1, 15):
+    _COMPONENTS += f""", c{_k} AS MATERIALIZED (SELECT c.id, least(c.label, coalesce(m.label, c.label)) AS label FROM c{_k - 1} c
+    LEFT JOIN (SELECT e.id, min(p.label) AS label FROM ends e JOIN c{_k - 1} p ON p.id = e.peer GROUP BY e.id) m ON m.id = c.id)"""
+_COMPONENTS += ", comp AS (SELECT id, label AS component FROM c14)"
 
 _EVENTS = """WITH ev AS (SELECT DISTINCT event_id % 2 AS h, 'user:' || user_id AS producer, 'type:' || event_type AS consumer, 'emits' AS relation FROM events),
 b AS (SELECT DISTINCT producer, consumer, relation FROM ev WHERE h = 0), a AS (SELECT DISTINCT producer, consumer, relation FROM ev WHERE h = 1)"""
-_LABEL = "WITH l AS (SELECT doc_id, ' <a&\"''\\> [x]:' || chr(9) || chr(10) || chr(1) || substr(text, 1, 300) || ' ' AS label FROM documents)"
+_LABEL = "WITH l AS (SELECT doc_id, ' <a&\"''\\> [x]:' || chr(9) || chr(10) || chr(1) || text || ' ' AS label FROM documents)"
 _CC = "'[\\x00-\\x1f\\x7f-\\x{9f}]'"
 _MANIFEST = "WITH m AS (SELECT CAST(doc_id AS VARCHAR) AS path, sha256(text) AS content_hash FROM documents)"
 _KEY = "WITH k AS (SELECT doc_id, sha256('7:extract|' || " + " || ".join(_PART.format(c) for c in ("source", "lang", "text")) + " || '|2:v0') AS key FROM documents)"
@@ -150,9 +154,9 @@ def oracle_sql() -> dict[str, str]:
         "report_hubs": G + """ SELECT row_number() OVER (ORDER BY degree DESC, id) AS rank, id, label, degree FROM degree JOIN nodes USING (id)
             WHERE source_file <> 'part' OR label IN (SELECT 'part:' || p_partkey FROM part WHERE p_size <= 40) ORDER BY degree DESC, id LIMIT 10""",
         "undirected_pairs": G + " SELECT a, b FROM pairs",
-        "components": _STAR + " SELECT id, component FROM comp",
+        "components": _COMPONENTS + " SELECT id, component FROM comp",
         "label_propagation_2": _LP + " SELECT id, label FROM lab2",
-        "community_numbering": _STAR + " SELECT dense_rank() OVER (ORDER BY component) - 1 AS community, id AS node FROM comp",
+        "community_numbering": _COMPONENTS + " SELECT dense_rank() OVER (ORDER BY component) - 1 AS community, id AS node FROM comp",
         "community_sizes": G + " SELECT community, count(*) AS members FROM members GROUP BY community",
         "community_of": G + " SELECT node, max(greatest(community, community % 7)) AS community FROM members GROUP BY node",
         "surprising_connections": _CROSS + " SELECT source, target, relation, confidence, source_community, target_community FROM bridges",
@@ -221,7 +225,7 @@ def oracle_sql() -> dict[str, str]:
         "export_tokens": _LABEL + """ SELECT doc_id, replace(replace(label, '[', '\\['), ']', '\\]') AS link, regexp_replace(label, '[^A-Za-z0-9._-]', '', 'g') AS token,
             replace(replace(label, '\\', '\\\\'), '"', '\\"') AS quoted, replace(replace(replace(label, '[', ''), ']', ''), ':', '') AS field FROM l""",
         "path_tags": "SELECT doc_id, CASE doc_id % 3 WHEN 2 THEN 'root' ELSE source END AS crate, CASE doc_id % 4 WHEN 0 THEN 'rust' WHEN 1 THEN 'python' WHEN 2 THEN 'js' ELSE 'other' END AS lang, lower(lang) AS stem FROM documents",
-        "slugs": "SELECT doc_id, trim(regexp_replace(lower(regexp_replace(substr(text, 1, 80), '[^ -~]', '', 'g')), '[^a-z0-9]+', '_', 'g'), '_') AS slug, trim(source, '_') AS method FROM documents",
+        "slugs": "SELECT doc_id, trim(regexp_replace(lower(regexp_replace(text, '[^ -~]', '', 'g')), '[^a-z0-9]+', '_', 'g'), '_') AS slug, trim(source, '_') AS method FROM documents",
         "span_functions": "SELECT CAST(greatest(l_linenumber - 3, 0) AS BIGINT) AS bytes, l_linenumber > 3 AS holds, l_linenumber >= 3 AS formed, count(*) AS n FROM lineitem GROUP BY ALL",
         "node_link_rows": G + _N + " SELECT community, id, label, source_file, 'L' || start_line AS source_location FROM nl",
         "node_link_links": G + " SELECT confidence, relation, source, target, CAST(CASE WHEN confidence = 'EXTRACTED' THEN 1.0 ELSE 0.8 END AS DOUBLE) AS weight FROM edges",

@@ -138,13 +138,8 @@ def undirected_pairs(s, d):
     return an.undirected_pairs(dg.graph(s, d).edges)
 
 
-def _orders(s, d):
-    g = dg.graph(s, d)
-    return g.with_(edges=g.edges.where("relation = 'placed_by'"))
-
-
 def components(s, d):
-    g = _orders(s, d)
+    g = dg.graph(s, d)
     return an.component_of(g.nodes, an.undirected_pairs(g.edges))
 
 
@@ -155,15 +150,11 @@ def label_propagation_2(s, d):
 
 def communities(s, d):
     """Every node with its community in the trusted graph."""
-    return an.detect_communities(dg.graph(s, d), local=5_000)[1]
-
-
-def communities_of_orders(s, d):
-    return an.detect_communities(_orders(s, d))[1]
+    return an.detect_communities(dg.graph(s, d))[1]
 
 
 def community_numbering(s, d):
-    g = _orders(s, d)
+    g = dg.graph(s, d)
     own = an.component_of(g.nodes, an.undirected_pairs(g.edges))
     return an.number_communities(own.select("id", F.col("component").alias("label")))
 
@@ -293,7 +284,7 @@ def co_clustering(s, d):
 
 def _arcs(s, d, v=None):
     g = dg.graph(s, d) if v is None else dg.version(s, d, *v)
-    return arcs.extract_arcs(g, ("in_nation", "placed_by", "in_region"))
+    return arcs.extract_arcs(g, dg.RELATIONS)
 
 
 def extract_arcs(s, d):
@@ -392,8 +383,7 @@ def url_extension(s, d):
 
 def _odd_label(s, d):
     """Labels with what the functions look for: controls, quotes, brackets, spaces."""
-    part = F.substring("text", 1, 300)
-    return dg.read(s, d, "documents").select("doc_id", F.concat(F.lit(" <a&\"'\\> [x]:\t\n"), F.lit("\x01"), part, F.lit(" ")).alias("label"))
+    return dg.read(s, d, "documents").select("doc_id", F.concat(F.lit(" <a&\"'\\> [x]:\t\n"), F.lit("\x01"), F.col("text"), F.lit(" ")).alias("label"))
 
 
 def sanitize_label(s, d):
@@ -423,7 +413,7 @@ def path_tags(s, d):
 
 
 def slugs(s, d):
-    c = F.regexp_replace(F.substring("text", 1, 80), "[^ -~]", "")
+    c = F.regexp_replace("text", "[^ -~]", "")
     return dg.read(s, d, "documents").select("doc_id", tx.slug(c).alias("slug"), tx.method_id(F.concat(F.lit("__"), "source", F.lit("_"))).alias("method"))
 
 
@@ -476,7 +466,7 @@ NAMES = [
     nodes_first_wins, edges_resolved, edges_dangling, edges_dedup_first_confidence, graph_counts, id_collision_check, assemble_relations, content_ids, canonical_order,
     merge2_nodes, merge2_edges, merge2_communities, merge3_nodes, merge3_edges, merge3_communities, merge3_manifest, prune_stale,
     trusted_edges, untrusted_edges, confidence_counts, edge_weights,
-    degree_centrality, god_nodes, report_hubs, undirected_pairs, components, label_propagation_2, communities, communities_of_orders, community_numbering, community_sizes, community_of, surprising_connections, suggested_questions,
+    degree_centrality, god_nodes, report_hubs, undirected_pairs, components, label_propagation_2, communities, community_numbering, community_sizes, community_of, surprising_connections, suggested_questions,
     find_by_label, trigram_index, trigram_find, query_top50, shortest_path, path_labels, explain_edges, explain_communities, node_neighbourhood, community_members, report_sample, graph_health,
     token_estimate, budget_pack, generation_id, parity_nodes, parity_edges, regression_free, relation_coverage, co_clustering,
     extract_arcs, diff_arcs, arc_coherence, arc_delta, arc_delta_summary, arc_delta_live, arc_delta_live_summary, sphere_registration,

@@ -218,7 +218,8 @@ def test_requests(spark):
     ask = lambda method, **p: json.loads(serve.handle(g, json.dumps({"jsonrpc": "2.0", "id": 1, "method": method, "params": p})))
     tool = lambda n, **a: ask("tools/call", name=n, arguments=a)["result"]["content"][0]["text"]
     assert "generation" in ask("initialize")["result"] and len(ask("tools/list")["result"]["tools"]) == 4
-    assert tool("graph_query", needle="N1").splitlines()[0] == "1 matches"
+    assert tool("graph_query", query="N1").splitlines()[0] == "1 matches"
+    assert len(tool("graph_query", query="n", max_tokens=0).splitlines()) == 3  # the best match is never dropped
     assert tool("graph_path", **{"from": "n0", "to": "n2"}) == "n0 -> n1 -> n2 (2 hops)"
     assert tool("graph_health").startswith("nodes=3 edges=2") and "out knows n1" in tool("graph_explain", concept="n0")
     assert ask("resources/read", uri="graph://community/0")["result"]["contents"][0]["text"] == "n0\nn1"
