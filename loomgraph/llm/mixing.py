@@ -35,7 +35,7 @@ from .rows import numbered
 WEIGHTS = (5, 2, 1)
 PASSES = 3
 #: Rows of a range of the shuffled order, at most sixteen times as many at the mean.
-RANGE = 1 << 14
+RANGE = 1 << 10
 WORD = r"[^\x20\x09-\x0D]+"
 
 
