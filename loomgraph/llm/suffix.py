@@ -63,9 +63,11 @@ TOGETHER = 1 << 18
 #: Groups up to this size are compared by pairs in suffix order.
 PAIRS = 64
 #: Groups up to this size are compared inside one task.
-HOT = 20_000
+HOT = 3_000
 #: Fragments in a bucket, at the mean, and in a batch of it.
-BUCKET, BATCH = 16_384, 4_096
+BUCKET, BATCH = 8_192, 4_096
+#: Fragments whose dense suffix array is made at once, with those of the last anchor.
+DENSE = 1_000
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9)]
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -273,27 +275,31 @@ def _stretches(row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def compare_bucket(batches, length: int, pairs: int = PAIRS, batch: int = BATCH):
-    """batches: (fragments, places of the anchor, sizes of groups). Yields numbers of fragments with stretches of repeated windows."""
-    family, wide, wide_ids, places, seen = Family(length), [], [], [], 0
-    for fragments, anchors, group in batches:
+    """batches: (fragments, places of the anchor, sizes of groups, anchors). Yields numbers of fragments with stretches of repeated windows."""
+    family, places, seen = Family(length), [], 0
+    wide: dict[int, list[tuple[int, bytes]]] = {}
+    for fragments, anchors, group, names in batches:
         small = np.flatnonzero(group <= pairs)
         for at in range(0, len(small), batch):
             k = small[at : at + batch]
             family.add([fragments[i] for i in k.tolist()], anchors[k], seen + k)
         for i in np.flatnonzero(group > pairs).tolist():
-            wide.append(fragments[i])
-            wide_ids.append(seen + i)
+            wide.setdefault(int(names[i]), []).append((seen + i, fragments[i]))
         places.append(anchors)
         seen += len(fragments)
     ids, lo, hi = family.repeated()
     if len(ids):  # places of the anchor in windows, so a window begins at anchor - place
         x = np.concatenate(places)[ids]
         yield ids, x - hi, x - lo
-    if wide:
-        row, place, rank = dense_ranks(wide, length)
-        twice = np.bincount(rank)[rank] > 1
-        r, first, last = _stretches(row[twice], place[twice])
-        yield np.array(wide_ids)[r], first, last
+    pool: list[tuple[int, bytes]] = []
+    while wide:
+        pool += wide.popitem()[1]
+        if len(pool) >= DENSE or not wide:
+            row, place, rank = dense_ranks([f for _, f in pool], length)
+            twice = np.bincount(rank)[rank] > 1
+            r, first, last = _stretches(row[twice], place[twice])
+            yield np.array([k for k, _ in pool])[r], first, last
+            pool = []
 
 
 def scan_levels(new: DataFrame, levels: list[DataFrame], texts: DataFrame, length: int, pairs: int = PAIRS, hot_from: int = HOT, batch: int = BATCH) -> DataFrame:
@@ -350,7 +356,7 @@ def scan_levels(new: DataFrame, levels: list[DataFrame], texts: DataFrame, lengt
             for b in batches:
                 run = b.column(2).to_numpy(zero_copy_only=False)
                 meta.append((b.column(1).to_numpy(zero_copy_only=False), run, b.column(3).to_numpy(zero_copy_only=False)))
-                yield b.column(4).to_pylist(), run & 255, b.column(0).to_numpy(zero_copy_only=False)
+                yield b.column(4).to_pylist(), run & 255, b.column(0).to_numpy(zero_copy_only=False), b.column(5).to_numpy(zero_copy_only=False)
 
         results = list(compare_bucket(parts(), length, pairs, batch))
         if meta:
@@ -360,7 +366,7 @@ def scan_levels(new: DataFrame, levels: list[DataFrame], texts: DataFrame, lengt
                 k, at = ids[keep], run[ids[keep]] >> 16
                 yield pa.RecordBatch.from_arrays([pa.array(row[k]), pa.array(at + first[keep]), pa.array(at + last[keep] + length)], names=["row", "lo", "hi"])
 
-    near = cuts.where(f"kinds <= {hot_from}").repartition(buckets, "anchor").select("kinds", "row", "run", "open", "data")
+    near = cuts.where(f"kinds <= {hot_from}").repartition(buckets, "anchor").select("kinds", "row", "run", "open", "data", "anchor")
     near = near.mapInArrow(tidy(compare), "row long, lo long, hi long")
 
     def spread(batches):
