@@ -69,17 +69,17 @@ class Hashes(dict):
         return value
 
 
-def shingles(text: bytes, memo: Hashes) -> np.ndarray:
-    """The sorted hashes of the distinct shingles."""
+def shingles(text: bytes, memo: Hashes, size: int = SHINGLE) -> np.ndarray:
+    """The sorted hashes of the distinct shingles of ``size`` words."""
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
     if len(memo) > MEMO:
         memo.clear()
     w = np.array([memo[x] for x in words], np.uint64)
-    n = max(1, len(w) - SHINGLE + 1)
-    h = np.full(n, min(len(w), SHINGLE), np.uint64)
-    for k in range(min(len(w), SHINGLE)):
+    n = max(1, len(w) - size + 1)
+    h = np.full(n, min(len(w), size), np.uint64)
+    for k in range(min(len(w), size)):
         h += w[k : k + n] * _ODD[k]
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
@@ -157,12 +157,12 @@ def words() -> list[Column]:
     return [F.coalesce(F.get("small", F.lit(k)), F.lit(0)).alias(f"s{k}") for k in range(WORDS)]
 
 
-def may_share(x: str, y: str) -> Column:
+def may_share(x: str, y: str, over: int = OVER, under: int = UNDER) -> Column:
     """Whether the small maps of two rows let them share enough. x, y: aliases of rows with n and the map's ``words``."""
     words = [(F.col(f"{x}.s{k}"), F.col(f"{y}.s{k}")) for k in range(WORDS)]
     lacks = [sum((F.bit_count(a.bitwiseAND(F.bitwise_not(b))) for a, b in pairs), F.lit(0)) for pairs in (words, [(b, a) for a, b in words])]
     most = F.least(F.col(f"{x}.n") - lacks[0], F.col(f"{y}.n") - lacks[1])
-    return most * (OVER + UNDER) >= (F.col(f"{x}.n") + F.col(f"{y}.n")) * OVER
+    return most * (over + under) >= (F.col(f"{x}.n") + F.col(f"{y}.n")) * over
 
 
 def sketches(named: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, jpeg, mixing, packing, sharding, simhash, suffix, tokens, toxicity, trie, warc
+from . import ann, jaccard, jpeg, mixing, packing, sharding, simhash, suffix, tokens, toxicity, trie, warc
 
 SHARDS = [f"shard-{k:04d}" for k in range(sharding.SHARDS)]
 
@@ -65,6 +65,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(read(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.rebuilt_trie(read(spark, sf_dir, "conversations"))
 
@@ -81,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jpeg": op8_jpeg,
         "op9_mixing": op9_mixing,
         "op10_packing": op10_packing,
+        "op11_ngram_jaccard": op11_ngram_jaccard,
         "op13_prefix_trie": op13_prefix_trie,
     }
 
