@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, jaccard, jpeg, mixing, packing, sharding, simhash, suffix, tokens, toxicity, trie, warc
+from . import align, ann, jaccard, jpeg, mixing, packing, sharding, simhash, suffix, tokens, toxicity, trie, warc
 
 SHARDS = [f"shard-{k:04d}" for k in range(sharding.SHARDS)]
 
@@ -69,6 +69,11 @@ def op11_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(read(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = align.align(read(spark, sf_dir, "documents"), vocabulary(), vocabulary("piece_bpe_32k.model"))
+    return out.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.rebuilt_trie(read(spark, sf_dir, "conversations"))
 
@@ -86,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_mixing": op9_mixing,
         "op10_packing": op10_packing,
         "op11_ngram_jaccard": op11_ngram_jaccard,
+        "op12_alignment": op12_alignment,
         "op13_prefix_trie": op13_prefix_trie,
     }
 
