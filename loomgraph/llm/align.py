@@ -28,12 +28,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,14 +113,14 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 def bundled(docs: DataFrame, key: str, text: str, most: int) -> DataFrame:
-    """Rows of two kinds, written once: bundle, key, words of each text; bundle, idx, unit of each dictionary."""
+    """Rows of two kinds, written once: bundle, seq, key, words of each text; bundle, idx, unit of each dictionary."""
     slim = docs.select(F.col(f"`{key}`").alias("__key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
-    schema = T.StructType([T.StructField("bundle", T.LongType()), T.StructField("idx", T.IntegerType()), T.StructField("unit", T.StringType()), T.StructField("key", slim.schema["__key"].dataType), T.StructField("words", T.BinaryType())])
+    schema = T.StructType([T.StructField("bundle", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("idx", T.IntegerType()), T.StructField("unit", T.StringType()), T.StructField("key", slim.schema["__key"].dataType), T.StructField("words", T.BinaryType())])
 
     def run(batches):
         task, made = TaskContext.get().partitionId(), 0
         known: dict[str, int] = {}
-        held = 0
+        held = seq = 0
 
         def dictionary():
             at = (task << 20) + made
@@ -126,7 +128,7 @@ def bundled(docs: DataFrame, key: str, text: str, most: int) -> DataFrame:
             for lo in range(0, len(names), 20_000):
                 part = names[lo : lo + 20_000]
                 n = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, at)), pa.array(np.arange(lo, lo + n, dtype=np.int32)), pa.array(part, pa.string()), pa.nulls(n, kind), pa.nulls(n, pa.binary())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, at)), pa.nulls(n, pa.int64()), pa.array(np.arange(lo, lo + n, dtype=np.int32)), pa.array(part, pa.string()), pa.nulls(n, kind), pa.nulls(n, pa.binary())], names=schema.names)
 
         for b in batches:
             kind = b.column(0).type
@@ -141,11 +143,12 @@ def bundled(docs: DataFrame, key: str, text: str, most: int) -> DataFrame:
                     words.append(_pack(np.fromiter(map(known.__getitem__, own), np.uint32, len(own))))
                     held += len(t)
                 n = len(words)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, (task << 20) + made)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), part.column(0), pa.array(words, pa.binary())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, (task << 20) + made)), pa.array(np.arange(seq, seq + n)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), part.column(0), pa.array(words, pa.binary())], names=schema.names)
+                seq += n
                 if held >= most:
                     yield from dictionary()
                     known.clear()
-                    held, made = 0, made + 1
+                    held, seq, made = 0, 0, made + 1
         if known:
             yield from dictionary()
 
@@ -186,18 +189,24 @@ def token_ends(own: DataFrame, side: str) -> DataFrame:
     return rows.select("uid", F.sum("t.len").over(upto).alias("end"), F.col("t.id").alias(side))
 
 
+def _grouped(own: DataFrame, other: DataFrame, side: str) -> DataFrame:
+    """uid, group, and the ids of one side in it: a token's group is how many common ends lie before its own."""
+    met = own.join(other.select("uid", "end", F.lit(1).alias("cut")), ["uid", "end"], "left").withColumn("cut", F.coalesce("cut", F.lit(0)))
+    upto = Window.partitionBy("uid").orderBy("end").rowsBetween(Window.unboundedPreceding, 0)
+    placed = met.withColumn("group", F.sum("cut").over(upto) - F.col("cut"))
+    ids = F.array_sort(F.collect_list(F.struct("end", F.col(side).alias("id"))))
+    return placed.groupBy("uid", "group").agg(ids.alias("t")).select("uid", "group", F.col("t.id").alias(side))
+
+
 def aligned(own: DataFrame) -> DataFrame:
     """For each uid: n_a, n_b, n_groups, n_links, groups (written out), links (pair of ids, n).
 
-    A group's tokens are gathered in a row, as long as the stretch of text without a common end.
+    Units are dealt out by uid once, and all joins and windows go by it. A group's
+    tokens are gathered in a row, as long as the stretch of text without a common end.
     """
     dealt = own.where("ok").select("uid", "a", "a_len", "b", "b_len").repartition("uid")
-    ends = token_ends(dealt, "a").join(token_ends(dealt, "b"), ["uid", "end"], "full_outer")
-    cut = (F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int")
-    upto = Window.partitionBy("uid").orderBy("end").rowsBetween(Window.unboundedPreceding, 0)
-    placed = ends.withColumn("group", F.sum(cut).over(upto) - cut)
-    gather = lambda c: F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("end", F.col(c).alias("id")))))
-    groups = placed.groupBy("uid", "group").agg(gather("a").alias("a"), gather("b").alias("b")).select("uid", "group", F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    a, b = token_ends(dealt, "a"), token_ends(dealt, "b")
+    groups = _grouped(a, b, "a").join(_grouped(b, a, "b"), ["uid", "group"])
     times = lambda c, x: F.size(F.filter(c, lambda y: y == x)).cast("bigint")
     pairs = F.flatten(F.transform(F.array_distinct("a"), lambda x: F.transform(F.array_distinct("b"), lambda y: F.struct(pair(x, y).alias("pair"), (times("a", x) * times("b", y)).alias("n")))))
     written = F.concat_ws("|", F.array_join(F.col("a").cast("array<string>"), ","), F.array_join(F.col("b").cast("array<string>"), ","))
@@ -208,6 +217,18 @@ def aligned(own: DataFrame) -> DataFrame:
     )
 
 
+@contextmanager
+def dealt_by_some_keys(spark: SparkSession):
+    """While a table is written: rows that are dealt out by one of several join keys aren't dealt out again."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def pair(a: Column, b: Column) -> Column:
     return F.shiftleft(a.cast("bigint"), 32).bitwiseOR(b.cast("bigint"))
 
@@ -219,72 +240,82 @@ def _ordered(t: pa.Table) -> pa.Table:
     return t.sort_by("idx").combine_chunks()
 
 
-def _counted(left: pa.Table, right: pa.Table) -> pa.Table:
-    """pair, n: in how many texts of a bundle each pair of ids is linked."""
-    own = _ordered(right)
-    bad = np.array(own.column("pairs").is_null())
-    lists = own.column("pairs").to_pylist()
-    sizes = np.array([len(x or ()) for x in lists], np.int64)
-    flat = np.array([p for x in lists if x for p in x], np.int64)
-    del lists
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    names, local = np.unique(flat, return_inverse=True)
-    found = np.zeros(len(names), np.int64)
-    for data in left.column("words"):
-        words = np.unique(_unpack(data.as_py()))
-        if len(words) and not bad[words].any():
-            n = sizes[words]
-            at = np.repeat(starts[words] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-            found[np.unique(local[at])] += 1
-    keep = found > 0
-    return pa.table({"pair": pa.array(names[keep]), "n": pa.array(found[keep])})
+_SUMS, _FIGURES = ("n_a", "n_b", "n_groups", "n_links"), ("n_best", "count_sum")
 
 
-_SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+def _table(own: pa.Table, columns: tuple[str, ...]) -> np.ndarray:
+    return np.stack([own.column(c).fill_null(0).to_numpy() for c in columns], axis=1) if own.num_rows else np.zeros((0, len(columns)), np.int64)
 
 
-def _assembled(left: pa.Table, right: pa.Table, key: str) -> pa.Table:
-    """The figures of each text of a bundle."""
+def _counted(left: pa.Table, right: pa.Table) -> pa.Table:
+    """seq, sums and digest of each text of a bundle; pair, n: in how many of them each pair of ids is linked."""
     own = _ordered(right)
-    bad = np.array(own.column("groups").is_null())
+    bad = np.array(own.column("groups").is_null(), bool)
     groups = [(g or "").encode() for g in own.column("groups").to_pylist()]
-    figures = np.stack([own.column(c).fill_null(0).to_numpy() for c in _SUMS], axis=1) if len(groups) else np.zeros((0, len(_SUMS)), np.int64)
+    lists = own.column("pairs").combine_chunks()
+    sizes = np.array(pc.list_value_length(lists).fill_null(0), np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    names, local = np.unique(np.asarray(lists.flatten(), np.int64), return_inverse=True)
+    figures, found = _table(own, _SUMS), np.zeros(len(names), np.int64)
     sums, digests = np.zeros((left.num_rows, len(_SUMS)), np.int64), []
     for k, data in enumerate(left.column("words")):
         words = _unpack(data.as_py())
-        if len(words) and not bad[words].any():
-            sums[k] = figures[words].sum(axis=0)
-            digest = hashlib.sha256()
-            for lo in range(0, len(words), 1 << 16):  # a text's groups aren't put together in memory
-                digest.update(b";" * (lo > 0) + b";".join(map(groups.__getitem__, words[lo : lo + (1 << 16)].tolist())))
-            digests.append(digest.hexdigest())
-        else:
+        if not len(words) or bad[words].any():
             digests.append("")
-    return pa.table({key: left.column("key"), **{c: pa.array(sums[:, k]) for k, c in enumerate(_SUMS)}, "groups_sha256": pa.array(digests, pa.string())})
+            continue
+        sums[k] = figures[words].sum(axis=0)
+        digest = hashlib.sha256()
+        for lo in range(0, len(words), 1 << 16):  # a text's groups aren't put together in memory
+            digest.update(b";" * (lo > 0) + b";".join(map(groups.__getitem__, words[lo : lo + (1 << 16)].tolist())))
+        digests.append(digest.hexdigest())
+        once = np.unique(words)
+        n = sizes[once]
+        at = np.repeat(starts[once] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        found[np.unique(local[at])] += 1
+    keep = np.flatnonzero(found)
+    t, p = left.num_rows, len(keep)
+    none = lambda kind, n: pa.nulls(n, kind)
+    both = lambda x, y: pa.chunked_array([x, y])
+    out = {"bundle": both(left.column("bundle").combine_chunks(), none(pa.int64(), p)), "seq": both(left.column("seq").combine_chunks(), none(pa.int64(), p))}
+    out |= {c: both(pa.array(sums[:, k]), none(pa.int64(), p)) for k, c in enumerate(_SUMS)}
+    return pa.table(out | {"digest": both(pa.array(digests, pa.string()), none(pa.string(), p)), "pair": both(none(pa.int64(), t), pa.array(names[keep])), "n": both(none(pa.int64(), t), pa.array(found[keep]))})
+
+
+def _summed(left: pa.Table, right: pa.Table) -> pa.Table:
+    """n_best and count_sum of each text of a bundle; only for those that have tokens they mean something."""
+    figures = _table(_ordered(right), _FIGURES)
+    sums = np.array([figures[_unpack(d.as_py())].sum(axis=0) for d in left.column("words")], np.int64).reshape(-1, len(_FIGURES))
+    return pa.table({"bundle": left.column("bundle"), "seq": left.column("seq"), **{c: pa.array(sums[:, k]) for k, c in enumerate(_FIGURES)}})
 
 
 def align(docs: DataFrame, a: str, b: str, key: str = "doc_id", text: str = "text", bundle: int = BUNDLE) -> tuple[DataFrame, DataFrame]:
     """For every row its key, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256; and the corpus' pairs a_id, b_id, n_docs, best (of the A id)."""
     spark = docs.sparkSession
     work = bundled(docs, key, text, bundle)
-    texts, entries = work.where("words IS NOT NULL").select("bundle", "key", "words"), work.where("unit IS NOT NULL").select("bundle", "idx", "unit")
+    texts, entries = work.where("words IS NOT NULL").select("bundle", "seq", "words"), work.where("unit IS NOT NULL").select("bundle", "idx", "unit")
     own = tokenized(entries.select("unit").distinct(), a, b)
     entries = materialise(spark, entries.join(own.select("unit", "uid"), "unit").select("bundle", "idx", "uid"), "entries")
-    done = materialise(spark, aligned(own), "aligned")
+    with dealt_by_some_keys(spark):
+        done = materialise(spark, aligned(own), "aligned")
     discard(own)
 
-    pairs = done.select("uid", F.array_distinct(F.col("links.pair")).alias("pairs"))
-    met = texts.groupBy("bundle").cogroup(entries.join(pairs, "uid", "left").select("bundle", "idx", "pairs").groupBy("bundle"))
-    counts = materialise(spark, met.applyInArrow(_counted, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n_docs")), "pairs")
+    full = done.select("uid", *_SUMS, "groups", F.array_distinct(F.col("links.pair")).alias("pairs"))
+    met = texts.groupBy("bundle").cogroup(entries.join(full, "uid", "left").select("bundle", "idx", *_SUMS, "groups", "pairs").groupBy("bundle"))
+    longs = ", ".join(f"{c} long" for c in ("bundle", "seq", *_SUMS))
+    first = materialise(spark, met.applyInArrow(_counted, f"{longs}, digest string, pair long, n long"), "counted")
+    counts = materialise(spark, first.where("pair IS NOT NULL").groupBy("pair").agg(F.sum("n").alias("n_docs")), "pairs")
     best = counts.groupBy(F.shiftright("pair", 32).alias("a_id")).agg(F.max("n_docs").alias("most"))
     counts = counts.withColumn("a_id", F.shiftright("pair", 32)).join(best, "a_id")
     counts = materialise(spark, counts.select("pair", "n_docs", (F.col("n_docs") == F.col("most")).alias("best")), "pairs")
 
     links = done.select("uid", F.explode("links").alias("l")).select("uid", "l.pair", "l.n").join(counts, "pair")
     figures = links.groupBy("uid").agg(F.sum(F.col("n") * F.col("best").cast("bigint")).alias("n_best"), F.sum(F.col("n") * F.col("n_docs")).alias("count_sum"))
-    full = materialise(spark, done.drop("links").join(figures, "uid", "left"), "figures")
-    met = texts.groupBy("bundle").cogroup(entries.join(full, "uid", "left").select("bundle", "idx", *_SUMS, "groups").groupBy("bundle"))
-    schema = T.StructType([T.StructField(key, work.schema["key"].dataType), *[T.StructField(c, T.LongType()) for c in _SUMS], T.StructField("groups_sha256", T.StringType())])
-    out = met.applyInArrow(lambda x, y: _assembled(x, y, key), schema)
+    met = texts.groupBy("bundle").cogroup(entries.join(figures, "uid", "left").select("bundle", "idx", *_FIGURES).groupBy("bundle"))
+    second = met.applyInArrow(_summed, "bundle long, seq long, n_best long, count_sum long")
+    keys = work.where("words IS NOT NULL").select("bundle", "seq", "key")
+    out = first.where("pair IS NULL").drop("pair", "n").join(second, ["bundle", "seq"]).join(keys, ["bundle", "seq"])
+    known = F.col("digest") != ""
+    figures_of = [F.when(known, F.col(c)).otherwise(F.lit(0)).cast("bigint").alias(c) for c in _FIGURES]
+    out = out.select(F.col("key").alias(key), *_SUMS, *figures_of, F.col("digest").alias("groups_sha256"))
     table = counts.select(F.shiftright("pair", 32).cast("int").alias("a_id"), F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("b_id"), "n_docs", "best")
     return out, table
