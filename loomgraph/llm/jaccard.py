@@ -41,7 +41,7 @@ from ..operators.components import components
 from ..operators.skew import frequent, salted_join
 from ..session import discard, materialise
 from .memory import tidy
-from .near import WORDS, Hashes, bitmap, may_share, most_shared, shingles, small_maps
+from .near import Hashes, bitmap, may_share, most_shared, shingles, small_maps
 from .near import words as map_words
 from .rows import numbered
 from .simhash import first_of
@@ -51,6 +51,8 @@ SHINGLE = 4
 OVER, UNDER = 17, 20
 #: Counts that the order of shingles rests on; a power of two.
 BUCKETS = 1 << 18
+#: 64-bit words of a small map; a power of two.
+WORDS = 8
 _SHIFT = np.uint64(64 - BUCKETS.bit_length() + 1)
 
 
@@ -94,7 +96,7 @@ def sketches(named: DataFrame, size: int, over: int, under: int) -> DataFrame:
                 first = [s[np.lexsort((s, counts[(s >> _SHIFT).astype(np.int64)]))[: len(s) + (-over * len(s)) // under + 1]] if len(s) else s for s in sets]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in first])])
                 keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first).view(np.int64)))
-                small = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * WORDS, pa.int32()), pa.array(small_maps(sets).ravel()))
+                small = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * WORDS, pa.int32()), pa.array(small_maps(sets, WORDS).ravel()))
                 own = [pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), keys, pa.array([bitmap(s) for s in sets], pa.binary()), small]
                 yield pa.RecordBatch.from_arrays([part.column(0), *own], names=["__row", "set", "n", "keys", "bits", "small"])
 
@@ -187,21 +189,19 @@ def classes(named: DataFrame, size: int = SHINGLE, over: int = OVER, under: int
 
     linked = materialise(spark, components(stars), "linked")
     label = F.coalesce("root", "node")
-    held = tiles.groupBy("node").agg(F.count("*").alias("count"))
     labelled = tiles.join(linked, "node", "left").select("item", "band", "own", "node", "n", "hub", label.alias("label"))
     labelled = materialise(spark, labelled, "labelled")
-    of_hub = labelled.where("node = hub").select("item", "band", F.col("label").alias("hub_label"))
-    whole = salted_join(labelled.drop("hub"), of_hub, ["item", "band"], often, ["node"])
-    whole = materialise(spark, whole, "whole")
-    mixed = whole.groupBy("item", "band").agg(F.count_if(F.col("label") != F.col("hub_label")).alias("others")).where("others > 0").select("item", "band")
-    rest = salted_join(whole, mixed, ["item", "band"], often, ["node"], "left_semi")
-    rest = materialise(spark, rest.join(light.select("node", *map_words()), "node"), "rest")
-    discard(met, tiles, labelled, whole)
+    # a tile whose sets are all in one component is done
+    per = labelled.groupBy("item", "band").agg(F.max(F.when(F.col("node") == F.col("hub"), F.col("label"))).alias("hub_label"), F.min("label").alias("least"), F.max("label").alias("most"))
+    mixed = per.where("least <> most").select("item", "band", "hub_label")
+    rest = salted_join(labelled.drop("hub"), mixed, ["item", "band"], often, ["node"])
+    rest = materialise(spark, rest.join(light.select("node", *map_words(WORDS)), "node"), "rest")
+    discard(met, tiles, labelled)
     x, y = rest.where("label <> hub_label").alias("x"), rest.alias("y")
     fits = F.expr(f"least(x.n, y.n) * {under} >= greatest(x.n, y.n) * {over}")
     # a pair of visitors meets in its own band's tile
     once = F.expr("x.item = y.item AND x.band = y.band AND x.label <> y.label AND (y.label = y.hub_label OR x.node < y.node) AND (x.own = x.band OR y.own = y.band)")
-    others = x.join(y, once & fits & may_share("x", "y", over, under))
+    others = x.join(y, once & fits & may_share("x", "y", over, under, WORDS))
     second = verified(others.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct(), light, named, size, over, under)
     reached = materialise(spark, components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second)), "reached")
 

@@ -144,22 +144,22 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))).view(np.int64)
 
 
-def small_maps(sets: list[np.ndarray]) -> np.ndarray:
+def small_maps(sets: list[np.ndarray], size: int = WORDS) -> np.ndarray:
     """A bit for each place that the leading bits of a hash name, as words, a row each."""
-    flags = np.zeros((len(sets), 64 * WORDS), bool)
+    flags = np.zeros((len(sets), 64 * size), bool)
     for k, items in enumerate(sets):
-        flags[k, (items >> np.uint64(64 - 5 - WORDS.bit_length())).astype(np.int64)] = True
+        flags[k, (items >> np.uint64(64 - 5 - size.bit_length())).astype(np.int64)] = True
     return np.packbits(flags, axis=1).view(np.int64)
 
 
-def words() -> list[Column]:
+def words(size: int = WORDS) -> list[Column]:
     """The small map as columns of its own, which compiled code reads without tests of an array's bounds."""
-    return [F.coalesce(F.get("small", F.lit(k)), F.lit(0)).alias(f"s{k}") for k in range(WORDS)]
+    return [F.coalesce(F.get("small", F.lit(k)), F.lit(0)).alias(f"s{k}") for k in range(size)]
 
 
-def may_share(x: str, y: str, over: int = OVER, under: int = UNDER) -> Column:
+def may_share(x: str, y: str, over: int = OVER, under: int = UNDER, size: int = WORDS) -> Column:
     """Whether the small maps of two rows let them share enough. x, y: aliases of rows with n and the map's ``words``."""
-    words = [(F.col(f"{x}.s{k}"), F.col(f"{y}.s{k}")) for k in range(WORDS)]
+    words = [(F.col(f"{x}.s{k}"), F.col(f"{y}.s{k}")) for k in range(size)]
     lacks = [sum((F.bit_count(a.bitwiseAND(F.bitwise_not(b))) for a, b in pairs), F.lit(0)) for pairs in (words, [(b, a) for a, b in words])]
     most = F.least(F.col(f"{x}.n") - lacks[0], F.col(f"{y}.n") - lacks[1])
     return most * (over + under) >= (F.col(f"{x}.n") + F.col(f"{y}.n")) * over
