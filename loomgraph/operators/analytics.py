@@ -11,6 +11,7 @@ from ..functions.text import question_label
 from ..model import Graph
 from ..session import materialise
 from .components import components
+from .ranks import ranked
 from .trust import trusted_edges
 
 #: Nodes of a component that one task may cluster; larger ones are clustered over the cluster.
@@ -68,7 +69,7 @@ def label_propagation(nodes: DataFrame, pairs: DataFrame, rounds: int) -> DataFr
 def number_communities(assigned: DataFrame) -> DataFrame:
     """community (from 0, by smallest member) and node, of id, label."""
     first = assigned.groupBy("label").agg(F.min("id").alias("least"))
-    number = first.withColumn("community", F.row_number().over(Window.orderBy("least")).cast("bigint") - 1)
+    number = ranked(first, ["least"], name="community").withColumn("community", F.col("community") - 1)
     return assigned.join(number, "label").select("community", F.col("id").alias("node"))
 
 

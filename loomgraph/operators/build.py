@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import node_id
 from ..model import Graph, graph_of
+from .ranks import ranked
 
 NODE_COLUMNS = ["label", "source_file", "start_byte", "end_byte", "start_line", "end_line"]
 EDGE_KEY = ["source", "target", "relation"]
@@ -123,13 +124,13 @@ def _named_members(g: Graph) -> DataFrame:
 def merge3_communities(base: Graph, ours: Graph, theirs: Graph, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Communities by label under the same rule, ours' members first, numbered from 0, ours' before theirs'.
 
-    Members that didn't survive go. The numbering sorts the communities' labels, one row each.
+    Members that didn't survive go.
     """
     name = lambda g: g.communities.select("label", "id")
     keep = _three(name(base), name(ours), name(theirs), ["label"])
     order = ours.communities.select("label", "id", F.lit(0).alias("side")).unionByName(theirs.communities.select("label", "id", F.lit(1).alias("side")))
     order = first_wins(order, ["label"], ["side", "id"]).join(keep.select("label"), "label", "left_semi")
-    numbered = order.withColumn("number", F.row_number().over(Window.orderBy("side", "id", "label")).cast("bigint") - 1)
+    numbered = ranked(order, ["side", "id", "label"], name="number").withColumn("number", F.col("number") - 1)
     both = _named_members(ours).withColumn("side", F.lit(0)).unionByName(_named_members(theirs).withColumn("side", F.lit(1)))
     own = both.join(numbered.select(F.col("label").alias("community_label"), "side", "number"), ["community_label", "side"])
     own = own.join(nodes.select(F.col("label").alias("node_label"), F.col("id").alias("node")), "node_label")

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import crate_of, cypher_escape, display_safe, field_key, file_stem, lang_of, md_link_text, sanitize_label, xml_escape, yaml_quoted, yaml_token
 from ..model import Graph
 from .analytics import community_of, community_sizes, report_hubs, suggested_queries
+from .ranks import ranked
 from .trust import with_weight
 
 # Fixed values of the drawing.
@@ -77,13 +78,10 @@ def _side(n: int) -> tuple[float, int]:
 
 
 def svg_layout(g: Graph) -> DataFrame:
-    """id, place, x, y, fill: nodes on a circle in the order of ids, from the top clockwise.
-
-    Places come from a sort over all nodes: a drawing of a graph that fits on a page.
-    """
+    """id, place, x, y, fill: nodes on a circle in the order of ids, from the top clockwise."""
     n = g.nodes.count()
     ring, side = _side(n)
-    place = g.nodes.select("id").withColumn("place", F.row_number().over(Window.orderBy("id")).cast("bigint") - 1)
+    place = ranked(g.nodes.select("id"), ["id"], name="place").withColumn("place", F.col("place") - 1)
     angle = 2 * F.pi() * F.col("place") / F.lit(max(n, 1)) - F.pi() / 2
     own = place.join(community_of(g.members).withColumnRenamed("node", "id"), "id", "left")
     fill = F.when(F.col("community").isNotNull(), F.element_at(F.array(*[F.lit(c) for c in PALETTE]), (F.pmod(F.col("community"), F.lit(len(PALETTE))) + 1).cast("int"))).otherwise(UNCLUSTERED)

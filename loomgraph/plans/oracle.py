@@ -113,6 +113,9 @@ _LABEL = "WITH l AS (SELECT doc_id, ' <a&\"''\\> [x]:' || chr(9) || chr(10) || c
 _CC = "'[\\x00-\\x1f\\x7f-\\x{9f}]'"
 _MANIFEST = "WITH m AS (SELECT CAST(doc_id AS VARCHAR) AS path, sha256(text) AS content_hash FROM documents)"
 _KEY = "WITH k AS (SELECT doc_id, sha256('7:extract|' || " + " || ".join(_PART.format(c) for c in ("source", "lang", "text")) + " || '|2:v0') AS key FROM documents)"
+_UPDATED = f"""WITH un AS (SELECT {_id('label')} AS id, label, source_file || '/' || lpad(CAST(row_ord % 16 AS VARCHAR), 2, '0') AS source_file, start_line FROM ({_RAW_NODES}) WHERE NOT (source_file = 'orders' AND row_ord % 16 = 7)),
+ue AS (SELECT * FROM (SELECT s, t, relation, confidence, file_ord, row_ord, row_ord // 64 AS k FROM ({_RAW_EDGES}))
+    WHERE NOT (file_ord = 3 AND k % 16 = 7) AND NOT (file_ord >= 4 AND k % 16 = 2) AND NOT (file_ord >= 4 AND k % 16 = 5 AND row_ord % 64 >= 8))"""
 _N = ",\nnl AS (SELECT n.*, m.community FROM nodes n LEFT JOIN members m ON m.node = n.id)"
 _SPLIT = G + """, nn AS (SELECT count(*) AS n FROM nodes), ring AS (SELECT n, greatest(120.0, 24.0 / sin(pi() / n)) AS r FROM nn),
     size AS (SELECT n, r, greatest(300, CAST(ceil(2 * r + 156) AS BIGINT)) AS side FROM ring)"""
@@ -169,6 +172,9 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 1, source, target, relation, 1, 'Is the cross-community `' || relation || '` link from `' || sl || '` to `' || tl || '` intentional?' FROM b""",
         "find_by_label": G + " SELECT id, label FROM nodes WHERE contains(lower(label), 'er:12')",
         "trigram_index": G + " SELECT DISTINCT substr(lower(label), k, 3) AS trigram, id FROM (SELECT id, label, unnest(range(1, length(label) - 1)) AS k FROM nodes)",
+        "trigram_blocks": G + """, t AS (SELECT DISTINCT substr(lower(label), k, 3) AS trigram, id FROM (SELECT id, label, unnest(range(1, length(label) - 1)) AS k FROM nodes)),
+            r AS (SELECT trigram, id, (row_number() OVER (PARTITION BY trigram ORDER BY id) - 1) // 128 AS block FROM t)
+            SELECT trigram, block, min(id) AS first, max(id) AS last, count(*) AS n FROM r GROUP BY trigram, block""",
         "trigram_find": G + " SELECT id, label FROM nodes WHERE contains(lower(label), 'er:12')",
         "query_top50": G + " SELECT row_number() OVER (ORDER BY id) AS rank, id, label, count(*) OVER () AS total FROM nodes WHERE contains(lower(label), 'er:12') ORDER BY id LIMIT 50",
         "shortest_path": _P + " SELECT unnest(range(len(path))) AS position, unnest(path) AS id FROM hit",
@@ -186,8 +192,8 @@ def oracle_sql() -> dict[str, str]:
         "generation_id": G + f""", h AS (SELECT {_fields('node', ['id', 'label', 'source_file', '0', '0', 'start_line', 'start_line'])} AS h FROM nodes
             UNION ALL SELECT {_fields('edge', ['source', 'target', 'relation', 'confidence'])} FROM edges
             UNION ALL SELECT {_fields('community', ['id', 'label'])} FROM communities UNION ALL SELECT {_fields('member', ['community', 'node'])} FROM members),
-            g AS (SELECT substr(h, 1, 3) AS g, sha256(string_agg(h, '' ORDER BY h)) AS d FROM h GROUP BY 1)
-            SELECT substr(sha256(string_agg(g || '=' || d, ';' ORDER BY g)), 1, 16) AS generation FROM g""",
+            g AS (SELECT count(*) AS n, {", ".join(f"sum(CAST(('0x' || substr(h, {15 * k + 1}, 15)) AS HUGEINT)) % 1152921504606846976 AS s{k}" for k in range(4))} FROM h)
+            SELECT substr(sha256(concat_ws(':', n, s0, s1, s2, s3)), 1, 16) AS generation FROM g""",
         "parity_nodes": V + " SELECT label, CASE WHEN o.l IS NOT NULL AND t.l IS NOT NULL THEN 'matched' WHEN t.l IS NOT NULL THEN 'missing' ELSE 'extra' END AS status FROM (SELECT label, label AS l FROM o_n) o FULL JOIN (SELECT label, label AS l FROM t_n) t USING (label)",
         "parity_edges": V + """ SELECT sl AS source_label, tl AS target_label, relation, CASE WHEN o.k AND t.k THEN 'matched' WHEN t.k THEN 'missing' ELSE 'extra' END AS status
             FROM (SELECT DISTINCT sl, tl, relation, true AS k FROM o_e) o FULL JOIN (SELECT DISTINCT sl, tl, relation, true AS k FROM t_e) t USING (sl, tl, relation)""",
@@ -211,6 +217,13 @@ def oracle_sql() -> dict[str, str]:
         "manifest_changes": _MANIFEST + """, b AS (SELECT * FROM m WHERE CAST(path AS BIGINT) % 5 <> 0),
             a AS (SELECT path, CASE WHEN CAST(path AS BIGINT) % 4 = 0 THEN sha256(content_hash) ELSE content_hash END AS content_hash FROM m WHERE CAST(path AS BIGINT) % 3 <> 0)
             SELECT path, CASE WHEN b.content_hash IS NULL THEN 'added' WHEN a.content_hash IS NULL THEN 'removed' ELSE 'changed' END AS status FROM b FULL JOIN a USING (path) WHERE b.content_hash IS DISTINCT FROM a.content_hash""",
+        "updated_nodes": _UPDATED + " SELECT id, label, source_file, start_line FROM un",
+        "updated_edges": _UPDATED + """ SELECT source, target, relation, confidence FROM (SELECT a.id AS source, b.id AS target, relation, confidence,
+            row_number() OVER (PARTITION BY s, t, relation ORDER BY k % 16, row_ord) AS place FROM ue JOIN un a ON a.label = ue.s JOIN un b ON b.label = ue.t) WHERE place = 1""",
+        "update_changes": "SELECT * FROM (VALUES ('customer/03', 'added'), ('orders/07', 'removed'), ('lineitem/02', 'removed'), ('lineitem/05', 'changed')) v(path, status)",
+        "stored_results": _KEY + """, t AS (SELECT doc_id, key, CAST(ceil(octet_length(encode(text)) / 4.0) AS BIGINT) AS tokens FROM k JOIN documents USING (doc_id)),
+            k0 AS (SELECT DISTINCT key FROM t WHERE doc_id % 3 = 0), marked AS (SELECT DISTINCT key FROM t WHERE doc_id % 6 = 0)
+            SELECT DISTINCT key, tokens FROM t WHERE key NOT IN (SELECT key FROM k0) OR key IN (SELECT key FROM marked)""",
         "cache_keys": _KEY + " SELECT doc_id, key FROM k",
         "cache_partition": _KEY + " SELECT doc_id, key, key IN (SELECT key FROM k WHERE doc_id % 3 = 0) AS cached FROM k",
         "debounce_sessions": """WITH e AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > ts - INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events),

@@ -12,10 +12,12 @@ from ..functions import urls
 from ..functions.ids import cache_key, node_id
 from ..operators import analytics as an
 from ..operators import arcs, budget, build, export, neighbourhood, parity, paths, search, trust
+from ..session import materialise, scratch_path
+from ..sources import trigrams
 from ..sources.files import build_manifest, manifest_diff
 from ..streaming.watch import debounce, event_arcs
 from . import driver_graph as dg
-from . import incremental
+from . import incremental, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 NEEDLE, PATH_FROM, PATH_TO = "er:12", "region:1", "supplier:7"
@@ -195,9 +197,24 @@ def trigram_index(s, d):
     return search.trigram_index(dg.graph(s, d).nodes)
 
 
-def trigram_find(s, d):
+def _stored_index(s, d):
+    """The index of all labels, in two batches."""
     n = dg.graph(s, d).nodes
-    return search.find_indexed(n, search.trigram_index(n), NEEDLE.upper()).select("id", "label")
+    index = trigrams.TrigramIndex(s)
+    half = F.col("id") % 2 == 0
+    index.add(n.where(half))
+    index.add(n.where(~half))
+    return n, index
+
+
+def trigram_blocks(s, d):
+    """The skip entries of one batch of all labels."""
+    return trigrams.blocks(search.trigram_index(dg.graph(s, d).nodes)).select("trigram", "block", "first", "last", "n")
+
+
+def trigram_find(s, d):
+    n, index = _stored_index(s, d)
+    return index.find(n, NEEDLE.upper()).select("id", "label")
 
 
 def query_top50(s, d):
@@ -361,6 +378,19 @@ def cache_partition(s, d):
     return hit.withColumn("cached", F.lit(True)).unionByName(miss.withColumn("cached", F.lit(False)))
 
 
+def stored_results(s, d):
+    """What a store holds after three batches: a sixth of the first was asked for, and the capacity is nine tenths of all."""
+    rows = _keys(s, d).join(dg.read(s, d, "documents").select("doc_id", tx.estimate_tokens(F.col("text")).alias("tokens")), "doc_id")
+    rows = materialise(s, rows, "results")
+    kept = store.Store(s, scratch_path(s, "store"), rows.select("key").distinct().count() * 9 // 10)
+    batch = lambda k: rows.where(F.col("doc_id") % 3 == k).select("key", "tokens")
+    kept.put(batch(0))
+    kept.put(batch(1))
+    kept.get(rows.where(F.col("doc_id") % 6 == 0).select("key"))
+    kept.put(batch(2))
+    return kept.entries().select("key", "tokens")
+
+
 def debounce_sessions(s, d):
     return debounce(dg.read(s, d, "events"), "1 hour")
 
@@ -458,6 +488,39 @@ def canonical_order(s, d):
     return e.withColumn("rank", F.row_number().over(Window.partitionBy("relation", "source").orderBy("target")).cast("bigint"))
 
 
+def _in_files(s, d):
+    """Support of the graph's rows, each table in sixteen files."""
+    file = lambda table, key: F.concat(table, F.lit("/"), F.lpad((key % 16).cast("string"), 2, "0"))
+    nodes = dg.raw_nodes(s, d).select(file(F.col("source_file"), F.col("row_ord")).alias("path"), "row_ord", "label", "start_byte", "end_byte", "start_line", "end_line")
+    tables = F.element_at(F.array(*[F.lit(t) for t in ("nation", "customer", "supplier", "orders", "lineitem", "lineitem")]), (F.col("file_ord") + 1).cast("int"))
+    key = F.shiftright("row_ord", 6)
+    edges = dg.raw_edges(s, d).select(file(tables, key).alias("path"), "row_ord", "source", "target", "relation", "confidence")
+    return nodes, edges
+
+
+def _maintained(s, d):
+    """A graph that was built without a file, and then gained it, lost two and had one changed."""
+    state = incremental.State(s)
+    nodes, edges = _in_files(s, d)
+    late = F.col("path") != "customer/03"
+    incremental.update_support(state, nodes.where(late), edges.where(late))
+    gone = ~F.col("path").isin("orders/07", "lineitem/02")
+    fewer = (F.col("path") != "lineitem/05") | (F.col("row_ord") % 64 < 8)  # its first line items
+    return incremental.update_support(state, nodes.where(gone), edges.where(gone & fewer))
+
+
+def updated_nodes(s, d):
+    return _maintained(s, d)[0].nodes.select("id", "label", "source_file", "start_line")
+
+
+def updated_edges(s, d):
+    return _edges(_maintained(s, d)[0].edges)
+
+
+def update_changes(s, d):
+    return _maintained(s, d)[1]
+
+
 def content_ids(s, d):
     return dg.read(s, d, "documents").select("doc_id", node_id(F.col("text")).alias("id"))
 
@@ -467,10 +530,10 @@ NAMES = [
     merge2_nodes, merge2_edges, merge2_communities, merge3_nodes, merge3_edges, merge3_communities, merge3_manifest, prune_stale,
     trusted_edges, untrusted_edges, confidence_counts, edge_weights,
     degree_centrality, god_nodes, report_hubs, undirected_pairs, components, label_propagation_2, communities, community_numbering, community_sizes, community_of, surprising_connections, suggested_questions,
-    find_by_label, trigram_index, trigram_find, query_top50, shortest_path, path_labels, explain_edges, explain_communities, node_neighbourhood, community_members, report_sample, graph_health,
+    find_by_label, trigram_index, trigram_blocks, trigram_find, query_top50, shortest_path, path_labels, explain_edges, explain_communities, node_neighbourhood, community_members, report_sample, graph_health,
     token_estimate, budget_pack, generation_id, parity_nodes, parity_edges, regression_free, relation_coverage, co_clustering,
     extract_arcs, diff_arcs, arc_coherence, arc_delta, arc_delta_summary, arc_delta_live, arc_delta_live_summary, sphere_registration,
-    manifest, manifest_changes, cache_keys, cache_partition, debounce_sessions,
+    updated_nodes, updated_edges, update_changes, manifest, manifest_changes, cache_keys, cache_partition, stored_results, debounce_sessions,
     url_validate, url_extension, sanitize_label, question_label, xml_escape, cypher_escape, export_tokens, path_tags, slugs, span_functions,
     node_link_rows, node_link_links, svg_layout, graphml_rows, cypher_rows, vault_rows, wiki_pages,
 ]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import os
 import re
 import shutil
@@ -10,6 +11,7 @@ import tempfile
 import threading
 import uuid
 import zipfile
+from collections.abc import Callable
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -95,21 +97,49 @@ def discard(*tables: DataFrame) -> None:
 
 
 @contextmanager
-def step(spark: SparkSession, *needed: DataFrame):
-    """A step of a job whose steps each write their results: at its beginning, what earlier steps of
-    this thread left in the shared folder is deleted, but for what ``needed`` reads."""
-    files = [f for df in needed for f in df.inputFiles()] if getattr(_made, "paths", None) else []
-    keep = []
-    for p in getattr(_made, "paths", ()):
-        if any(f"/{p.rsplit('/', 1)[1]}/" in f for f in files):
-            keep.append(p)
-        else:
-            _delete(spark, p)
-    _made.paths, _made.open = keep, True
+def collecting():
+    """The paths of the tables that are materialised inside and not discarded."""
+    outer = getattr(_made, "open", False), getattr(_made, "paths", [])
+    _made.open, _made.paths = True, []
+    paths = _made.paths
     try:
-        yield
+        yield paths
     finally:
-        _made.open = False
+        _made.open, _made.paths = outer
+        if outer[0]:
+            outer[1].extend(paths)
+
+
+class Chain:
+    """Stages that run one after another, each on what the one before has written.
+
+    When a stage begins, what earlier stages of the chain left in the shared folder is
+    deleted, but for what its input reads; so the result of a stage has to be written
+    before a later stage is called. Results of one stage, or of functions outside a
+    chain, never cost each other their tables.
+    """
+
+    def __init__(self) -> None:
+        self._left: dict[tuple[str, int], dict[int, list[str]]] = {}
+
+    def stage(self, number: int, run: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(run)
+        def staged(spark: SparkSession, docs: DataFrame, *rest) -> DataFrame:
+            left = self._left.setdefault((spark.sparkContext.applicationId, threading.get_ident()), {})
+            earlier = [k for k in left if k < number]
+            files = docs.inputFiles() if any(left[k] for k in earlier) else []
+            for k in earlier:
+                keep = [p for p in left[k] if any(f"/{p.rsplit('/', 1)[1]}/" in f for f in files)]
+                for p in left[k]:
+                    if p not in keep:
+                        _delete(spark, p)
+                left[k] = keep
+            with collecting() as paths:
+                out = run(spark, docs, *rest)
+            left.setdefault(number, []).extend(paths)
+            return out
+
+        return staged
 
 
 def local_session(app: str = "loomgraph", cores: str | None = None) -> SparkSession:

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranks import ranked
+
 EXTRACTED, INFERRED = "EXTRACTED", "INFERRED"
 
 
@@ -540,9 +542,6 @@ def raw_tables(extracted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """raw_nodes and raw_edges with file order by path components, so that ``assemble`` keeps first occurrences."""
     order = F.split("path", "/")
     paths = extracted.select("path").distinct().withColumn("parts", order)
-    from pyspark.sql import Window
-
-    ranked = paths.withColumn("file_ord", F.row_number().over(Window.orderBy("parts")).cast("bigint")).select("path", "file_ord")
-    own = extracted.join(ranked, "path")
+    own = extracted.join(ranked(paths, ["parts"], name="file_ord").select("path", "file_ord"), "path")
     nodes = own.where("kind = 'node'").select("label", F.col("path").alias("source_file"), "start_byte", "end_byte", "start_line", "end_line", "file_ord", "row_ord")
     return nodes, own.where("kind = 'edge'").select("source", "target", "relation", "confidence", "file_ord", "row_ord")

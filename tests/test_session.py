@@ -16,14 +16,27 @@ def here(df):
 
 def test_tables_are_discarded_and_swept(spark):
     other = session.materialise(spark, spark.range(5), "other")  # of no step
-    with session.step(spark):
-        a, b, c = (session.materialise(spark, spark.range(k), f"t{k}") for k in (1, 2, 3))
-    session.discard(a)
-    assert not here(a) and here(b)
-    with session.step(spark, b.where("id > 0")):
-        assert here(b) and not here(c) and b.count() == 2
-    with session.step(spark, spark.range(1)):
-        assert not here(b) and here(other)
+    chain, made = session.Chain(), {}
+
+    def make(name):
+        def run(spark, docs, sf_dir):
+            made[name] = [session.materialise(spark, docs, f"{name}{k}") for k in range(2)]
+            return made[name][0]
+
+        return run
+
+    first, second, third = (chain.stage(k, make(n)) for k, n in enumerate("abc"))
+    a = first(spark, spark.range(3), "")
+    again = first(spark, spark.range(4), "")  # the same stage twice: both results stay
+    assert a.count() == 3 and again.count() == 4
+    written = session.materialise(spark, a, "written")
+    b = second(spark, written, "")
+    assert not here(made["a"][0]) and not here(a) and b.count() == 3
+    third(spark, b, "")  # what its input reads stays
+    assert here(made["b"][0]) and not here(made["b"][1]) and here(other) and here(written)
+    loose = make("d")(spark, spark.range(2), "")
+    session.discard(made["d"][1])
+    assert not here(made["d"][1]) and loose.count() == 2
 
 
 def test_a_cluster_must_name_its_shared_folder():
