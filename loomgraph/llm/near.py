@@ -5,13 +5,13 @@ a text is the set of its shingles' 64-bit hashes. Equal sets are one node.
 
 *SimHash first.* Each set has a SimHash fingerprint; fingerprints within ``DISTANCE``
 bits are found by ``simhash.links``, and the pairs verified on the whole sets. That
-links most copies, but sets of similarity 0.8 differ in ten of 64 bits at the
-mean, which no probing reaches at a bearable cost.
+links a part of them (a sixth on the check tables), as sets of similarity 0.8 differ
+in ten of 64 bits at the mean, which no probing reaches at a bearable cost.
 
 *What it can't reach.* Each set has ``BANDS`` keys, of ``ROWS`` minima each over hash
 functions of its own. Sets of similarity s share a key with probability 1 - (1 -
 s ** ROWS) ** BANDS, which leaves out one pair of similarity 0.8 in fourteen
-thousand, and fewer above. Sets that share a key are first compared with that of them
+thousand, and fewer above; ``jaccard.keep_one`` is the exact way. Sets that share a key are first compared with that of them
 which shares most keys with any, as the text that others were copied from does; then those that aren't in its component are compared with all that share a key with
 them and are in another, so a large group of near copies costs a comparison for each
 key and set. Before whole sets are made again, bitmaps of their hashes bound from

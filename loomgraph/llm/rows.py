@@ -14,10 +14,12 @@ from ..session import materialise
 
 #: Bits of a row's number in its task, and of the task's number.
 ROW_BITS, TASK_BITS = 31, 20
+#: Batches that can be told apart.
+BATCHES = 1 << 63 - ROW_BITS - TASK_BITS
 
 
 def number(batch: int = 0) -> Column:
-    """A number that no other row of the same writing job has, nor one of another batch below 4096."""
+    """A number that no other row of the same writing job has, nor one of another of the ``BATCHES`` batches."""
     inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1))
     return F.lit(batch << ROW_BITS + TASK_BITS).cast("bigint") + F.shiftleft(F.spark_partition_id().cast("bigint"), ROW_BITS) + inside
 

@@ -44,7 +44,6 @@ of the input may have any names.
 from __future__ import annotations
 
 import json
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -52,10 +51,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..model import SchemaError
 from ..operators.skew import frequent, salted_join
 from ..session import discard, materialise, scratch_path
+from ..versions import Conflict, Versions
 from .memory import tidy
-from .rows import number, packed
+from .rows import BATCHES, number, packed
 
 LENGTH, GRAM = 200, 24
 #: Bytes of texts that are searched for anchors together, and windows of a long text taken at once.
@@ -395,41 +396,38 @@ class Index:
 
     def __init__(self, spark: SparkSession, path: str, length: int = LENGTH, **limits: int):
         self.spark, self.path, self.length, self.limits = spark, path, length, limits
-        self.state = self._read() or {"length": length, "texts": [], "levels": [], "spans": []}
+        self.versions = Versions(spark, path)
+        last = self.versions.latest()
+        if last is None and any(not n.startswith(".") for n in self.versions._names()):
+            raise SchemaError(f"{path} holds data but no whole manifest, so it is no index")
+        self.base, self.state = last or (None, {"length": length, "texts": [], "levels": [], "spans": []})
         if self.state["length"] != length:
             raise ValueError("the index was built for another length")
 
-    def _place(self, name: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _read(self) -> dict | None:
-        p, fs = self._place("manifest.json")
-        return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.path}/manifest.json").collect())) if fs.exists(p) else None
-
     def _commit(self, state: dict) -> None:
-        """The manifest is replaced by renaming, so there is always a whole one, or it and its successor."""
-        p, fs = self._place("manifest.json")
-        q, _ = self._place(f"manifest-{uuid.uuid4().hex}")
-        out = fs.create(q, True)
-        out.write(bytearray(json.dumps(state).encode()))
-        out.close()
-        fs.delete(p, False)
-        if not fs.rename(q, p):
-            raise OSError(f"{self.path}/manifest.json can't be written")
+        """The next numbered manifest; a batch that dies before it leaves the index as it was, and a second writer fails."""
+        self.base = self.versions.commit(state, self.base)
         self.state = state
 
     def _write(self, df: DataFrame, name: str) -> str:
-        name = f"{name}-{uuid.uuid4().hex[:12]}"
-        df.write.parquet(f"{self.path}/{name}")
-        return name
+        return self.versions.write(df, name)
 
     def _tables(self, names: list[str]) -> list[DataFrame]:
         return [self.spark.read.parquet(f"{self.path}/{n}") for n in names]
 
     def add(self, docs: DataFrame, text: str = "text") -> None:
-        """A batch of texts. All batches must have the same columns."""
+        """A batch of texts; a SchemaError if its columns aren't those of the other batches, or there are too many batches.
+
+        One writer at a time: another that began before fails, and the index stays as the first left it.
+        """
+        if (self.versions.latest() or (None,))[0] != self.base:
+            raise Conflict(f"{self.path} has a newer version than {self.base}")
         state = json.loads(json.dumps(self.state))
+        columns = state.setdefault("columns", sorted(map(list, docs.dtypes)))
+        if sorted(map(list, docs.dtypes)) != columns:
+            raise SchemaError(f"the index holds {columns}, not {docs.dtypes}")
+        if len(state["texts"]) >= BATCHES:
+            raise SchemaError(f"an index holds {BATCHES} batches at most")
         data = docs.select(number(len(state["texts"])).alias("row"), packed(docs, text), F.encode(F.col(f"`{text}`"), "UTF-8").alias("bytes"))
         state["texts"].append(self._write(data, "texts"))
         length = self.length
@@ -459,7 +457,7 @@ class Index:
             stale += [x["name"] for x in both]
         self._commit(state)
         for x in stale:
-            p, fs = self._place(x)
+            p, fs = self.versions._place(x)
             fs.delete(p, True)
 
     def texts(self, state: dict | None = None) -> DataFrame:
