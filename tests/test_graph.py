@@ -225,7 +225,8 @@ def test_requests(spark):
     assert ask("resources/read", uri="graph://community/0")["result"]["contents"][0]["text"] == "n0\nn1"
     assert ask("nothing")["error"]["code"] == serve.NO_METHOD and ask("tools/call", name="x")["error"]["code"] == serve.BAD_PARAMS
     assert json.loads(serve.handle(g, "{"))["error"]["code"] == serve.PARSE_ERROR and serve.handle(g, '{"method":"initialize"}') == ""
-    assert serve.as_functions(serve.tools())[0]["type"] == "function"
+    assert serve.handle(g, "1") == serve.handle(g, '["id"]') == "" and ask("tools/call")["error"]["code"] == serve.BAD_PARAMS
+    assert serve.as_functions(serve.tools())[0]["type"] == "function" and serve.as_functions([{"name": "x"}])[0]["function"]["parameters"] == {}
     assert serve.from_function_call("graph_health", "{}")["params"]["name"] == "graph_health"
 
 
