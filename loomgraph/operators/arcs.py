@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import Graph
 from .analytics import community_sizes
-from .build import labelled_edges
+from .build import labelled_edges, labelled_sides, sided, sides_of
 
 # The relations that count as arcs.
 DEFAULT_RELATIONS = ("calls", "imports_from", "method", "defines")
@@ -50,11 +50,31 @@ def coherence_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     return one.select("n_severed", "n_healed", (F.col("now") - F.col("was")).alias("delta"), (F.col("n_severed") > 0).alias("is_regression"), ((F.col("n_healed") > 0) & (F.col("n_severed") == 0)).alias("is_recovery"))
 
 
+def arcs_of_versions(expected: Graph, before: Graph, after: Graph, relations: tuple[str, ...] = DEFAULT_RELATIONS) -> DataFrame:
+    """Each expected arc once, with whether it is present ``before`` and ``after``: what two diffs say, in one aggregate."""
+    chosen = [g.with_(edges=g.edges.where(F.col("relation").isin(*relations))) for g in (expected, before, after)]
+    rows = labelled_sides(*chosen).select("side", F.col("source_label").alias("producer"), F.col("target_label").alias("consumer"), "relation")
+    has = lambda k: F.col("sides").bitwiseAND(F.lit(1 << k)) != 0
+    return rows.groupBy(*ARC).agg(sides_of().alias("sides")).where(has(0)).select(*ARC, has(1).alias("before"), has(2).alias("after"))
+
+
+def version_changes(arcs: DataFrame) -> DataFrame:
+    """Arcs that were severed or healed between the two versions of ``arcs_of_versions``, with ``change``."""
+    return arcs.where(F.col("before") != F.col("after")).select(*ARC, F.when(F.col("before"), "severed").otherwise("healed").alias("change"))
+
+
+def version_summary(arcs: DataFrame) -> DataFrame:
+    """What ``coherence_delta`` says of the two versions of ``arcs_of_versions``."""
+    b, a = F.col("before"), F.col("after")
+    one = arcs.agg(F.count_if(b & ~a).alias("n_severed"), F.count_if(a & ~b).alias("n_healed"), F.count_if(b).alias("was"), F.count_if(a).alias("now"), F.count("*").alias("n"))
+    ratio = lambda c: F.when(F.col("n") == 0, 1.0).otherwise(F.col(c) / F.col("n"))
+    return one.select("n_severed", "n_healed", (ratio("now") - ratio("was")).alias("delta"), (F.col("n_severed") > 0).alias("is_regression"), ((F.col("n_healed") > 0) & (F.col("n_severed") == 0)).alias("is_recovery"))
+
+
 def live_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     """Arcs of one version that the other lacks, with ``change``."""
-    b, a = before.select(*ARC).distinct(), after.select(*ARC).distinct()
-    gone = b.join(a, ARC, "left_anti").withColumn("change", F.lit("severed"))
-    return gone.unionByName(a.join(b, ARC, "left_anti").withColumn("change", F.lit("healed")))
+    own = sided(before.select(*ARC), after.select(*ARC)).groupBy(*ARC).agg(sides_of().alias("sides"))
+    return own.where("sides < 3").select(*ARC, F.when(F.col("sides") == 1, "severed").otherwise("healed").alias("change"))
 
 
 def live_coherence(before: DataFrame, after: DataFrame) -> DataFrame:

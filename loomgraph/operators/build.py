@@ -75,44 +75,71 @@ def labelled_edges(g: Graph) -> DataFrame:
     return g.edges.join(s, "source").join(t, "target").select("source_label", "target_label", "relation", "confidence")
 
 
+def labelled_sides(*graphs: Graph) -> DataFrame:
+    """Edges of several versions with labels for ids, and ``side``: two joins for all of them."""
+    names = sided(*(g.nodes.select("id", "label") for g in graphs))
+    out = sided(*(g.edges.select(*EDGE_KEY, "confidence") for g in graphs))
+    for end in ("source", "target"):
+        out = out.join(names.select("side", F.col("id").alias(end), F.col("label").alias(f"{end}_label")), ["side", end])
+    return out.select("side", "source_label", "target_label", "relation", "confidence")
+
+
 def merge(a: Graph, b: Graph) -> Graph:
     """Both graphs in one; nodes are the same by label, and what a says of them counts.
 
     Communities are put behind each other unchanged, and so are inputs.
     """
-    sided = lambda x, y: x.withColumn("side", F.lit(0)).unionByName(y.withColumn("side", F.lit(1)))
     nodes = first_wins(sided(a.nodes.select(*NODE_COLUMNS), b.nodes.select(*NODE_COLUMNS)), ["label"], ["side"])
     nodes = nodes.select(node_id(F.col("label")).alias("id"), *NODE_COLUMNS)
-    named = sided(labelled_edges(a), labelled_edges(b)).withColumnsRenamed({"source_label": "source", "target_label": "target"})
+    named = labelled_sides(a, b).withColumnsRenamed({"source_label": "source", "target_label": "target"})
     edges = dedup_edges(resolve_edges(named, nodes), ["side"]).select(*EDGE_KEY, "confidence")
     return Graph(nodes, edges, a.communities.unionByName(b.communities), a.members.unionByName(b.members), a.inputs.unionByName(b.inputs), a.schema)
 
 
-def _three(base: DataFrame, ours: DataFrame, theirs: DataFrame, key: list[str]) -> DataFrame:
-    """Keys of ours or theirs that survive: new ones, and those of the base that both kept."""
-    mark = lambda df, n: df.select(*key).distinct().withColumn(n, F.lit(True))
-    all_ = mark(ours, "in_ours").join(mark(theirs, "in_theirs"), key, "full_outer").join(mark(base, "in_base"), key, "left")
-    return all_.where("in_base IS NULL OR (in_ours AND in_theirs)").select(*key, F.coalesce("in_ours", F.lit(False)).alias("in_ours"))
+def sided(*parts: DataFrame) -> DataFrame:
+    """Rows of several versions in one table, with ``side``, their version's place."""
+    out = None
+    for k, df in enumerate(parts):
+        own = df.withColumn("side", F.lit(k))
+        out = own if out is None else out.unionByName(own)
+    return out
+
 
+def sides_of(side: str = "side") -> Column:
+    """An aggregate: the versions that hold a key, bit k for version k."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1), F.col(side)))
 
-def _ours_first(ours: DataFrame, theirs: DataFrame, key: list[str]) -> DataFrame:
-    both = ours.withColumn("side", F.lit(0)).unionByName(theirs.withColumn("side", F.lit(1)))
-    return first_wins(both, key, ["side"]).drop("side")
+
+def _survivors(ours: DataFrame, theirs: DataFrame, base: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of ours (side 0), or else of theirs (1), whose keys are new or were kept by both. One aggregate by the key over all three."""
+    rest = [c for c in ours.columns if c not in key]
+    first = F.min(F.when(F.col("side") < 2, F.struct("side", *rest)))  # a null, which min leaves out, for the base
+    own = sided(ours, theirs, base).groupBy(*key).agg(first.alias("__first"), sides_of().alias("__sides"))
+    kept = own.where((F.col("__sides") == 7) | F.col("__sides").between(1, 3))
+    return kept.select(*key, *[F.col(f"__first.{c}").alias(c) for c in ["side", *rest]])
 
 
 def merge3_nodes(base: Graph, ours: Graph, theirs: Graph) -> DataFrame:
-    keep = _three(base.nodes, ours.nodes, theirs.nodes, ["label"]).select("label")
-    rows = _ours_first(ours.nodes.select(*NODE_COLUMNS), theirs.nodes.select(*NODE_COLUMNS), ["label"]).join(keep, "label", "left_semi")
+    rows = _survivors(*(g.nodes.select(*NODE_COLUMNS) for g in (ours, theirs, base)), ["label"])
     return rows.select(node_id(F.col("label")).alias("id"), *NODE_COLUMNS)
 
 
 def merge3_edges(base: Graph, ours: Graph, theirs: Graph, nodes: DataFrame) -> DataFrame:
-    """The same rule for edges by labels and relation; both ends must have survived."""
-    key = ["source_label", "target_label", "relation"]
-    b, o, t = (labelled_edges(g) for g in (base, ours, theirs))
-    rows = _ours_first(o, t, key).join(_three(b, o, t, key).select(*key), key, "left_semi")
-    rows = rows.withColumnsRenamed({"source_label": "source", "target_label": "target"})
-    return resolve_edges(rows, nodes).select(*EDGE_KEY, "confidence")
+    """The same rule for edges by labels and relation; both ends must have survived.
+
+    Ends of all three versions are put in terms of the surviving nodes at once, so
+    edges are shuffled by source, by target and by key, whatever the number of versions.
+    """
+    all_ = (ours, theirs, base)
+    ends = sided(*(g.nodes.select("id", "label") for g in all_)).join(nodes.select("label", F.col("id").alias("now")), "label")
+    edges = sided(*(g.edges.select(*EDGE_KEY, "confidence") for g in all_))
+    for end in ("source", "target"):
+        edges = edges.join(ends.select("side", F.col("id").alias(end), F.col("now").alias(f"{end}_now")), ["side", end])
+    named = edges.select("side", F.col("source_now").alias("source"), F.col("target_now").alias("target"), "relation", "confidence")
+    first = F.min(F.when(F.col("side") < 2, F.struct("side", "confidence")))
+    own = named.groupBy(*EDGE_KEY).agg(first.alias("__first"), sides_of().alias("__sides"))
+    kept = own.where((F.col("__sides") == 7) | F.col("__sides").between(1, 3))
+    return kept.select(*EDGE_KEY, F.col("__first.confidence").alias("confidence"))
 
 
 def _named_members(g: Graph) -> DataFrame:
@@ -126,12 +153,9 @@ def merge3_communities(base: Graph, ours: Graph, theirs: Graph, nodes: DataFrame
 
     Members that didn't survive go.
     """
-    name = lambda g: g.communities.select("label", "id")
-    keep = _three(name(base), name(ours), name(theirs), ["label"])
-    order = ours.communities.select("label", "id", F.lit(0).alias("side")).unionByName(theirs.communities.select("label", "id", F.lit(1).alias("side")))
-    order = first_wins(order, ["label"], ["side", "id"]).join(keep.select("label"), "label", "left_semi")
+    order = _survivors(*(g.communities.select("label", "id") for g in (ours, theirs, base)), ["label"])
     numbered = ranked(order, ["side", "id", "label"], name="number").withColumn("number", F.col("number") - 1)
-    both = _named_members(ours).withColumn("side", F.lit(0)).unionByName(_named_members(theirs).withColumn("side", F.lit(1)))
+    both = sided(_named_members(ours), _named_members(theirs))
     own = both.join(numbered.select(F.col("label").alias("community_label"), "side", "number"), ["community_label", "side"])
     own = own.join(nodes.select(F.col("label").alias("node_label"), F.col("id").alias("node")), "node_label")
     return numbered.select(F.col("number").alias("id"), "label"), own.select(F.col("number").alias("community"), "node").distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Graph
-from .build import labelled_edges
+from .build import labelled_edges, sided, sides_of
 
 EDGE = ["source_label", "target_label", "relation"]
 
@@ -18,9 +18,8 @@ def label_sets(g: Graph) -> tuple[DataFrame, DataFrame]:
 def classify(ours: DataFrame, golden: DataFrame) -> DataFrame:
     """Each row of either set with ``status``: matched, missing (golden only) or extra (ours only)."""
     key = ours.columns
-    a, b = ours.distinct().withColumn("in_ours", F.lit(True)), golden.distinct().withColumn("in_golden", F.lit(True))
-    status = F.when(F.col("in_ours") & F.col("in_golden"), "matched").when(F.col("in_golden"), "missing").otherwise("extra")
-    return a.join(b, key, "full_outer").select(*key, status.alias("status"))
+    status = F.element_at(F.array(F.lit("extra"), F.lit("missing"), F.lit("matched")), sides_of())
+    return sided(ours, golden.select(*key)).groupBy(*key).agg(status.alias("status"))
 
 
 def regression_free(*classified: DataFrame) -> DataFrame:

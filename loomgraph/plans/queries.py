@@ -316,17 +316,17 @@ def arc_coherence(s, d):
     return arcs.coherence(arcs.diff_arcs(_arcs(s, d), _arcs(s, d, dg.OURS))).select("n_present", "n_expected", F.round("coherence", 9).alias("coherence"))
 
 
-def _reports(s, d):
-    e = _arcs(s, d)
-    return arcs.diff_arcs(e, _arcs(s, d, dg.OURS)), arcs.diff_arcs(e, _arcs(s, d, dg.THEIRS))
+def _compared(s, d):
+    g = dg.graph(s, d)
+    return arcs.arcs_of_versions(g, dg.version(s, d, *dg.OURS), dg.version(s, d, *dg.THEIRS), dg.RELATIONS)
 
 
 def arc_delta(s, d):
-    return arcs.diff_reports(*_reports(s, d))
+    return arcs.version_changes(_compared(s, d))
 
 
 def arc_delta_summary(s, d):
-    return arcs.coherence_delta(*_reports(s, d)).withColumn("delta", F.round("delta", 9))
+    return arcs.version_summary(_compared(s, d)).withColumn("delta", F.round("delta", 9))
 
 
 def _halves(s, d):
