@@ -1,18 +1,20 @@
 """Graphs as rows of the usual formats, and as whole documents.
 
-Row functions stay distributed; a document of one file is put together on the
-driver from its sorted rows, which is meant for graphs that people open.
+Row functions stay distributed. A document of one file is either text that the driver
+puts together, for graphs that people open, or written by ``write_…``: tasks write
+ranges of its sorted lines, and the files of these become one.
 """
 
 from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import crate_of, cypher_escape, display_safe, field_key, file_stem, lang_of, md_link_text, sanitize_label, xml_escape, yaml_quoted, yaml_token
 from ..model import Graph
+from ..session import scratch_path
 from .analytics import community_of, community_sizes, report_hubs, suggested_queries
 from .ranks import ranked
 from .trust import with_weight
@@ -39,6 +41,70 @@ def node_link(g: Graph) -> str:
     return json.dumps({"directed": True, "graph": {"schema_version": g.schema}, "links": links, "multigraph": False, "nodes": nodes}, ensure_ascii=False, indent=2, sort_keys=True)
 
 
+def write_document(lines: DataFrame, path: str, end: str = "\n") -> None:
+    """The lines (kind, a, b, relation: their order; line) as one file at ``path``, which is replaced; ``end`` is what follows the last line, a newline or nothing.
+
+    Lines are sorted by ranges and written by tasks, whose commit sees to it that a task
+    that is repeated counts once. No row comes to the driver: its file system client
+    copies the parts, a buffer at a time, to a new name, and renames that when it is whole.
+    """
+    spark = lines.sparkSession
+    parts = scratch_path(spark, "document")
+    lines.orderBy("kind", "a", "b", "relation", "line").select("line").write.option("lineSep", "\n").text(parts)
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark.sparkContext._jsc.hadoopConfiguration()
+    source, target, begun = (hadoop.fs.Path(x) for x in (parts, path, f"{path}.{parts[-12:]}"))
+    fs, to = source.getFileSystem(conf), target.getFileSystem(conf)
+    files = sorted(((f.getPath().getName(), f.getLen(), f.getPath()) for f in fs.listStatus(source) if f.getLen() and f.getPath().getName().startswith("part-")), key=lambda f: f[0])
+    out = to.create(begun, True)
+    try:
+        for k, (_, n, part) in enumerate(files):
+            own = fs.open(part)
+            try:
+                spark._jvm.org.apache.commons.io.IOUtils.copyLarge(own, out, 0, n - (not end and k == len(files) - 1))
+            finally:
+                own.close()
+    finally:
+        out.close()
+    to.delete(target, False)
+    to.rename(begun, target)
+    fs.delete(source, True)
+
+
+def _fixed(spark, texts: dict[int, str]) -> DataFrame:
+    """Lines that stand before, between or behind others, by kind."""
+    return spark.createDataFrame([(k, None, None, "", t) for k, t in texts.items() if t is not None], "kind int, a bigint, b bigint, relation string, line string")
+
+
+def _json_object(fields: list[tuple[str, Column]], last: Column) -> Column:
+    """An object in the indented form; there is a comma behind all but the last."""
+    lines = F.concat_ws(",\n", *[F.concat(F.lit(f'      "{k}": '), F.coalesce(v, F.lit("null"))) for k, v in fields])
+    return F.concat(F.lit("    {\n"), lines, F.lit("\n    }"), F.when(last, "").otherwise(","))
+
+
+def _json_text(c: str) -> Column:
+    """A text as JSON, without what ``to_json`` puts around it."""
+    whole = F.to_json(F.struct(F.col(c).alias("v")))
+    return F.when(F.col(c).isNotNull(), F.substring(whole, F.lit(6), F.length(whole) - 6))
+
+
+def write_node_link(g: Graph, path: str) -> None:
+    """The document of ``node_link``, byte by byte but for the hex digits of escaped controls in paths, which are capitals."""
+    nodes, links = node_link_nodes(g), node_link_links(g)
+    final_n = nodes.agg(F.max("id")).first()[0]
+    final_l = links.agg(F.max(F.struct("source", "target", "relation")).alias("m")).select("m.*").first()
+    number = lambda c: F.col(c).cast("string")
+    is_last = (F.col("source") == final_l[0]) & (F.col("target") == final_l[1]) & (F.col("relation") == final_l[2])
+    link = _json_object([("confidence", _json_text("confidence")), ("relation", _json_text("relation")), ("source", number("source")), ("target", number("target")), ("weight", number("weight"))], is_last)
+    node = _json_object([("community", number("community")), ("id", number("id")), ("label", _json_text("label")), ("source_file", _json_text("source_file")), ("source_location", _json_text("source_location"))], F.col("id") == final_n)
+    head = '{\n  "directed": true,\n  "graph": {\n    "schema_version": ' + json.dumps(g.schema, ensure_ascii=False) + '\n  },\n  "links": ['
+    no_links, no_nodes = final_l[0] is None, final_n is None
+    between = '  "multigraph": false,\n  "nodes": [' if no_links else '  ],\n  "multigraph": false,\n  "nodes": ['
+    fixed = _fixed(nodes.sparkSession, {0: head + ("]," if no_links else ""), 2: between + ("]" if no_nodes else ""), 4: "}" if no_nodes else "  ]\n}"})
+    rows = links.select(F.lit(1).alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), "relation", link.alias("line"))
+    rows = rows.unionByName(nodes.select(F.lit(3).alias("kind"), F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b"), F.lit("").alias("relation"), node.alias("line")))
+    write_document(rows.unionByName(fixed), path, "")
+
+
 def graphml_rows(g: Graph) -> DataFrame:
     """kind (0 node, 1 edge), a, b, relation (the order), xml."""
     label, path = xml_escape(sanitize_label(F.col("label"))), xml_escape(F.col("source_file"))
@@ -49,12 +115,21 @@ def graphml_rows(g: Graph) -> DataFrame:
     return nodes.unionByName(g.edges.select(F.lit(1).alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), "relation", edge.alias("xml")))
 
 
-def graphml(g: Graph) -> str:
+def _graphml_head() -> str:
     keys = [("d_label", "node", "label"), ("d_source_file", "node", "source_file"), ("d_relation", "edge", "relation"), ("d_confidence", "edge", "confidence")]
     head = ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">']
-    head += [f'<key id="{k}" for="{of}" attr.name="{n}" attr.type="string"/>' for k, of, n in keys] + ['<graph id="G" edgedefault="directed">']
+    return "\n".join(head + [f'<key id="{k}" for="{of}" attr.name="{n}" attr.type="string"/>' for k, of, n in keys] + ['<graph id="G" edgedefault="directed">'])
+
+
+def graphml(g: Graph) -> str:
     rows = graphml_rows(g).orderBy("kind", "a", "b", "relation").collect()
-    return "\n".join([*head, *(r.xml for r in rows), "</graph>", "</graphml>", ""])
+    return "\n".join([_graphml_head(), *(r.xml for r in rows), "</graph>", "</graphml>", ""])
+
+
+def write_graphml(g: Graph, path: str) -> None:
+    """The document of ``graphml``, written by tasks."""
+    fixed = _fixed(g.nodes.sparkSession, {-1: _graphml_head(), 2: "</graph>\n</graphml>"})
+    write_document(graphml_rows(g).withColumnRenamed("xml", "line").unionByName(fixed), path)
 
 
 def cypher_rows(g: Graph) -> DataFrame:
@@ -65,9 +140,18 @@ def cypher_rows(g: Graph) -> DataFrame:
     return nodes.unionByName(g.edges.select(F.lit(1).alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), "relation", edge.alias("statement")))
 
 
+def _cypher_head(g: Graph) -> str:
+    return f"// {g.nodes.count()} nodes, {g.edges.count()} edges"
+
+
 def cypher(g: Graph) -> str:
     rows = cypher_rows(g).orderBy("kind", "a", "b", "relation").collect()
-    return "".join(f"{line}\n" for line in [f"// {g.nodes.count()} nodes, {g.edges.count()} edges", *(r.statement for r in rows)])
+    return "".join(f"{line}\n" for line in [_cypher_head(g), *(r.statement for r in rows)])
+
+
+def write_cypher(g: Graph, path: str) -> None:
+    """The document of ``cypher``, written by tasks."""
+    write_document(cypher_rows(g).withColumnRenamed("statement", "line").unionByName(_fixed(g.nodes.sparkSession, {-1: _cypher_head(g)})), path)
 
 
 def _side(n: int) -> tuple[float, int]:

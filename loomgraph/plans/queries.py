@@ -12,8 +12,9 @@ from ..functions import urls
 from ..functions.ids import cache_key, node_id
 from ..operators import analytics as an
 from ..operators import arcs, budget, build, export, neighbourhood, parity, paths, search, trust
+from ..operators.ranks import ranked
 from ..session import materialise, scratch_path
-from ..sources import trigrams
+from ..sources import nodelink, trigrams
 from ..sources.files import build_manifest, manifest_diff
 from ..streaming.watch import debounce, event_arcs
 from . import driver_graph as dg
@@ -461,6 +462,27 @@ def node_link_links(s, d):
     return export.node_link_links(dg.with_communities(s, d))
 
 
+def _exchanged(s, d):
+    """The graph, numbered in the order of ids as the format's 32 bits ask, written as one document by tasks and read from it."""
+    g = dg.with_communities(s, d)
+    numbers = materialise(s, ranked(g.nodes.select("id"), ["id"], name="number"), "numbers").select("id", (F.col("number") - 1).alias("number"))
+    put = lambda df, c: df.join(numbers.withColumnRenamed("id", c), c).withColumn(c, F.col("number")).drop("number")
+    small = g.with_(nodes=put(g.nodes, "id").select(*g.nodes.columns), edges=put(put(g.edges, "source"), "target").select(*g.edges.columns), members=put(g.members, "node").select(*g.members.columns))
+    path = scratch_path(s, "exchange") + ".json"
+    export.write_node_link(small, path)
+    return nodelink.from_node_link(s, path)
+
+
+def node_link_round_trip(s, d):
+    g = _exchanged(s, d)
+    own = g.members.withColumnRenamed("node", "id")
+    return g.nodes.join(own, "id", "left").select("id", "label", "source_file", "start_line", "community")
+
+
+def node_link_round_trip_edges(s, d):
+    return _edges(_exchanged(s, d).edges)
+
+
 def svg_layout(s, d):
     return export.svg_layout(dg.with_communities(s, d)).select("id", "place", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "fill")
 
@@ -535,7 +557,7 @@ NAMES = [
     extract_arcs, diff_arcs, arc_coherence, arc_delta, arc_delta_summary, arc_delta_live, arc_delta_live_summary, sphere_registration,
     updated_nodes, updated_edges, update_changes, manifest, manifest_changes, cache_keys, cache_partition, stored_results, debounce_sessions,
     url_validate, url_extension, sanitize_label, question_label, xml_escape, cypher_escape, export_tokens, path_tags, slugs, span_functions,
-    node_link_rows, node_link_links, svg_layout, graphml_rows, cypher_rows, vault_rows, wiki_pages,
+    node_link_rows, node_link_links, node_link_round_trip, node_link_round_trip_edges, svg_layout, graphml_rows, cypher_rows, vault_rows, wiki_pages,
 ]
 
 
