@@ -2,23 +2,41 @@
 
 Such a key is one shuffle partition. Spark splits skewed partitions of a join
 only where both sides are plain shuffles; here the other side is an aggregate. So
-frequent keys get a salt: their rows are dealt to ``SALTS`` parts by a hash of other
-columns, and the one row of the key is copied to each part.
+frequent keys get a salt: their rows are dealt to parts by a hash of other columns,
+and the one row of the key is copied to each part. A key is frequent by its share of
+all rows, or by more rows than one task should hold, however small their share is;
+it gets ``SALTS`` parts, or as many as keep a part below that number.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A key is frequent from this part of all rows on, so there are at most so many frequent keys.
+#: A key is frequent from this part of all rows on, so there are at most so many such keys.
 SHARE = 500
 SALTS = 64
+#: Rows of one key in a task. All rows over this number bound the keys that are frequent by it.
+ROWS = 1_000_000
+#: Keys that are broadcast, of a few bytes each; Spark joins a longer list as it sees fit.
+BROADCAST = 200_000
 
 
-def frequent(counts: DataFrame, key: str, n: str, total: int, share: int = SHARE) -> list:
-    """The keys that hold at least one ``share``-th of ``total`` rows: ``share`` at most. counts: key, n."""
-    return [r[0] for r in counts.where(F.col(n) * share >= F.lit(total)).select(key).collect()] if total else []
+class Keys(list):
+    """Frequent keys, and the parts of each."""
+
+    def __init__(self, keys=(), parts=()):
+        super().__init__(keys)
+        self.parts = list(parts)
+
+
+def frequent(counts: DataFrame, key: str, n: str, total: int, share: int = SHARE, rows: int = ROWS) -> Keys:
+    """The keys that hold at least one ``share``-th of ``total`` rows, or over ``rows``: ``share`` + total / rows at most. counts: key, n."""
+    if not total:
+        return Keys()
+    found = counts.where((F.col(n) * share >= F.lit(total)) | (F.col(n) > rows)).select(key, n).collect()
+    return Keys((r[0] for r in found), (max(SALTS, -(-r[1] // rows)) for r in found))
 
 
 def salted_join(many: DataFrame, few: DataFrame, on: list[str], keys: list, by: list[str | Column], how: str = "inner", salts: int = SALTS) -> DataFrame:
@@ -28,7 +46,16 @@ def salted_join(many: DataFrame, few: DataFrame, on: list[str], keys: list, by:
     """
     if not keys:
         return many.join(few, on, how)
-    hot = F.col(on[0]).isin(keys)
-    left = many.withColumn("__salt", F.when(hot, F.pmod(F.xxhash64(*by), F.lit(salts))).otherwise(F.lit(0)).cast("int"))
-    right = few.withColumn("__salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    parts = getattr(keys, "parts", [])
+    if len(keys) <= SHARE and max(parts, default=0) <= salts:
+        hot = F.col(on[0]).isin(list(keys))
+        left = many.withColumn("__parts", F.when(hot, F.lit(salts)))
+        right = few.withColumn("__parts", F.when(hot, F.lit(salts)))
+    else:
+        kind = T.StructType([T.StructField("__hot", many.schema[on[0]].dataType), T.StructField("__parts", T.IntegerType())])
+        listed = many.sparkSession.createDataFrame(list(zip(keys, parts or [salts] * len(keys), strict=True)), kind)
+        listed = F.broadcast(listed) if len(keys) <= BROADCAST else listed
+        left, right = (df.join(listed, F.col(on[0]) == F.col("__hot"), "left").drop("__hot") for df in (many, few))
+    left = left.withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(*by), F.col("__parts")), F.lit(0)).cast("int")).drop("__parts")
+    right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
     return left.join(right, [*on, "__salt"], how).drop("__salt")

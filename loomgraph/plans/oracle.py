@@ -244,6 +244,8 @@ def oracle_sql() -> dict[str, str]:
         "node_link_links": G + " SELECT confidence, relation, source, target, CAST(CASE WHEN confidence = 'EXTRACTED' THEN 1.0 ELSE 0.8 END AS DOUBLE) AS weight FROM edges",
         "node_link_round_trip": G + _N + " SELECT row_number() OVER (ORDER BY id) - 1 AS id, label, source_file, start_line, community FROM nl",
         "node_link_round_trip_edges": G + ", num AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM nodes) SELECT a.k AS source, b.k AS target, relation, confidence FROM edges e JOIN num a ON a.id = e.source JOIN num b ON b.id = e.target",
+        "summary_entries": """SELECT user_id, n_events, batch FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY batch DESC) AS k
+            FROM (SELECT user_id, CAST(event_id % 3 AS INTEGER) AS batch, count(*) AS n_events FROM events WHERE user_id % 4 > event_id % 3 GROUP BY ALL)) WHERE k = 1""",
         "svg_layout": _SPLIT + """, p AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS place FROM nodes)
             SELECT p.id, place, round(r * cos(2 * pi() * place / n - pi() / 2) + side / 2.0, 3) AS x, round(r * sin(2 * pi() * place / n - pi() / 2) + side / 2.0, 3) AS y,
             CASE WHEN community IS NULL THEN '#cccccc' ELSE ['#4e79a7', '#f28e2b', '#e15759', '#76b7b2', '#59a14f', '#edc948', '#b07aa1', '#ff9da7', '#9c755f', '#bab0ac'][CAST(community % 10 + 1 AS INTEGER)] END AS fill

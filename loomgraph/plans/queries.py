@@ -18,7 +18,7 @@ from ..sources import nodelink, trigrams
 from ..sources.files import build_manifest, manifest_diff
 from ..streaming.watch import debounce, event_arcs
 from . import driver_graph as dg
-from . import incremental, store
+from . import incremental, store, summary
 
 Query = Callable[[SparkSession, str], DataFrame]
 NEEDLE, PATH_FROM, PATH_TO = "er:12", "region:1", "supplier:7"
@@ -392,6 +392,16 @@ def stored_results(s, d):
     return kept.entries().select("key", "tokens")
 
 
+def summary_entries(s, d):
+    """What the sink holds after three batches of events, of which one comes twice: each user's events in the last batch that has any."""
+    e = dg.read(s, d, "events")
+    sink = summary.SummarySink(s, scratch_path(s, "summary"), "user_id")
+    for k in (0, 1, 1, 2):
+        own = e.where(F.col("event_id") % 3 == k)
+        sink.write(own.where(F.col("user_id") % 4 > k).groupBy("user_id").agg(F.count("*").alias("n_events"), F.lit(k).alias("batch")), k)
+    return sink.entries()
+
+
 def debounce_sessions(s, d):
     return debounce(dg.read(s, d, "events"), "1 hour")
 
@@ -555,7 +565,7 @@ NAMES = [
     find_by_label, trigram_index, trigram_blocks, trigram_find, query_top50, shortest_path, path_labels, explain_edges, explain_communities, node_neighbourhood, community_members, report_sample, graph_health,
     token_estimate, budget_pack, generation_id, parity_nodes, parity_edges, regression_free, relation_coverage, co_clustering,
     extract_arcs, diff_arcs, arc_coherence, arc_delta, arc_delta_summary, arc_delta_live, arc_delta_live_summary, sphere_registration,
-    updated_nodes, updated_edges, update_changes, manifest, manifest_changes, cache_keys, cache_partition, stored_results, debounce_sessions,
+    updated_nodes, updated_edges, update_changes, manifest, manifest_changes, cache_keys, cache_partition, stored_results, summary_entries, debounce_sessions,
     url_validate, url_extension, sanitize_label, question_label, xml_escape, cypher_escape, export_tokens, path_tags, slugs, span_functions,
     node_link_rows, node_link_links, node_link_round_trip, node_link_round_trip_edges, svg_layout, graphml_rows, cypher_rows, vault_rows, wiki_pages,
 ]

@@ -56,3 +56,17 @@ def test_salted_joins_equal_plain_ones(spark, how):
     got = salted_join(many, few, ["k"], keys, ["id"], how)
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
     assert salted_join(many, few, ["k"], [], ["id"], how).count() == want.count()
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_a_key_of_a_small_share_is_split_by_its_rows(spark, how):
+    many = spark.range(40_000).select(F.when(F.col("id") % 1000 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"), "id").unionByName(spark.range(3).select(F.lit(None).cast("long").alias("k"), "id"))
+    few = spark.range(-1, 30).select(F.col("id").alias("k"), *([] if how == "left_semi" else [(F.col("id") * 2).alias("v")]))
+    counts = many.groupBy("k").agg(F.count("*").alias("n"))
+    assert frequent(counts, "k", "n", 40_003) == []
+    keys = frequent(counts, "k", "n", 40_003, rows=9)  # a thousandth of all rows
+    assert (keys, keys.parts) == ([-1], [64])
+    keys.parts = [100]  # more parts than the usual ones: the list is joined
+    want = many.join(few, ["k"], how)
+    got = salted_join(many, few, ["k"], keys, ["id"], how)
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
