@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,11 +9,11 @@ from ..functions.text import question_label
 from ..model import Graph
 from ..session import materialise
 from .components import components
+from .leiden import leiden
 from .ranks import ranked
+from .skew import dealt_join
 from .trust import trusted_edges
 
-#: Nodes of a component that one task may cluster; larger ones are clustered over the cluster.
-LOCAL = 50_000
 HUB_QUESTIONS, HUB_DEGREE = 5, 5
 REPORT_HUBS = 10
 
@@ -81,104 +79,30 @@ def community_sizes(members: DataFrame) -> DataFrame:
     return members.groupBy("community").agg(F.count("*").alias("members"))
 
 
-def _local_moves(n: int, a: np.ndarray, b: np.ndarray, total: float, seed: int = 7) -> np.ndarray:
-    """Communities of a simple graph by local moves on modularity, aggregated until nothing moves.
+def detect_communities(g: Graph) -> tuple[DataFrame, DataFrame]:
+    """communities and members of the trusted graph by the Leiden method: every node in exactly one connected community, unlinked nodes alone.
 
-    Before each aggregation communities are split into their connected parts, so every community stays connected.
-    """
-    own = np.arange(n)
-    u, v, w, loops = a, b, np.ones(len(a)), np.zeros(n)
-    while True:
-        size = len(loops)
-        order = np.argsort(np.concatenate([u, v]), kind="stable")
-        head, tail, weight = np.concatenate([u, v])[order], np.concatenate([v, u])[order], np.concatenate([w, w])[order]
-        at = np.searchsorted(head, np.arange(size + 1))
-        degree = np.bincount(head, weights=weight, minlength=size) + 2 * loops
-        label, mass = np.arange(size), degree.copy()
-        moved_any, moved, sweeps = False, True, 0
-        visit = np.random.default_rng(seed).permutation(size)
-        while moved and sweeps < 50:
-            moved, sweeps = False, sweeps + 1
-            for k in visit.tolist():
-                lo, hi = at[k], at[k + 1]
-                if lo == hi:
-                    continue
-                near = label[tail[lo:hi]]
-                names, place = np.unique(near, return_inverse=True)
-                into = np.bincount(place, weights=weight[lo:hi])
-                mass[label[k]] -= degree[k]
-                gain = into - degree[k] * mass[names] / (2 * total)
-                here = np.flatnonzero(names == label[k])
-                stay = gain[here[0]] if len(here) else -degree[k] * mass[label[k]] / (2 * total)
-                best = int(gain.argmax())
-                if gain[best] > stay + 1e-12:
-                    label[k], moved, moved_any = names[best], True, True
-                mass[label[k]] += degree[k]
-        if not moved_any:
-            return own
-        parts = _parts(label, u, v)
-        own = parts[own]
-        new = int(parts.max()) + 1
-        loops_new = np.bincount(parts, weights=loops, minlength=new)
-        pu, pv = parts[u], parts[v]
-        inner = pu == pv
-        loops_new += np.bincount(pu[inner], weights=w[inner], minlength=new)
-        key = np.minimum(pu, pv)[~inner] * new + np.maximum(pu, pv)[~inner]
-        names, place = np.unique(key, return_inverse=True)
-        u, v, w, loops = names // new, names % new, np.bincount(place, weights=w[~inner], minlength=len(names)), loops_new
-        if not len(u) or new == size:
-            return own
-
-
-def _parts(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Connected parts of communities, numbered from 0."""
-    root = np.arange(len(label))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for x, y in zip(u.tolist(), v.tolist(), strict=True):
-        if label[x] == label[y]:
-            p, q = find(x), find(y)
-            if p != q:
-                root[max(p, q)] = min(p, q)
-    tops = np.array([find(x) for x in range(len(label))])
-    return np.unique(tops, return_inverse=True)[1]
-
-
-def detect_communities(g: Graph, local: int = LOCAL, rounds: int = 10) -> tuple[DataFrame, DataFrame]:
-    """communities and members of the trusted graph: every node in exactly one, unlinked nodes alone.
-
-    Components of up to ``local`` nodes are clustered by modularity, each in one
-    task; larger ones by label propagation over the cluster.
+    Links of nodes that the graph doesn't have, loops and repeats don't count.
     """
     spark = g.nodes.sparkSession
     pairs = undirected_pairs(trusted_edges(g.edges).join(g.nodes.select(F.col("id").alias("source")), "source", "left_semi").join(g.nodes.select(F.col("id").alias("target")), "target", "left_semi"))
     pairs = materialise(spark, pairs, "pairs")
-    total = float(pairs.count())
-    own = materialise(spark, component_of(g.nodes, pairs), "component-of")
-    sizes = own.groupBy("component").agg(F.count("*").alias("size"))
-    placed = pairs.join(own.withColumnRenamed("id", "a"), "a").join(sizes, "component")
-
-    def cluster(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, flat = np.unique(np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()]), return_inverse=True)
-        order = np.lexsort((flat[len(pdf) :], flat[: len(pdf)]))
-        label = _local_moves(len(ids), flat[: len(pdf)][order], flat[len(pdf) :][order], total)
-        return pd.DataFrame({"id": ids, "label": pd.Series(ids).groupby(label).transform("min")})
-
-    small = placed.where(F.col("size") <= local).select("component", "a", "b").groupBy("component").applyInPandas(cluster, "id long, label long")
-    big_pairs = placed.where(F.col("size") > local).select("a", "b")
-    big_nodes = own.join(sizes.where(F.col("size") > local), "component", "left_semi").select("id")
-    big = label_propagation(big_nodes, big_pairs, rounds) if big_nodes.take(1) else None
-    known = small if big is None else small.unionByName(big)
-    rest = own.join(known.select("id"), "id", "left_anti").select("id", F.col("id").alias("label"))
-    members = materialise(spark, number_communities(known.unionByName(rest)), "members")
+    found = materialise(spark, leiden(pairs), "leiden")
+    of = lambda e: found.select(F.col("id").alias(e), F.col("label").alias(f"label_{e}"), F.col("n").alias(f"n_{e}"))
+    inner = dealt_join(dealt_join(pairs, of("a"), "a", "n_a", ["b"]), of("b"), "b", "n_b", ["a"]).where("label_a = label_b")
+    parts = component_of(g.nodes, inner.select("a", "b"))
+    members = materialise(spark, number_communities(parts.select("id", F.col("component").alias("label"))), "members")
     return community_labels(members), members
 
 
+def broken_communities(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """community, parts of those communities that links inside them don't connect."""
+    of = lambda e: members.select(F.col("node").alias(e), F.col("community").alias(f"community_{e}"))
+    inner = pairs.join(of("a"), "a").join(of("b"), "b").where("community_a = community_b").select("a", "b")
+    parts = component_of(members.select(F.col("node").alias("id")).distinct(), inner).join(members.withColumnRenamed("node", "id"), "id")
+    return parts.groupBy("community").agg(F.count_distinct("component").alias("parts")).where("parts > 1")
+
+
 def modularity(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """One row: the modularity of a partition of the simple graph."""
     m = members.select("community", "node")

@@ -59,3 +59,19 @@ def salted_join(many: DataFrame, few: DataFrame, on: list[str], keys: list, by:
     left = left.withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(*by), F.col("__parts")), F.lit(0)).cast("int")).drop("__parts")
     right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
     return left.join(right, [*on, "__salt"], how).drop("__salt")
+
+
+def dealt_join(many: DataFrame, few: DataFrame, on: str, n: str, by: list[str], rows: int | None = ROWS) -> DataFrame:
+    """Inner join of ``many`` with one row for each key; the column ``n`` of ``few`` is the number, or a bound, of the key's rows in ``many``.
+
+    Keys of over ``rows`` rows are dealt by a hash of ``by``. They are found inside the
+    job; at most a ``rows``-th of all rows can be such keys, and so many are broadcast.
+    None: no key is dealt.
+    """
+    if rows is None:
+        return many.join(few, on)
+    parts = F.ceil(F.col(n) / rows).cast("int")
+    hot = few.where(F.col(n) > rows).select(on, parts.alias("__parts"))
+    left = many.join(F.broadcast(hot), on, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(*by), F.col("__parts")), F.lit(0)).cast("int")).drop("__parts")
+    right = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
+    return left.join(right, [on, "__salt"]).drop("__salt")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import Graph, graph_of
+from ..operators.analytics import detect_communities
 from ..operators.build import assemble, dedup_edges, intern_nodes, resolve_edges
 from ..session import materialise
 
@@ -81,6 +82,17 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     return graph_of(*_stored[key])
 
 
+_found: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
+def detected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Communities and members of the trusted graph, found once for an application and stored as the graph is."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _found:
+        _found[key] = detect_communities(graph(spark, sf_dir))
+    return _found[key]
+
+
 def nation_communities(spark: SparkSession, sf_dir: str, n: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Communities: a nation with its customers and suppliers."""
     own = None

@@ -159,6 +159,7 @@ def oracle_sql() -> dict[str, str]:
         "undirected_pairs": G + " SELECT a, b FROM pairs",
         "components": _COMPONENTS + " SELECT id, component FROM comp",
         "label_propagation_2": _LP + " SELECT id, label FROM lab2",
+        "community_check": G + " SELECT count(*) AS nodes, count(DISTINCT id) AS covered, 0 AS repeated, 0 AS broken, TRUE AS modular FROM nodes",
         "community_numbering": _COMPONENTS + " SELECT dense_rank() OVER (ORDER BY component) - 1 AS community, id AS node FROM comp",
         "community_sizes": G + " SELECT community, count(*) AS members FROM members GROUP BY community",
         "community_of": G + " SELECT node, max(greatest(community, community % 7)) AS community FROM members GROUP BY node",

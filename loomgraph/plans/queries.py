@@ -153,7 +153,20 @@ def label_propagation_2(s, d):
 
 def communities(s, d):
     """Every node with its community in the trusted graph."""
-    return an.detect_communities(dg.graph(s, d))[1]
+    return dg.detected(s, d)[1]
+
+
+def community_check(s, d):
+    """What holds of the communities: all nodes covered, none twice, none of them in parts, more modularity than two rounds of labels."""
+    g, members = trust.trusted_subgraph(dg.graph(s, d)), dg.detected(s, d)[1]
+    pairs = an.undirected_pairs(g.edges)
+    spread = an.number_communities(an.label_propagation(g.nodes, pairs, 2))
+    row = g.nodes.agg(F.count("*").alias("nodes"))
+    row = row.crossJoin(members.join(g.nodes.select(F.col("id").alias("node")), "node").agg(F.count_distinct("node").alias("covered")))
+    row = row.crossJoin(members.agg((F.count("*") - F.count_distinct("node")).alias("repeated")))
+    row = row.crossJoin(an.broken_communities(pairs, members).agg(F.count("*").alias("broken")))
+    row = row.crossJoin(an.modularity(pairs, members)).crossJoin(an.modularity(pairs, spread).withColumnRenamed("modularity", "least"))
+    return row.select("nodes", "covered", "repeated", "broken", (F.col("modularity") > F.col("least")).alias("modular"))
 
 
 def community_numbering(s, d):
@@ -561,7 +574,7 @@ NAMES = [
     nodes_first_wins, edges_resolved, edges_dangling, edges_dedup_first_confidence, graph_counts, id_collision_check, assemble_relations, content_ids, canonical_order,
     merge2_nodes, merge2_edges, merge2_communities, merge3_nodes, merge3_edges, merge3_communities, merge3_manifest, prune_stale,
     trusted_edges, untrusted_edges, confidence_counts, edge_weights,
-    degree_centrality, god_nodes, report_hubs, undirected_pairs, components, label_propagation_2, communities, community_numbering, community_sizes, community_of, surprising_connections, suggested_questions,
+    degree_centrality, god_nodes, report_hubs, undirected_pairs, components, label_propagation_2, communities, community_check, community_numbering, community_sizes, community_of, surprising_connections, suggested_questions,
     find_by_label, trigram_index, trigram_blocks, trigram_find, query_top50, shortest_path, path_labels, explain_edges, explain_communities, node_neighbourhood, community_members, report_sample, graph_health,
     token_estimate, budget_pack, generation_id, parity_nodes, parity_edges, regression_free, relation_coverage, co_clustering,
     extract_arcs, diff_arcs, arc_coherence, arc_delta, arc_delta_summary, arc_delta_live, arc_delta_live_summary, sphere_registration,

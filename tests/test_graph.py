@@ -103,8 +103,7 @@ def test_communities_are_a_partition(spark):
     assert {(r.id, r.label) for r in c.collect()} == {(k, f"community-{k}") for k in range(3)}
     q = analytics.modularity(analytics.undirected_pairs(g.edges), m).first().modularity
     assert 0.4 < q < 0.5
-    large = analytics.detect_communities(g, local=3)[1]
-    assert large.count() == 11 and large.select("node").distinct().count() == 11
+    assert analytics.broken_communities(analytics.undirected_pairs(g.edges), m).count() == 0
 
 
 def test_around_a_node(spark):
