@@ -11,7 +11,7 @@ from ..session import materialise
 from .components import components
 from .leiden import leiden
 from .ranks import ranked
-from .skew import dealt_join
+from .skew import ROWS, dealt_join
 from .trust import trusted_edges
 
 HUB_QUESTIONS, HUB_DEGREE = 5, 5
@@ -48,20 +48,22 @@ def component_of(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return nodes.select("id").join(reached.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
-def label_propagation(nodes: DataFrame, pairs: DataFrame, rounds: int) -> DataFrame:
+def label_propagation(nodes: DataFrame, pairs: DataFrame, rounds: int, rows: int = ROWS) -> DataFrame:
     """id, label after ``rounds`` synchronous rounds: each node takes the commonest label of its neighbours, the smallest of equals.
 
-    The count by node and label is a partial aggregate, so hubs are reduced before they are shuffled.
+    The count by node and label is a partial aggregate, so hubs are reduced before they are shuffled;
+    links of nodes with more than ``rows`` of them are dealt to several parts of the join.
     """
     spark = nodes.sparkSession
     both = pairs.select(F.col("a").alias("id"), F.col("b").alias("peer")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("peer")))
-    now = nodes.select("id", F.col("id").alias("label"))
+    now = nodes.select("id", F.col("id").alias("label")).join(both.groupBy("id").agg(F.count("*").alias("links")), "id", "left").na.fill(0, ["links"])
+    now = materialise(spark, now, "labels")
     for _ in range(rounds):
-        votes = both.join(now.withColumnRenamed("id", "peer"), "peer").groupBy("id", "label").agg(F.count("*").alias("n"))
+        votes = dealt_join(both, now.withColumnRenamed("id", "peer"), "peer", "links", ["id"], rows).groupBy("id", "label").agg(F.count("*").alias("n"))
         won = votes.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("best")).select("id", F.col("best.label").alias("new"))
-        now = now.join(won, "id", "left").select("id", F.coalesce("new", "label").alias("label"))
+        now = now.join(won, "id", "left").select("id", F.coalesce("new", "label").alias("label"), "links")
         now = materialise(spark, now, "labels")
-    return now
+    return now.select("id", "label")
 
 
 def number_communities(assigned: DataFrame) -> DataFrame:

@@ -121,3 +121,11 @@ def test_within_one_percent_of_moves_one_by_one(spark, sf):
     ours = quality(len(ids), a, b, np.array([label[k] for k in ids.tolist()]))
     assert abs(ours - analytics.modularity(pairs, members).first().modularity) < 1e-9
     assert ours > 0.99 * quality(len(ids), a, b, one_by_one(len(ids), a, b, float(len(a))))
+
+
+def test_labels_of_hubs_are_dealt_to_the_same_result(spark):
+    links = [(0, k) for k in range(1, 40)] + planted(2, 6, 3)
+    pairs = spark.createDataFrame(sorted(set(links)), "a long, b long")
+    nodes = spark.range(45)
+    one, many = (sorted(tuple(r) for r in analytics.label_propagation(nodes, pairs, 2, rows=n).collect()) for n in (1_000_000, 4))
+    assert one == many and len(one) == 45
