@@ -126,3 +126,15 @@ def test_digests_add_up(spark):
     assert budget.digest_of(more).first()[0] == budget.set_digest(rows.unionByName(extra)).first()[0] != first
     assert budget.digest_of(budget.changed_sums(more, extra.limit(0), extra)).first()[0] == first
     assert budget.set_digest(rows.unionByName(rows)).first()[0] != first and len(first) == 16
+
+
+def test_generation_is_a_digest_of_all_rows_in_order(spark):
+    """By hand: digests sorted inside groups of their first three digits, then the groups' digests; not a sum of them."""
+    import hashlib
+
+    rows = spark.range(50).select(F.sha2((F.col("id") % 40).cast("string"), 256).alias("h"))
+    groups: dict[str, list[str]] = {}
+    for r in sorted(r.h for r in rows.collect()):
+        groups.setdefault(r[:3], []).append(r)
+    text = ";".join(f"{g}={hashlib.sha256(''.join(own).encode()).hexdigest()}" for g, own in sorted(groups.items()))
+    assert budget.ordered_digest(rows).first()[0] == hashlib.sha256(text.encode()).hexdigest()[:16]
