@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Graph
 from .analytics import community_sizes
-from .build import labelled_edges, labelled_sides, sided, sides_of
+from .build import keyed_sides, labelled_edges, sided, sides_of, with_labels
 
 # The relations that count as arcs.
 DEFAULT_RELATIONS = ("calls", "imports_from", "method", "defines")
@@ -50,12 +50,35 @@ def coherence_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     return one.select("n_severed", "n_healed", (F.col("now") - F.col("was")).alias("delta"), (F.col("n_severed") > 0).alias("is_regression"), ((F.col("n_healed") > 0) & (F.col("n_severed") == 0)).alias("is_recovery"))
 
 
+def _has(k: int) -> Column:
+    return F.col("sides").bitwiseAND(F.lit(1 << k)) != 0
+
+
+def _by_side(graphs: tuple[Graph, ...], relations: tuple[str, ...]) -> DataFrame:
+    """The arcs of the first graph, with the graphs that have them."""
+    chosen = [g.with_(edges=g.edges.where(F.col("relation").isin(*relations))) for g in graphs]
+    rows = keyed_sides(*chosen).select("side", F.col("source").alias("producer"), F.col("target").alias("consumer"), "relation")
+    return rows.groupBy(*ARC).agg(sides_of().alias("sides")).where(_has(0))
+
+
 def arcs_of_versions(expected: Graph, before: Graph, after: Graph, relations: tuple[str, ...] = DEFAULT_RELATIONS) -> DataFrame:
-    """Each expected arc once, with whether it is present ``before`` and ``after``: what two diffs say, in one aggregate."""
-    chosen = [g.with_(edges=g.edges.where(F.col("relation").isin(*relations))) for g in (expected, before, after)]
-    rows = labelled_sides(*chosen).select("side", F.col("source_label").alias("producer"), F.col("target_label").alias("consumer"), "relation")
-    has = lambda k: F.col("sides").bitwiseAND(F.lit(1 << k)) != 0
-    return rows.groupBy(*ARC).agg(sides_of().alias("sides")).where(has(0)).select(*ARC, has(1).alias("before"), has(2).alias("after"))
+    """Each expected arc once, with whether it is present ``before`` and ``after``: what two diffs say, in one aggregate.
+
+    Arcs of whole graphs are told apart by ids; ``named_arcs`` gives them their labels.
+    """
+    return _by_side((expected, before, after), relations).select(*ARC, _has(1).alias("before"), _has(2).alias("after"))
+
+
+def named_arcs(arcs: DataFrame, expected: Graph, *others: Graph) -> DataFrame:
+    """Rows of ``arcs_of_versions`` of these graphs, or some of them, with labels. Each arc is in the expected graph, so are its ends."""
+    if not all(g.whole for g in (expected, *others)):
+        return arcs
+    return with_labels(arcs.withColumnsRenamed({"producer": "source", "consumer": "target"}), expected).withColumnsRenamed({"source": "producer", "target": "consumer"})
+
+
+def version_diff(expected: Graph, actual: Graph, relations: tuple[str, ...] = DEFAULT_RELATIONS) -> DataFrame:
+    """What ``diff_arcs`` says of the arcs of two graphs, each expected arc once, in one aggregate; arcs are told apart as in ``arcs_of_versions``."""
+    return _by_side((expected, actual), relations).select(*ARC, _has(1).alias("present"))
 
 
 def version_changes(arcs: DataFrame) -> DataFrame:

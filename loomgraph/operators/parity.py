@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Graph
-from .build import labelled_edges, sided, sides_of
+from .build import keyed_sides, labelled_edges, sided, sides_of, with_labels
 
 EDGE = ["source_label", "target_label", "relation"]
 
@@ -22,6 +22,18 @@ def classify(ours: DataFrame, golden: DataFrame) -> DataFrame:
     return sided(ours, golden.select(*key)).groupBy(*key).agg(status.alias("status"))
 
 
+def classify_edges(ours: Graph, golden: Graph) -> DataFrame:
+    """As ``classify`` of both graphs' edges by labels and relation, under the names source, target and relation; whole graphs' edges keep their ids, which ``named_edges`` turns into labels."""
+    key = ["source", "target", "relation"]
+    status = F.element_at(F.array(F.lit("extra"), F.lit("missing"), F.lit("matched")), sides_of())
+    return keyed_sides(ours, golden).groupBy(*key).agg(status.alias("status"))
+
+
+def named_edges(classified: DataFrame, ours: Graph, golden: Graph) -> DataFrame:
+    """Edges of ``classify_edges`` with labels, as ``classify`` has them."""
+    return with_labels(classified, ours, golden).withColumnsRenamed({"source": "source_label", "target": "target_label"})
+
+
 def regression_free(*classified: DataFrame) -> DataFrame:
     """One row: whether nothing is missing."""
     one = None

@@ -231,3 +231,28 @@ def test_requests(spark):
 
 def test_budget_is_a_prefix():
     assert serve.fit("head", None, ["a" * 8, "b" * 80, "c"], 5) == "head\n" + "a" * 8 + "\n… 2 more"
+
+
+def test_whole_graphs_compare_by_ids_as_others_do_by_labels(spark):
+    """One result by ids and by labels: merges, arcs, classes of edges; an edge at a node that didn't survive goes."""
+    from dataclasses import replace
+
+    from loomgraph.functions.ids import node_id
+    from loomgraph.operators import arcs, parity
+
+    def own(names, edges):
+        rows = spark.createDataFrame([(n, n[0], 0, 0, k, k) for k, n in enumerate(names)], NODE.removeprefix("id bigint, "))
+        e = spark.createDataFrame(edges, "s string, t string, relation string, confidence string")
+        return graph_of(rows.select(node_id(F.col("label")).alias("id"), *rows.columns), e.select(node_id(F.col("s")).alias("source"), node_id(F.col("t")).alias("target"), "relation", "confidence"))
+
+    base = own("abcd", [("a", "b", "r", "EXTRACTED"), ("b", "c", "r", "INFERRED"), ("c", "d", "r", "AMBIGUOUS")])
+    ours = own("abcde", [("a", "b", "r", "AMBIGUOUS"), ("b", "c", "r", "INFERRED"), ("a", "d", "r", "EXTRACTED"), ("a", "e", "q", "INFERRED")])
+    theirs = own("abce", [("a", "b", "r", "EXTRACTED"), ("b", "c", "r", "EXTRACTED"), ("a", "e", "q", "EXTRACTED")])
+    plain, whole = (base, ours, theirs), tuple(replace(g, whole=True) for g in (base, ours, theirs))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    merged = [rows(build.merge3_edges(*v, build.merge3_nodes(*v)).select("source", "target", "relation", "confidence")) for v in (plain, whole)]
+    assert merged[0] == merged[1] and len(merged[0]) == 3
+    assert rows(build.merge(*plain[1:]).edges) == rows(build.merge(*whole[1:]).edges)
+    by = [rows(arcs.named_arcs(arcs.version_changes(arcs.arcs_of_versions(*v, ("r", "q"))), *v)) for v in (plain, whole)]
+    assert by[0] == by[1]
+    assert rows(parity.named_edges(parity.classify_edges(*plain[:2]), *plain[:2])) == rows(parity.named_edges(parity.classify_edges(*whole[:2]), *whole[:2]))
