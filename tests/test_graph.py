@@ -256,3 +256,12 @@ def test_whole_graphs_compare_by_ids_as_others_do_by_labels(spark):
     by = [rows(arcs.named_arcs(arcs.version_changes(arcs.arcs_of_versions(*v, ("r", "q"))), *v)) for v in (plain, whole)]
     assert by[0] == by[1]
     assert rows(parity.named_edges(parity.classify_edges(*plain[:2]), *plain[:2])) == rows(parity.named_edges(parity.classify_edges(*whole[:2]), *whole[:2]))
+
+
+def test_documents_lie_once_and_carry_no_text_to_their_ranges(spark, tmp_path, monkeypatch):
+    seen = []
+    kept = export.write_document
+    monkeypatch.setattr(export, "write_document", lambda rows, *rest: (seen.append(rows.columns), kept(rows, *rest)))
+    g = make(spark, 3, ties([(0, 1), (1, 2)]), [(0, 1)])
+    export.write_node_link(g, str(tmp_path / "g.json"))
+    assert "line" not in seen[0] and (tmp_path / "g.json").read_text() == export.node_link(g)
