@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.model import SchemaError, graph_of
-from loomgraph.operators import analytics, build, export, neighbourhood, paths, search, trust
+from loomgraph.operators import analytics, build, components, export, neighbourhood, paths, search, trust
 from loomgraph.plans import incremental, serve
+from loomgraph.session import materialise
 from loomgraph.sources import extract, files, nodelink, semantic
 
 NODE = "id bigint, label string, source_file string, start_byte bigint, end_byte bigint, start_line bigint, end_line bigint"
@@ -265,3 +266,14 @@ def test_documents_lie_once_and_carry_no_text_to_their_ranges(spark, tmp_path, m
     g = make(spark, 3, ties([(0, 1), (1, 2)]), [(0, 1)])
     export.write_node_link(g, str(tmp_path / "g.json"))
     assert "line" not in seen[0] and (tmp_path / "g.json").read_text() == export.node_link(g)
+
+
+def test_components_of_many_links_are_those_of_components(spark, monkeypatch):
+    monkeypatch.setattr(components, "FEW", 10)  # so that it calls itself
+    rng = random.Random(5)
+    groups = [(0, 90, 300), (100, 104, 4), (200, 260, 200), (300, 302, 1)]  # first node, last node, links
+    pairs = [(rng.randrange(a, b), rng.randrange(a, b)) for a, b, n in groups for _ in range(n)] + [(7, 7), (None, 3), (301, 300)]
+    links = spark.createDataFrame(pairs, "a bigint, b bigint")
+    rows = lambda df: sorted(map(tuple, df.select("node", "root").collect()))
+    assert rows(components.components_of_many(links)) == rows(components.components(links))
+    assert components.components_of_many(links.limit(0)).count() == 0
