@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import Graph
+from ..session import materialise
 from .analytics import community_of
 from .search import find_by_label
 
@@ -42,8 +43,9 @@ def neighbourhood(g: Graph, label: str) -> DataFrame:
     """All edges at all nodes that match ``label``."""
     if not label:
         raise ValueError("a label is needed")
-    ids = find_by_label(g.nodes, label).select("id")
-    return _peer_label(_around(g, ids), g.nodes, "<unknown:%d>")
+    # written, so that Spark knows how few they are: edges aren't shuffled for them then. Nodes are hashed at every size.
+    ids = materialise(g.nodes.sparkSession, find_by_label(g.nodes, label).select("id"), "matches")
+    return _peer_label(_around(g, ids), g.nodes.hint("shuffle_hash"), "<unknown:%d>")
 
 
 def community_members(g: Graph, community: str) -> DataFrame:

@@ -18,7 +18,8 @@ def shortest_path(g: Graph, start: str, end: str, most: int | None = None) -> Da
 
     Level by level: a node that is reached first in a level keeps the smallest
     path to it, which is what visiting neighbours in the order of ids gives.
-    Each level is an aggregate, written once; ``most`` limits the levels.
+    Each level is an aggregate, written once; ``most`` limits the levels. Edges aren't
+    copied, nor shuffled for a level whose frontier is small.
     """
     spark = g.nodes.sparkSession
     a, b = endpoint(g.nodes, start), endpoint(g.nodes, end)
@@ -27,12 +28,14 @@ def shortest_path(g: Graph, start: str, end: str, most: int | None = None) -> Da
         return none
     if a == b:
         return spark.createDataFrame([(0, a)], "position bigint, id bigint")
-    both = g.edges.select("source", "target").unionByName(g.edges.select(F.col("target").alias("source"), F.col("source").alias("target")))
-    both = materialise(spark, both.where("source <> target").distinct(), "adjacency")
-    frontier = spark.createDataFrame([(a, [a])], "id bigint, path array<bigint>")
+    own = g.edges.where("source <> target")
+    # as much as one row in Spark's eyes, which doesn't know the size of local rows
+    frontier = spark.range(1).select(F.lit(a).cast("bigint").alias("id"), F.array(F.lit(a).cast("bigint")).alias("path"))
     seen, level = frontier.select("id"), 0
     while most is None or level < most:
-        step = frontier.join(both, F.col("id") == F.col("source")).select(F.col("target").alias("id"), F.concat("path", F.array("target")).alias("path"))
+        # edges are read where they lie, once from each end; a small frontier is broadcast, and repeats end in the aggregate
+        out, into = (frontier.join(own.select(F.col(x).alias("id"), F.col(y).alias("peer")), "id") for x, y in (("source", "target"), ("target", "source")))
+        step = out.unionByName(into).select(F.col("peer").alias("id"), F.concat("path", F.array("peer")).alias("path"))
         step = step.join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path"))
         frontier = materialise(spark, step, "frontier")
         hit = frontier.where(F.col("id") == b).select("path").take(1)
@@ -46,6 +49,8 @@ def shortest_path(g: Graph, start: str, end: str, most: int | None = None) -> Da
 
 def render_path(path: DataFrame, nodes: DataFrame) -> DataFrame:
     """One row: the labels joined by arrows, and the number of hops; no row without a path."""
-    named = path.join(nodes.select("id", "label"), "id", "left").withColumn("label", F.coalesce("label", F.concat(F.lit("<id "), F.col("id"), F.lit(">"))))
+    # a path is short: its nodes are found without a shuffle of all
+    own = nodes.select("id", "label").join(F.broadcast(path.select("id")), "id", "left_semi")
+    named = path.join(F.broadcast(own), "id", "left").withColumn("label", F.coalesce("label", F.concat(F.lit("<id "), F.col("id"), F.lit(">"))))
     one = named.agg(F.array_sort(F.collect_list(F.struct("position", "label"))).alias("steps"))
     return one.where(F.size("steps") > 0).select(F.array_join(F.transform("steps", lambda s: s["label"]), " -> ").alias("path"), (F.size("steps") - 1).cast("bigint").alias("hops"))

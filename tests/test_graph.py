@@ -277,3 +277,13 @@ def test_components_of_many_links_are_those_of_components(spark, monkeypatch):
     rows = lambda df: sorted(map(tuple, df.select("node", "root").collect()))
     assert rows(components.components_of_many(links)) == rows(components.components(links))
     assert components.components_of_many(links.limit(0)).count() == 0
+
+
+def test_paths_and_neighbourhoods_dont_copy_edges(spark, monkeypatch):
+    g, names = make(spark, 6, ties([(0, 1), (2, 1), (2, 5), (1, 1), (0, 1)])), []
+    monkeypatch.setattr(paths, "materialise", lambda s, df, name: names.append(name) or materialise(s, df, name))
+    assert [r.id for r in paths.shortest_path(g, "n0", "n5").orderBy("position").collect()] == [0, 1, 2, 5]
+    assert set(names) == {"frontier"}
+    near = neighbourhood.neighbourhood(g, "n2")
+    plan = near._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and near.count() == 2
