@@ -287,3 +287,11 @@ def test_paths_and_neighbourhoods_dont_copy_edges(spark, monkeypatch):
     near = neighbourhood.neighbourhood(g, "n2")
     plan = near._jdf.queryExecution().sparkPlan().toString()
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and near.count() == 2
+
+
+def test_bridges_hash_nodes_at_every_size(spark):
+    g = make(spark, 4, [(0, 1, "r", "EXTRACTED"), (1, 2, "q", "EXTRACTED"), (2, 0, "r", "INFERRED")], [(0, 0), (0, 1), (1, 2)])
+    own = analytics.surprising_connections(g)
+    plan = own._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+    assert [tuple(r) for r in own.collect()] == [(1, 2, "q", "EXTRACTED", 0, 1)]
