@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import Graph
@@ -16,10 +16,10 @@ def endpoint(nodes: DataFrame, label: str) -> int | None:
 def shortest_path(g: Graph, start: str, end: str, most: int | None = None) -> DataFrame:
     """position, id of each node on the path; no row if there is none.
 
-    Level by level: a node that is reached first in a level keeps the smallest
-    path to it, which is what visiting neighbours in the order of ids gives.
-    Each level is an aggregate, written once; ``most`` limits the levels. Edges aren't
-    copied, nor shuffled for a level whose frontier is small.
+    Level by level, from both ends, the smaller last level first, until they meet: a node
+    that is reached first in a level keeps the smallest path to it, which is what visiting
+    neighbours in the order of ids gives. Each level is an aggregate, written once; ``most``
+    limits the levels of both. Edges aren't copied, nor shuffled where the last level is small.
     """
     spark = g.nodes.sparkSession
     a, b = endpoint(g.nodes, start), endpoint(g.nodes, end)
@@ -29,24 +29,36 @@ def shortest_path(g: Graph, start: str, end: str, most: int | None = None) -> Da
     if a == b:
         return spark.createDataFrame([(0, a)], "position bigint, id bigint")
     own = g.edges.where("source <> target")
-    # as much as one row in Spark's eyes, which doesn't know the size of local rows
-    frontier = spark.range(1).select(F.lit(a).cast("bigint").alias("id"), F.array(F.lit(a).cast("bigint")).alias("path"))
-    seen, level = frontier.select("id"), 0
+    # a side's last level (id, path: from the side's end on), its size, and all that it has seen
+    sides = [_first(spark, a), _first(spark, b)]
+    level = 0
     while most is None or level < most:
+        k = 0 if sides[0][1] <= sides[1][1] else 1
+        frontier, _, seen = sides[k]
         # edges are read where they lie, once from each end; a small frontier is broadcast, and repeats end in the aggregate
         out, into = (frontier.join(own.select(F.col(x).alias("id"), F.col(y).alias("peer")), "id") for x, y in (("source", "target"), ("target", "source")))
-        step = out.unionByName(into).select(F.col("peer").alias("id"), F.concat("path", F.array("peer")).alias("path"))
-        step = step.join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path"))
+        longer = F.concat("path", F.array("peer")) if k == 0 else F.concat(F.array("peer"), "path")
+        step = out.unionByName(into).select(F.col("peer").alias("id"), longer.alias("path")).join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path"))
         frontier = materialise(spark, step, "frontier")
-        hit = frontier.where(F.col("id") == b).select("path").take(1)
-        if hit:
-            return spark.createDataFrame(list(enumerate(hit[0].path)), "position bigint, id bigint")
-        if not frontier.take(1):
+        size, level = frontier.count(), level + 1
+        if not size:
             break
-        seen, level = seen.unionByName(frontier.select("id")), level + 1
+        sides[k] = frontier, size, seen.unionByName(frontier.select("id"))
+        # no path is as short as the levels before, so one that meets here is a shortest one
+        met = sides[0][0].select("id", F.col("path").alias("head")).join(sides[1][0], "id").select(F.concat("head", F.slice("path", F.lit(2), F.size("path"))).alias("path"))
+        hit = met.agg(F.min("path").alias("path")).first()
+        if hit.path:
+            return spark.createDataFrame(list(enumerate(hit.path)), "position bigint, id bigint")
     return none
 
 
+def _first(spark: SparkSession, node: int) -> tuple[DataFrame, int, DataFrame]:
+    """A side that has seen its own end only. A range, as Spark doesn't know the size of local rows."""
+    one = F.lit(node).cast("bigint")
+    own = spark.range(1).select(one.alias("id"), F.array(one).alias("path"))
+    return own, 1, own.select("id")
+
+
 def render_path(path: DataFrame, nodes: DataFrame) -> DataFrame:
     """One row: the labels joined by arrows, and the number of hops; no row without a path."""
     # a path is short: its nodes are found without a shuffle of all

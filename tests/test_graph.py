@@ -295,3 +295,25 @@ def test_bridges_hash_nodes_at_every_size(spark):
     plan = own._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
     assert [tuple(r) for r in own.collect()] == [(1, 2, "q", "EXTRACTED", 0, 1)]
+
+
+def test_smallest_shortest_path_is_found_from_both_ends(spark):
+    rng = random.Random(11)
+    for n, m in ((12, 18), (14, 16)):
+        pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+        near = {k: sorted({b for a, b in pairs if a == k} | {a for a, b in pairs if b == k}) for k in range(n)}
+        g, best, frontier = make(spark, n, ties(pairs)), {0: [0]}, [[0]]
+        while frontier:
+            found = sorted([*p, v] for p in frontier for v in near[p[-1]])
+            frontier = []
+            for p in found:
+                if p[-1] not in best:
+                    best[p[-1]] = p
+                    frontier.append(p)
+        far = max(best, key=lambda k: (len(best[k]), k))
+        lost = [k for k in range(n) if k not in best][:1]
+        assert len(best[far]) > 3
+        for end in [far, *lost]:
+            own = paths.shortest_path(g, "n0", f"n{end}").orderBy("position").collect()
+            assert [r.id for r in own] == best.get(end, [])
+        assert paths.shortest_path(g, "n0", f"n{far}", len(best[far]) - 2).count() == 0
