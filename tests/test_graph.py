@@ -317,3 +317,11 @@ def test_smallest_shortest_path_is_found_from_both_ends(spark):
             own = paths.shortest_path(g, "n0", f"n{end}").orderBy("position").collect()
             assert [r.id for r in own] == best.get(end, [])
         assert paths.shortest_path(g, "n0", f"n{far}", len(best[far]) - 2).count() == 0
+
+
+def test_wiki_of_whole_graphs_looks_up_no_ends(spark):
+    g = make(spark, 3, ties([(0, 1), (1, 2)]))
+    whole = g.with_(whole=True)
+    assert sorted(map(tuple, export.wiki(g).collect())) == sorted(map(tuple, export.wiki(whole).collect()))
+    plan = lambda own: own._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan(export.wiki(g)) and "LeftSemi" not in plan(export.wiki(whole))
