@@ -79,6 +79,18 @@ def test_an_update_writes_the_buckets_it_touches(spark):
     assert 0 < len(new) <= 10 < len(one["nodes"])  # those of the file's ten labels
 
 
+def test_an_update_writes_support_once(spark, monkeypatch):
+    written = []
+    real = incremental.materialise
+    monkeypatch.setattr(incremental, "materialise", lambda s, df, name: (written.append(name), real(s, df, name))[1])
+    state = incremental.State(spark)
+    nodes, edges = _support(spark, random.Random(2), {f"d{k}/f": k for k in range(5)})
+    incremental.update_support(state, nodes, edges)
+    assert written.count("fresh") == 2 and not {"support", "nodes", "labels", "edge-keys"} & set(written)  # a first version looks for no stored keys
+    incremental.update_support(state, nodes.where("path <> 'd1/f'"), edges.where("path <> 'd1/f'"))
+    assert "edge-keys" in written and not {"support", "nodes"} & set(written)
+
+
 def test_store_keeps_its_bound_and_second_chances(spark, tmp_path):
     s = store.Store(spark, f"file://{tmp_path}/store", 10)
     batch = lambda a, b: spark.range(a, b).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") * 2).alias("value"))
