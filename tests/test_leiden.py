@@ -99,6 +99,24 @@ def test_planted_groups_are_found_and_dealing_changes_nothing(spark):
     assert {r.id: r.label for r in leiden.leiden(pairs, rows=7).collect()} == got
 
 
+def test_what_a_large_sweep_reads_twice_is_written_and_left_nowhere(spark, monkeypatch):
+    held, names = {}, []
+    real, gone = leiden.materialise, leiden.discard
+
+    def made(s, df, name):
+        out = real(s, df, name)
+        names.append(name)
+        held[out._scratch] = name
+        return out
+
+    monkeypatch.setattr(leiden, "materialise", made)
+    monkeypatch.setattr(leiden, "discard", lambda *ts: ([held.pop(t._scratch) for t in ts], gone(*ts)))
+    pairs = spark.createDataFrame(planted(2, 8, 5), "a long, b long")
+    leiden.leiden(pairs, rows=7).count()
+    assert "leiden-movers" in names and "leiden-moved" in names
+    assert not {"leiden-movers", "leiden-moved"} & set(held.values())
+
+
 def test_no_links(spark):
     assert leiden.leiden(spark.createDataFrame([], "a long, b long")).collect() == []
 
