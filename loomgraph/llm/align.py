@@ -1,22 +1,22 @@
-"""Alignment of two tokenizers' tokens, in relations.
+"""Alignment of two tokenizers' tokens, and corpus-wide counts of linked ids.
 
 Tokens of A and B are cut into groups at the byte offsets where tokens of both end;
-tokens of one group are linked. The relations: tokens are exploded with their
-positions, windowed sums of their lengths give their ends, ends of both sides join
-on unit and end, running counts of those cuts number the groups, and tokens of a
-group are joined to links.
+tokens of one group are linked. Running sums of token lengths give the ends, ends
+that both sides have are the cuts, and a token's group is the number of cuts before
+its end.
 
 *Units.* This work isn't repeated for each occurrence of a word. A single space
 between characters that are neither white space nor U+2581 ends a token of either
 tokenizer, and what follows is cut into tokens as if nothing stood before it. So a
 text is a sequence of units between such spaces, no group crosses a unit's border,
-and each distinct unit of the corpus is tokenized and aligned once.
+and each distinct unit of a bundle is tokenized and aligned once.
 
-*Bundles.* To put results together again, texts are written as numbers in a
-dictionary of their bundle, which holds texts of up to ``BUNDLE`` characters, or
-one longer text. A unit's results are joined to each dictionary that has it, and a
-bundle's texts meet its dictionary in one task: what is shuffled are dictionaries,
-not occurrences. Corpus-wide counts of id pairs are sums over bundles.
+*Bundles* are texts of up to ``BUNDLE`` characters in a task, or one longer text. A
+text leaves its task as sums, a digest and the id pairs it holds linked, by their
+numbers in the bundle, with how many links each has. In how many documents a pair is
+linked is summed over bundles by Spark; these counts come back to each bundle's
+numbers by a join, and to its texts by another on the bundle. What is shuffled are
+pairs of a bundle and numbers of pairs, neither tokens nor units.
 
 Defined cases: texts that are null, empty, or whose joined token bytes differ from
 those of the space and the text, as with U+2581, have no tokens: zeros, and an empty
@@ -28,23 +28,23 @@ from __future__ import annotations
 
 import hashlib
 import re
-from contextlib import contextmanager
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import discard, materialise
+from ..session import materialise
 from .memory import tidy
-from .rows import number
 
 #: Characters of a bundle's texts.
-BUNDLE = 32 << 20
+BUNDLE = 16 << 20
+#: Units that are tokenized at once.
+AT_ONCE = 4096
 _MARK = "▁"
 _EDGE = re.compile(rf"[\s{_MARK}] | (?:[\s{_MARK}]|\Z)")
 _STABLE = re.compile(rf"(?<=[^\s{_MARK}]) (?=[^\s{_MARK}])")
@@ -85,6 +85,8 @@ class Tokenizers:
         n = self.b.get_piece_size()
         piece = [self.b.id_to_piece(i) for i in range(n)]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_MARK, " ").encode() for i, p in enumerate(piece)]
+        self.lengths = [np.array([len(x) for x in own], np.int64) for own in (self.a_bytes, self.b_bytes)]
+        self.names = [str(i) for i in range(max(size, n))]
 
     def encode(self, own: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         return [e.ids for e in self.a.encode_batch_fast([" " + u for u in own], add_special_tokens=False)], self.b.encode(own, num_threads=1)
@@ -95,227 +97,203 @@ def load(a: str, b: str) -> Tokenizers:
     return Tokenizers(a, b)
 
 
-# Units ----------------------------------------------------------------------------------------
+# Bundles --------------------------------------------------------------------------------------
+
+_SUMS, _FIGURES = ("n_a", "n_b", "n_groups", "n_links"), ("n_best", "count_sum")
 
 
-def _pack(words: np.ndarray) -> bytes:
+def _pack(numbers: np.ndarray) -> bytes:
     """Numbers as compressed bytes, behind their count."""
-    raw = np.ascontiguousarray(words.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-    return len(words).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    raw = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(numbers).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unpack(data: bytes) -> np.ndarray:
     n = int.from_bytes(data[:8], "little")
     if not n:
         return np.zeros(0, np.int64)
-    raw = np.frombuffer(pa.decompress(data[8:], 4 * n, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, n).T).view("<u4").ravel().astype(np.int64)
-
-
-def bundled(docs: DataFrame, key: str, text: str, most: int) -> DataFrame:
-    """Rows of two kinds, written once: bundle, seq, key, words of each text; bundle, idx, unit of each dictionary."""
+    raw = np.frombuffer(pa.decompress(data[8:], 8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, n).T).view("<u8").ravel().astype(np.int64)
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, … of each run, one after another."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+
+
+def _counted(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, and how often each comes, or the sum of its ``n``."""
+    names, at = np.unique(keys, return_inverse=True)
+    out = np.zeros(len(names), np.int64)
+    np.add.at(out, at, 1 if n is None else n)
+    return names, out
+
+
+def _faithful(both: Tokenizers, own: list[str], tokens: tuple[list[list[int]], list[list[int]]]) -> np.ndarray:
+    """Which units' token bytes are those of the space and the unit."""
+    ok = np.ones(len(own), bool)
+    data = [b" " + u.encode() for u in own]
+    sizes, whole = np.fromiter(map(len, data), np.int64, len(own)), b"".join(data)
+    for ids, of, length in zip(tokens, (both.a_bytes, both.b_bytes), both.lengths, strict=True):
+        flat = list(chain.from_iterable(ids))
+        upto = np.concatenate([[0], np.cumsum(length[flat])])[np.cumsum(list(map(len, ids)))] if flat else np.zeros(len(own), np.int64)
+        if (upto == np.cumsum(sizes)).all() and b"".join(map(of.__getitem__, flat)) == whole:
+            continue  # all of them, as is usual
+        ok &= np.fromiter((b"".join(map(of.__getitem__, r)) == x for r, x in zip(ids, data, strict=True)), bool, len(own))
+    return ok
+
+
+def aligned(both: Tokenizers, own: list[str]):
+    """For units: whether they have tokens, their sums, their groups as text, and unit, pair of ids, links of each pair in a unit."""
+    tokens = both.encode(own)
+    ok = _faithful(both, own, tokens)
+    good = np.flatnonzero(ok)
+    sums, texts = np.zeros((len(own), len(_SUMS)), np.int64), [b""] * len(own)
+    none = np.zeros(0, np.int64)
+    if not len(good):
+        return ok, sums, texts, (none, none, none)
+    ids, ends, last = [], [], None
+    for k, side in enumerate(tokens):
+        flat = np.fromiter(chain.from_iterable(side[u] for u in good.tolist()), np.int64)
+        ids.append(flat)
+        ends.append(np.cumsum(both.lengths[k][flat]))  # units lie one behind another, equally long on both sides
+    last = ends[0][np.cumsum([len(tokens[0][u]) for u in good.tolist()]) - 1]
+    cuts = np.intersect1d(*ends)
+    unit = good[np.searchsorted(last, cuts)]
+    group = [np.searchsorted(cuts, e) for e in ends]
+    size = [np.bincount(g, minlength=len(cuts)) for g in group]
+    for k, n in enumerate((size[0], size[1], np.ones(len(cuts), np.int64), size[0] * size[1])):
+        np.add.at(sums[:, k], unit, n)
+
+    names, (at_a, at_b) = both.names, (np.cumsum(n).tolist() for n in size)
+    a, b = (list(map(names.__getitem__, i.tolist())) for i in ids)
+    i = j = 0
+    for u, p, q in zip(unit.tolist(), at_a, at_b, strict=True):
+        here = f"{','.join(a[i:p])}|{','.join(b[j:q])}".encode()
+        texts[u] = texts[u] + b";" + here if texts[u] else here
+        i, j = p, q
+
+    # ids that a group holds more than once meet once, with the product of their numbers
+    (one, n_a), (two, n_b) = (_counted(g << 32 | i) for g, i in zip(group, ids, strict=True))
+    first = np.searchsorted(two >> 32, np.arange(len(cuts) + 1))
+    met = np.diff(first)[one >> 32]
+    at = _spread(first[one >> 32], met)
+    pairs = (np.repeat(one, met) & 0xFFFFFFFF) << 32 | two[at] & 0xFFFFFFFF
+    kinds, of = np.unique(pairs, return_inverse=True)
+    found, n = _counted(np.repeat(unit[one >> 32], met) * len(kinds) + of, np.repeat(n_a, met) * n_b[at])
+    return ok, sums, texts, (found // len(kinds), kinds[found % len(kinds)], n)
+
+
+class Bundle:
+    """The units of some texts, each tokenized and aligned once, and the id pairs they hold, by number."""
+
+    def __init__(self, both: Tokenizers):
+        self.both, self.known, self.texts = both, {}, []
+        self.ok, self.sums = np.zeros(0, bool), np.zeros((0, len(_SUMS)), np.int64)
+        self.starts, self.held, self.links = np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.numbers: dict[int, int] = {}
+        self.found = np.zeros(0, np.int64)
+
+    def add(self, new: list[str]) -> None:
+        parts = [(self.ok, self.sums, self.starts, self.held, self.links)]
+        end = int(self.starts[-1])
+        for lo in range(0, len(new), AT_ONCE):
+            own = new[lo : lo + AT_ONCE]
+            ok, sums, texts, (unit, pair, n) = aligned(self.both, own)
+            names, at = np.unique(pair, return_inverse=True)
+            held = np.array([self.numbers.setdefault(x, len(self.numbers)) for x in names.tolist()], np.int32)[at]
+            parts.append((ok, sums, end + np.cumsum(np.bincount(unit, minlength=len(own))), held, n.astype(np.int32)))
+            end += len(pair)
+            self.texts += texts
+        self.ok, self.sums, self.starts, self.held, self.links = map(np.concatenate, zip(*parts, strict=True))
+        self.found = np.concatenate([self.found, np.zeros(len(self.numbers) - len(self.found), np.int64)])
+
+    def take(self, texts: list[str]) -> list[tuple]:
+        """Sums, digest, numbers of pairs and links of each text."""
+        split = [units(t) for t in texts]
+        new = [u for u in dict.fromkeys(chain.from_iterable(split)) if u not in self.known]
+        if new:
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            self.add(new)
+        out, none = [], _pack(np.zeros(0, np.int64))
+        for own in split:
+            words = np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))
+            if not len(words) or not self.ok[words].all():
+                out.append(([0] * len(_SUMS), "", none, none))
+                continue
+            digest = hashlib.sha256()
+            for lo in range(0, len(words), 1 << 16):  # a text's groups aren't put together in memory
+                digest.update(b";" * (lo > 0) + b";".join(map(self.texts.__getitem__, words[lo : lo + (1 << 16)].tolist())))
+            at = _spread(self.starts[words], self.starts[words + 1] - self.starts[words])
+            held, n = _counted(self.held[at], self.links[at])
+            self.found[held] += 1
+            out.append((self.sums[words].sum(axis=0).tolist(), digest.hexdigest(), _pack(np.diff(held, prepend=0)), _pack(n)))
+        return out
+
+
+def bundled(docs: DataFrame, a: str, b: str, key: str, text: str, most: int) -> DataFrame:
+    """Rows of two kinds, written once: bundle, key, sums, digest, held and links of each text; bundle, number, pair, n of each id pair: in how many of the bundle's texts it is linked."""
     slim = docs.select(F.col(f"`{key}`").alias("__key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
-    schema = T.StructType([T.StructField("bundle", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("idx", T.IntegerType()), T.StructField("unit", T.StringType()), T.StructField("key", slim.schema["__key"].dataType), T.StructField("words", T.BinaryType())])
-
-    def run(batches):
-        task, made = TaskContext.get().partitionId(), 0
-        known: dict[str, int] = {}
-        held = seq = 0
-
-        def dictionary():
-            at = (task << 20) + made
-            names = list(known)
-            for lo in range(0, len(names), 20_000):
-                part = names[lo : lo + 20_000]
-                n = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, at)), pa.nulls(n, pa.int64()), pa.array(np.arange(lo, lo + n, dtype=np.int32)), pa.array(part, pa.string()), pa.nulls(n, kind), pa.nulls(n, pa.binary())], names=schema.names)
-
-        for b in batches:
-            kind = b.column(0).type
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                words = []
-                for t in part.column(1).to_pylist():
-                    own = units(t)
-                    for u in own:
-                        if u not in known:
-                            known[u] = len(known)
-                    words.append(_pack(np.fromiter(map(known.__getitem__, own), np.uint32, len(own))))
-                    held += len(t)
-                n = len(words)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, (task << 20) + made)), pa.array(np.arange(seq, seq + n)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), part.column(0), pa.array(words, pa.binary())], names=schema.names)
-                seq += n
-                if held >= most:
-                    yield from dictionary()
-                    known.clear()
-                    held, seq, made = 0, 0, made + 1
-        if known:
-            yield from dictionary()
-
-    return materialise(docs.sparkSession, slim.mapInArrow(tidy(run), schema), "bundled")
-
-
-def tokenized(names: DataFrame, a: str, b: str) -> DataFrame:
-    """uid, unit, ok, and ids and lengths of both sides' tokens, of each distinct unit; written once."""
+    long, raw = T.LongType(), T.BinaryType()
+    kinds = {"bundle": long, "key": slim.schema["__key"].dataType} | {c: long for c in _SUMS} | {"digest": T.StringType(), "held": raw, "links": raw, "number": long, "pair": long, "n": long}
+    schema = T.StructType([T.StructField(c, t) for c, t in kinds.items()])
 
     def run(batches):
         both = load(a, b)
-        for x in batches:
-            for lo in range(0, x.num_rows, 2000):
-                part = x.column(0).slice(lo, 2000)
-                own = part.to_pylist()
-                found = both.encode(own)
-                cols, ok = [], np.ones(len(own), bool)
-                for ids, of in zip(found, (both.a_bytes, both.b_bytes), strict=True):
-                    ends = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-                    flat = [of[i] for r in ids for i in r]
-                    for k, u in enumerate(own):
-                        ok[k] &= b"".join(flat[ends[k] : ends[k + 1]]) == (" " + u).encode()
-                    for values in ([i for r in ids for i in r], [len(y) for y in flat]):
-                        cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int32())))
-                yield pa.RecordBatch.from_arrays([part, pa.array(ok), *cols], names=["unit", "ok", "a", "a_len", "b", "b_len"])
-
-    rows = names.mapInArrow(tidy(run), "unit string, ok boolean, a array<int>, a_len array<int>, b array<int>, b_len array<int>")
-    return materialise(names.sparkSession, rows.select(number().alias("uid"), "*"), "units")
-
-
-# Alignment ------------------------------------------------------------------------------------
-
-
-def token_ends(own: DataFrame, side: str) -> DataFrame:
-    """uid, end, and the id that ends there. own: dealt out by uid."""
-    rows = own.select("uid", F.posexplode(F.arrays_zip(F.col(side).alias("id"), F.col(f"{side}_len").alias("len"))).alias("pos", "t"))
-    upto = Window.partitionBy("uid").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("uid", F.sum("t.len").over(upto).alias("end"), F.col("t.id").alias(side))
-
-
-def _grouped(own: DataFrame, other: DataFrame, side: str) -> DataFrame:
-    """uid, group, and the ids of one side in it: a token's group is how many common ends lie before its own."""
-    met = own.join(other.select("uid", "end", F.lit(1).alias("cut")), ["uid", "end"], "left").withColumn("cut", F.coalesce("cut", F.lit(0)))
-    upto = Window.partitionBy("uid").orderBy("end").rowsBetween(Window.unboundedPreceding, 0)
-    placed = met.withColumn("group", F.sum("cut").over(upto) - F.col("cut"))
-    ids = F.array_sort(F.collect_list(F.struct("end", F.col(side).alias("id"))))
-    return placed.groupBy("uid", "group").agg(ids.alias("t")).select("uid", "group", F.col("t.id").alias(side))
-
-
-def aligned(own: DataFrame) -> DataFrame:
-    """For each uid: n_a, n_b, n_groups, n_links, groups (written out), links (pair of ids, n).
-
-    Units are dealt out by uid once, and all joins and windows go by it. A group's
-    tokens are gathered in a row, as long as the stretch of text without a common end.
-    """
-    dealt = own.where("ok").select("uid", "a", "a_len", "b", "b_len").repartition("uid")
-    a, b = token_ends(dealt, "a"), token_ends(dealt, "b")
-    groups = _grouped(a, b, "a").join(_grouped(b, a, "b"), ["uid", "group"])
-    times = lambda c, x: F.size(F.filter(c, lambda y: y == x)).cast("bigint")
-    pairs = F.flatten(F.transform(F.array_distinct("a"), lambda x: F.transform(F.array_distinct("b"), lambda y: F.struct(pair(x, y).alias("pair"), (times("a", x) * times("b", y)).alias("n")))))
-    written = F.concat_ws("|", F.array_join(F.col("a").cast("array<string>"), ","), F.array_join(F.col("b").cast("array<string>"), ","))
-    one = groups.select("uid", F.struct("group", written.alias("text")).alias("text"), F.size("a").cast("bigint").alias("size_a"), F.size("b").cast("bigint").alias("size_b"), pairs.alias("links"))
-    return one.groupBy("uid").agg(
-        F.sum("size_a").alias("n_a"), F.sum("size_b").alias("n_b"), F.count("*").alias("n_groups"), F.sum(F.col("size_a") * F.col("size_b")).alias("n_links"),
-        F.array_join(F.array_sort(F.collect_list("text")).getField("text"), ";").alias("groups"), F.flatten(F.collect_list("links")).alias("links"),
-    )
-
-
-@contextmanager
-def dealt_by_some_keys(spark: SparkSession):
-    """While a table is written: rows that are dealt out by one of several join keys aren't dealt out again."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
-def pair(a: Column, b: Column) -> Column:
-    return F.shiftleft(a.cast("bigint"), 32).bitwiseOR(b.cast("bigint"))
-
-
-# Bundles --------------------------------------------------------------------------------------
-
-
-def _ordered(t: pa.Table) -> pa.Table:
-    return t.sort_by("idx").combine_chunks()
+        task, made, held, now = TaskContext.get().partitionId(), 0, 0, Bundle(both)
 
+        def pairs():
+            n = len(now.numbers)
+            own = [pa.nulls(n, kind), *[pa.nulls(n, pa.int64()) for _ in _SUMS], pa.nulls(n, pa.string()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())]
+            names = pa.array(now.numbers.keys(), pa.int64())
+            yield from pa.table([pa.array(np.full(n, (task << 20) + made)), *own, pa.array(np.arange(n)), names, pa.array(now.found)], names=schema.names).to_batches(20_000)
 
-_SUMS, _FIGURES = ("n_a", "n_b", "n_groups", "n_links"), ("n_best", "count_sum")
-
+        for x in batches:
+            kind = x.column(0).type
+            for lo in range(0, x.num_rows, 256):
+                part = x.slice(lo, 256)
+                texts = part.column(1).to_pylist()
+                n, rows = len(texts), now.take(texts)
+                sums = np.array([r[0] for r in rows], np.int64)
+                own = [*[pa.array(sums[:, k]) for k in range(len(_SUMS))], pa.array([r[1] for r in rows], pa.string()), *[pa.array([r[k] for r in rows], pa.binary()) for k in (2, 3)]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, (task << 20) + made)), part.column(0), *own, *[pa.nulls(n, pa.int64())] * 3], names=schema.names)
+                held += sum(map(len, texts))
+                if held >= most:
+                    yield from pairs()
+                    held, made, now = 0, made + 1, Bundle(both)
+        if now.numbers:
+            yield from pairs()
 
-def _table(own: pa.Table, columns: tuple[str, ...]) -> np.ndarray:
-    return np.stack([own.column(c).fill_null(0).to_numpy() for c in columns], axis=1) if own.num_rows else np.zeros((0, len(columns)), np.int64)
-
-
-def _counted(left: pa.Table, right: pa.Table) -> pa.Table:
-    """seq, sums and digest of each text of a bundle; pair, n: in how many of them each pair of ids is linked."""
-    own = _ordered(right)
-    bad = np.array(own.column("groups").is_null(), bool)
-    groups = [(g or "").encode() for g in own.column("groups").to_pylist()]
-    lists = own.column("pairs").combine_chunks()
-    sizes = np.array(pc.list_value_length(lists).fill_null(0), np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    names, local = np.unique(np.asarray(lists.flatten(), np.int64), return_inverse=True)
-    figures, found = _table(own, _SUMS), np.zeros(len(names), np.int64)
-    sums, digests = np.zeros((left.num_rows, len(_SUMS)), np.int64), []
-    for k, data in enumerate(left.column("words")):
-        words = _unpack(data.as_py())
-        if not len(words) or bad[words].any():
-            digests.append("")
-            continue
-        sums[k] = figures[words].sum(axis=0)
-        digest = hashlib.sha256()
-        for lo in range(0, len(words), 1 << 16):  # a text's groups aren't put together in memory
-            digest.update(b";" * (lo > 0) + b";".join(map(groups.__getitem__, words[lo : lo + (1 << 16)].tolist())))
-        digests.append(digest.hexdigest())
-        once = np.unique(words)
-        n = sizes[once]
-        at = np.repeat(starts[once] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        found[np.unique(local[at])] += 1
-    keep = np.flatnonzero(found)
-    t, p = left.num_rows, len(keep)
-    none = lambda kind, n: pa.nulls(n, kind)
-    both = lambda x, y: pa.chunked_array([x, y])
-    out = {"bundle": both(left.column("bundle").combine_chunks(), none(pa.int64(), p)), "seq": both(left.column("seq").combine_chunks(), none(pa.int64(), p))}
-    out |= {c: both(pa.array(sums[:, k]), none(pa.int64(), p)) for k, c in enumerate(_SUMS)}
-    return pa.table(out | {"digest": both(pa.array(digests, pa.string()), none(pa.string(), p)), "pair": both(none(pa.int64(), t), pa.array(names[keep])), "n": both(none(pa.int64(), t), pa.array(found[keep]))})
+    return materialise(docs.sparkSession, slim.mapInArrow(tidy(run), schema), "bundled")
 
 
 def _summed(left: pa.Table, right: pa.Table) -> pa.Table:
-    """n_best and count_sum of each text of a bundle; only for those that have tokens they mean something."""
-    figures = _table(_ordered(right), _FIGURES)
-    sums = np.array([figures[_unpack(d.as_py())].sum(axis=0) for d in left.column("words")], np.int64).reshape(-1, len(_FIGURES))
-    return pa.table({"bundle": left.column("bundle"), "seq": left.column("seq"), **{c: pa.array(sums[:, k]) for k, c in enumerate(_FIGURES)}})
+    """n_best and count_sum of each text of a bundle, from its pairs' counts."""
+    count, best = np.zeros(right.num_rows, np.int64), np.zeros(right.num_rows, np.int64)
+    at = right.column("number").to_numpy()
+    count[at], best[at] = right.column("n_docs").to_numpy(), np.asarray(right.column("best").to_numpy(), np.int64)
+    sums = np.zeros((left.num_rows, 2), np.int64)
+    for k, (held, links) in enumerate(zip(left.column("held"), left.column("links"), strict=True)):
+        own, n = np.cumsum(_unpack(held.as_py())), _unpack(links.as_py())
+        sums[k] = (n * best[own]).sum(), (n * count[own]).sum()
+    out = left.select(["key", *_SUMS, "digest"])
+    for k, c in enumerate(_FIGURES):
+        out = out.append_column(c, pa.array(sums[:, k]))
+    return out
 
 
 def align(docs: DataFrame, a: str, b: str, key: str = "doc_id", text: str = "text", bundle: int = BUNDLE) -> tuple[DataFrame, DataFrame]:
     """For every row its key, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256; and the corpus' pairs a_id, b_id, n_docs, best (of the A id)."""
     spark = docs.sparkSession
-    work = bundled(docs, key, text, bundle)
-    texts, entries = work.where("words IS NOT NULL").select("bundle", "seq", "words"), work.where("unit IS NOT NULL").select("bundle", "idx", "unit")
-    own = tokenized(entries.select("unit").distinct(), a, b)
-    entries = materialise(spark, entries.join(own.select("unit", "uid"), "unit").select("bundle", "idx", "uid"), "entries")
-    with dealt_by_some_keys(spark):
-        done = materialise(spark, aligned(own), "aligned")
-    discard(own)
-
-    full = done.select("uid", *_SUMS, "groups", F.array_distinct(F.col("links.pair")).alias("pairs"))
-    met = texts.groupBy("bundle").cogroup(entries.join(full, "uid", "left").select("bundle", "idx", *_SUMS, "groups", "pairs").groupBy("bundle"))
-    longs = ", ".join(f"{c} long" for c in ("bundle", "seq", *_SUMS))
-    first = materialise(spark, met.applyInArrow(_counted, f"{longs}, digest string, pair long, n long"), "counted")
-    counts = materialise(spark, first.where("pair IS NOT NULL").groupBy("pair").agg(F.sum("n").alias("n_docs")), "pairs")
+    work = bundled(docs, a, b, key, text, bundle)
+    texts, pairs = work.where("pair IS NULL").select("bundle", "key", *_SUMS, "digest", "held", "links"), work.where("pair IS NOT NULL").select("bundle", "number", "pair", "n")
+    counts = materialise(spark, pairs.groupBy("pair").agg(F.sum("n").alias("n_docs")), "pairs")
     best = counts.groupBy(F.shiftright("pair", 32).alias("a_id")).agg(F.max("n_docs").alias("most"))
     counts = counts.withColumn("a_id", F.shiftright("pair", 32)).join(best, "a_id")
     counts = materialise(spark, counts.select("pair", "n_docs", (F.col("n_docs") == F.col("most")).alias("best")), "pairs")
-
-    links = done.select("uid", F.explode("links").alias("l")).select("uid", "l.pair", "l.n").join(counts, "pair")
-    figures = links.groupBy("uid").agg(F.sum(F.col("n") * F.col("best").cast("bigint")).alias("n_best"), F.sum(F.col("n") * F.col("n_docs")).alias("count_sum"))
-    met = texts.groupBy("bundle").cogroup(entries.join(figures, "uid", "left").select("bundle", "idx", *_FIGURES).groupBy("bundle"))
-    second = met.applyInArrow(_summed, "bundle long, seq long, n_best long, count_sum long")
-    keys = work.where("words IS NOT NULL").select("bundle", "seq", "key")
-    out = first.where("pair IS NULL").drop("pair", "n").join(second, ["bundle", "seq"]).join(keys, ["bundle", "seq"])
-    known = F.col("digest") != ""
-    figures_of = [F.when(known, F.col(c)).otherwise(F.lit(0)).cast("bigint").alias(c) for c in _FIGURES]
-    out = out.select(F.col("key").alias(key), *_SUMS, *figures_of, F.col("digest").alias("groups_sha256"))
+    own = pairs.join(counts, "pair").select(F.col("bundle").alias("own_bundle"), "number", "n_docs", "best")
+    kinds = T.StructType([texts.schema[c] for c in ("key", *_SUMS, "digest")] + [T.StructField(c, T.LongType()) for c in _FIGURES])
+    out = texts.groupBy("bundle").cogroup(own.groupBy("own_bundle")).applyInArrow(_summed, kinds)
+    out = out.select(F.col("key").alias(key), *_SUMS, *_FIGURES, F.col("digest").alias("groups_sha256"))
     table = counts.select(F.shiftright("pair", 32).cast("int").alias("a_id"), F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("b_id"), "n_docs", "best")
     return out, table

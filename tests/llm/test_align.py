@@ -97,3 +97,17 @@ def test_units_are_the_text():
 def test_query_on_tables(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert result(queries.queries()["op12_alignment"](spark, sf)) == plain(rows)
+
+
+def test_less_is_shuffled_than_the_texts(spark):
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    size, before = docs.selectExpr("sum(octet_length(text))").first()[0], shuffled()
+    out, _ = align.align(docs, A, B)
+    assert out.count() == docs.count()
+    assert shuffled() - before < size
