@@ -11,6 +11,12 @@ of its own band and visits those of the band below. The order puts frequent shin
 last, by a table of ``BUCKETS`` counts over all texts, which has one size whatever
 the corpus; a wrong guess of frequency costs comparisons, never a link.
 
+*Company.* Prefixes that are longer by some shingles have to share as many more. So
+the prefix of each set is longer by one for every ``EXTRA`` shingles that a set like it
+has to share, and sets of which too few first shingles are in another prefix leave
+before there are tiles: those that met others by shingles whose frequency was guessed
+wrong.
+
 *Signatures.* Rows of tiles carry a hashed bitmap of the set. A bit that only one of
 two sets has stands for a shingle, at least, that the other lacks, so bit counts
 bound from above what two sets share. The join that meets the tiles leaves out pairs
@@ -18,9 +24,11 @@ that the small map of fixed size rules out; maps of four bits for each shingle r
 out most others. What is left is decided on the sorted arrays of both sets.
 
 *Not all pairs.* What matters is who is reachable. First every set of a tile meets the
-one that has most company, as the text that others were copied from does; then only
-sets in different components meet. So a large group of near copies costs a comparison
-for each set and tile, and no link between two components is left out.
+one that has most company, its *hub*, as the text that others were copied from does. Near copies
+share dozens of tiles with one hub, so tiles of a band that have the same hub are put
+together: what meets in any of them meets once. Then only sets in different components
+meet. So a large group of near copies costs a comparison for each set, and no link
+between two components is left out.
 
 Defined cases: fewer than ``size`` words are one shingle; texts without words, and
 null, have the empty set and are linked with nothing; every row of an id that
@@ -51,6 +59,8 @@ SHINGLE = 4
 OVER, UNDER = 17, 20
 #: Counts that the order of shingles rests on; a power of two.
 BUCKETS = 1 << 18
+#: A set's prefix is longer by one shingle for so many that it has to share.
+EXTRA = 20
 #: 64-bit words of a small map; a power of two.
 WORDS = 8
 _SHIFT = np.uint64(64 - BUCKETS.bit_length() + 1)
@@ -81,8 +91,13 @@ def frequencies(named: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+def fewest(n, over: int, under: int):
+    """How many first shingles two sets share at least, if both have ``n``; no more than what they share."""
+    return 1 + n * over // under // EXTRA
+
+
 def sketches(named: DataFrame, size: int, over: int, under: int) -> DataFrame:
-    """__row, set (128 bits of it), n (its size), keys (the first shingles in the order), bits (its bitmap), small (its small map)."""
+    """__row, set (128 bits of it), n (its size), keys (the first shingles in the order, ``fewest`` of its size more than a pair has to share one of, less one), bits (its bitmap), small (its small map)."""
     sent = named.sparkSession.sparkContext.broadcast(frequencies(named, size).astype(np.int64))
 
     def run(batches):
@@ -93,7 +108,7 @@ def sketches(named: DataFrame, size: int, over: int, under: int) -> DataFrame:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
                 sets = [shingles(t, memo, size) for t in part.column(1).to_pylist()]
-                first = [s[np.lexsort((s, counts[(s >> _SHIFT).astype(np.int64)]))[: len(s) + (-over * len(s)) // under + 1]] if len(s) else s for s in sets]
+                first = [s[np.lexsort((s, counts[(s >> _SHIFT).astype(np.int64)]))[: len(s) + (-over * len(s)) // under + fewest(len(s), over, under)]] if len(s) else s for s in sets]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in first])])
                 keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first).view(np.int64)))
                 small = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * WORDS, pa.int32()), pa.array(small_maps(sets, WORDS).ravel()))
@@ -168,39 +183,48 @@ def classes(named: DataFrame, size: int = SHINGLE, over: int = OVER, under: int
     nodes = own.where("n > 0").groupBy("set").agg(F.min("__row").alias("node"), F.count("*").alias("copies"))
     nodes = materialise(spark, nodes, "sets")
     light = own.join(nodes.select(F.col("node").alias("__row")), "__row", "left_semi").withColumnRenamed("__row", "node")
-    keys = light.select("node", "n", F.explode("keys").alias("item"))
+    keys = light.select("node", "n", F.posexplode("keys").alias("pos", "item"))
     shared = keys.groupBy("item").agg(F.count("*").alias("count")).where("count > 1")
     shared = materialise(spark, shared, "shared")
     total = shared.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     often = frequent(shared, "item", "count", total)
-    met = materialise(spark, salted_join(keys, shared, ["item"], often, ["node"]), "met")
-    light = materialise(spark, light.join(met.select("node").distinct(), "node", "left_semi").select("node", "n", "bits", "small"), "light")
+    met = materialise(spark, salted_join(keys, shared.hint("merge"), ["item"], often, ["node"]), "met")  # one way at every size
+    # a set similar to one of n has n * over / under shingles or more
+    enough = F.expr(f"1 + (n * {over} div {under}) * {over} div {under} div {EXTRA}")
+    company = met.groupBy("node", "n").agg(F.count("*").alias("met"), F.sum("count").alias("degree")).where(F.col("met") >= enough)
+    company = materialise(spark, company.select("node", "degree"), "company")
+    light = materialise(spark, light.join(company.select("node"), "node", "left_semi").select("node", "n", "bits", "small"), "light")
 
     # tiles: residents, and visitors from the band above
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(under / over)).cast("int")
-    degrees = met.groupBy("node").agg(F.sum("count").alias("degree"))
-    tiles = met.drop("count").join(degrees, "node").withColumn("own", band).withColumn("band", F.explode(F.array("own", F.col("own") - 1)))
+    first = met.where(F.expr(f"pos <= n - (n * {over} + {under} - 1) div {under}")).drop("count", "pos")
+    tiles = first.join(company, "node").withColumn("own", band).withColumn("band", F.explode(F.array("own", F.col("own") - 1)))
     tiles = materialise(spark, tiles, "tiles")
+    discard(met)
     size_of = tiles.groupBy("item", "band").agg(F.max(F.struct("degree", "node", "n")).alias("top"), F.count("*").alias("count"))
     hubs = materialise(spark, size_of.where("count > 1").select("item", "band", F.col("top.node").alias("hub"), F.col("top.n").alias("hub_n")), "hubs")
-    tiles = materialise(spark, salted_join(tiles.drop("degree"), hubs, ["item", "band"], often, ["node"]), "tiles")
-    near = tiles.where((F.col("node") != F.col("hub")) & (F.least("n", "hub_n") * under >= F.greatest("n", "hub_n") * over))
+    led = salted_join(tiles.drop("degree"), hubs, ["item", "band"], often, ["node"]).select("hub", "hub_n", "band", "own", "node", "n").distinct()
+    led = materialise(spark, led, "led")
+    discard(tiles, hubs)
+    near = led.where((F.col("node") != F.col("hub")) & (F.least("n", "hub_n") * under >= F.greatest("n", "hub_n") * over))
     stars = verified(near.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), light, named, size, over, under)
 
     linked = materialise(spark, components(stars), "linked")
     label = F.coalesce("root", "node")
-    labelled = tiles.join(linked, "node", "left").select("item", "band", "own", "node", "n", "hub", label.alias("label"))
+    labelled = led.join(linked, "node", "left").select("hub", "band", "own", "node", "n", label.alias("label"))
     labelled = materialise(spark, labelled, "labelled")
-    # a tile whose sets are all in one component is done
-    per = labelled.groupBy("item", "band").agg(F.max(F.when(F.col("node") == F.col("hub"), F.col("label"))).alias("hub_label"), F.min("label").alias("least"), F.max("label").alias("most"))
-    mixed = per.where("least <> most").select("item", "band", "hub_label")
-    rest = salted_join(labelled.drop("hub"), mixed, ["item", "band"], often, ["node"])
+    # a hub whose sets are all in one component is done
+    per = labelled.groupBy("hub", "band").agg(F.max(F.when(F.col("node") == F.col("hub"), F.col("label"))).alias("hub_label"), F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("count"))
+    mixed = materialise(spark, per.where("least <> most").select("hub", "band", "hub_label", "count"), "mixed")
+    followed = mixed.groupBy("hub").agg(F.sum("count").alias("count"))
+    often = frequent(followed, "hub", "count", labelled.count())
+    rest = salted_join(labelled, mixed.drop("count"), ["hub", "band"], often, ["node"])
     rest = materialise(spark, rest.join(light.select("node", *map_words(WORDS)), "node"), "rest")
-    discard(met, tiles, labelled)
-    x, y = rest.where("label <> hub_label").alias("x"), rest.alias("y")
+    discard(led, labelled)
+    x, y = rest.where("label <> hub_label").alias("x"), rest.where("node <> hub").alias("y")
     fits = F.expr(f"least(x.n, y.n) * {under} >= greatest(x.n, y.n) * {over}")
-    # a pair of visitors meets in its own band's tile
-    once = F.expr("x.item = y.item AND x.band = y.band AND x.label <> y.label AND (y.label = y.hub_label OR x.node < y.node) AND (x.own = x.band OR y.own = y.band)")
+    # a pair of visitors meets in its own band
+    once = F.expr("x.hub = y.hub AND x.band = y.band AND x.label <> y.label AND (y.label = y.hub_label OR x.node < y.node) AND (x.own = x.band OR y.own = y.band)")
     others = x.join(y, once & fits & may_share("x", "y", over, under, WORDS))
     second = verified(others.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct(), light, named, size, over, under)
     reached = materialise(spark, components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second)), "reached")

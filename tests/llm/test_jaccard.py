@@ -65,3 +65,17 @@ def test_a_large_group_of_near_copies(spark):
 def test_query_on_tables(spark, table):
     rows = [tuple(r) for r in spark.read.parquet(f"/root/testdata/{table}/documents.parquet").select("doc_id", "text").collect()]
     assert result(queries.queries()["op11_ngram_jaccard"](spark, f"/root/testdata/{table}")) == sorted(map(str, plain(rows)))
+
+
+def test_near_copies_meet_once(spark, monkeypatch):
+    counts, write = {}, jaccard.materialise
+
+    def counted(session, df, name):
+        out = write(session, df, name)
+        counts[name] = max(counts.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "materialise", counted)
+    rows = [(k, t, "s") for k, t in enumerate(_texts(8, 1, 100, 14))]
+    jaccard.groups(spark.createDataFrame(rows, DOCS))
+    assert 0 < counts["labelled"] < 8 * len(rows)
