@@ -117,6 +117,19 @@ def test_what_a_large_sweep_reads_twice_is_written_and_left_nowhere(spark, monke
     assert not {"leiden-movers", "leiden-moved"} & set(held.values())
 
 
+def test_spokes_join_their_hub_at_once_and_ends_are_looked_up_once(spark, monkeypatch):
+    made, asked = {}, []
+    real, ends = leiden.materialise, leiden._ends
+    monkeypatch.setattr(leiden, "materialise", lambda s, df, name: made.setdefault(name, []).append(real(s, df, name)) or made[name][-1])
+    monkeypatch.setattr(leiden, "_ends", lambda *a: asked.append(1) or ends(*a))
+    links = [(hub * 41, hub * 41 + k) for hub in range(4) for k in range(1, 41)] + [(0, 41), (41, 82), (82, 123)]
+    got = {r.id: r.label for r in leiden.leiden(spark.createDataFrame(links, "a long, b long"), rows=100).collect()}
+    assert len(got) == 164 and all(got[k] == got[k // 41 * 41] for k in range(164)) and len(set(got.values())) == 4
+    parts = made["leiden-parts"][0]
+    assert parts.select("node").distinct().count() < 60  # one bit for each node left about half of the spokes apart
+    assert len(asked) == len(made["leiden-parts"]) + 1  # once a level
+
+
 def test_no_links(spark):
     assert leiden.leiden(spark.createDataFrame([], "a long, b long")).collect() == []
 
