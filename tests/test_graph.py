@@ -325,3 +325,19 @@ def test_wiki_of_whole_graphs_looks_up_no_ends(spark):
     assert sorted(map(tuple, export.wiki(g).collect())) == sorted(map(tuple, export.wiki(whole).collect()))
     plan = lambda own: own._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan(export.wiki(g)) and "LeftSemi" not in plan(export.wiki(whole))
+
+
+@pytest.mark.parametrize("n", [0, 1, 2500])
+def test_digests_of_the_wiki_are_those_of_its_texts(spark, n):
+    import hashlib
+
+    from loomgraph.plans import queries
+
+    rows = [(k * 7919 % 2503, f"é[{k}]\n" if k % 3 else "", "f", 0, 0, k, k) for k in range(n)]
+    g = graph_of(spark.createDataFrame(rows, NODE), spark.createDataFrame(ties([(rows[k][0], rows[0][0]) for k in range(0, n, 50)]), EDGE))
+    want = {r.file: hashlib.sha256(r.content.encode()).hexdigest() for r in export.wiki(g).collect()}
+    got = export.wiki_digests(g)
+    assert {r.file: r.digest for r in got.collect()} == want and len(want) == n + 1
+    # no list of all nodes, and the query takes this way
+    plan = lambda own: own._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [collect_list" not in plan(got) and "wiki_digests" in queries.wiki_pages.__code__.co_names
