@@ -22,16 +22,19 @@ def classify(ours: DataFrame, golden: DataFrame) -> DataFrame:
     return sided(ours, golden.select(*key)).groupBy(*key).agg(status.alias("status"))
 
 
-def classify_edges(ours: Graph, golden: Graph) -> DataFrame:
-    """As ``classify`` of both graphs' edges by labels and relation, under the names source, target and relation; whole graphs' edges keep their ids, which ``named_edges`` turns into labels."""
+def classify_edges(ours: Graph, golden: Graph, by: str | None = None) -> DataFrame:
+    """As ``classify`` of both graphs' edges by labels and relation, under the names source, target and relation; whole graphs' edges keep their ids, which ``named_edges`` turns into labels. by: the end that rows lie by, so that a join on it doesn't shuffle them again."""
     key = ["source", "target", "relation"]
     status = F.element_at(F.array(F.lit("extra"), F.lit("missing"), F.lit("matched")), sides_of())
-    return keyed_sides(ours, golden).groupBy(*key).agg(status.alias("status"))
+    sides = keyed_sides(ours, golden)
+    if by:
+        sides = sides.select(*key, "side").repartition(by)
+    return sides.groupBy(*key).agg(status.alias("status"))
 
 
 def named_edges(classified: DataFrame, ours: Graph, golden: Graph) -> DataFrame:
     """Edges of ``classify_edges`` with labels, as ``classify`` has them."""
-    return with_labels(classified, ours, golden).withColumnsRenamed({"source": "source_label", "target": "target_label"})
+    return with_labels(classified, ours, golden, ends=("source", "target")).withColumnsRenamed({"source": "source_label", "target": "target_label"})
 
 
 def regression_free(*classified: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.model import SchemaError, graph_of
-from loomgraph.operators import analytics, build, components, export, neighbourhood, paths, search, trust
+from loomgraph.operators import analytics, build, components, export, neighbourhood, parity, paths, search, trust
 from loomgraph.plans import incremental, serve
 from loomgraph.session import materialise
 from loomgraph.sources import extract, files, nodelink, semantic
@@ -341,3 +341,12 @@ def test_digests_of_the_wiki_are_those_of_its_texts(spark, n):
     # no list of all nodes, and the query takes this way
     plan = lambda own: own._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [collect_list" not in plan(got) and "wiki_digests" in queries.wiki_pages.__code__.co_names
+
+
+def test_classified_edges_are_not_shuffled_again_for_their_sources_labels(spark):
+    g, h = (make(spark, 6, ties(pairs)).with_(whole=True) for pairs in ([(0, 1), (1, 2), (0, 3)], [(0, 1), (3, 4), (0, 5)]))
+    own = parity.named_edges(parity.classify_edges(g, h, by="source"), g, h)
+    other = parity.named_edges(parity.classify_edges(g, h), g, h)
+    assert sorted(map(tuple, own.collect())) == sorted(map(tuple, other.collect())) and own.count() == 5
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert shuffles(own) < shuffles(other)
